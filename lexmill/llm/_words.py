@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters handled at once; a longer text is handled alone.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _TOP = 0x20000
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -124,18 +124,25 @@ class Words:
         return _spans_hash(self.hash, start, end, _Q)
 
 
-def pieces(batch: pa.RecordBatch, column: str, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch with texts of about so many characters together."""
-    texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+def cuts(texts: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of an array of texts of about so many bytes together, a longer text alone."""
+    if not len(texts):
+        return
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     at = 0
     while at < len(texts):
-        to, n = at, 0
-        while to < len(texts) and (to == at or n + len(texts[to] or "") <= chars):
-            n += len(texts[to] or "")
-            to += 1
-        yield batch.slice(at, to - at), texts[at:to]
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chars, "right")) - 1)
+        yield at, to
         at = to
 
 
+def pieces(batch: pa.RecordBatch, column: str, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with about so many bytes of text together. The texts of one slice at a time become strings."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    for at, to in cuts(texts, chars):
+        yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, near_dup, pareto_mix, pii_crf
+from . import bloom_cascade, chat_format, decontaminate, fertility, license_scan, near_dup, pareto_mix, pii_crf, substring_fm, token_cache
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.private(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,19 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars", "copy")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return bloom_cascade.url_filter(pages, bloom_cascade.keys_of_sites(pages))
+
+
+def op7_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_fm.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +50,12 @@ def op9_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_segments(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_crf, op3_decontaminate, op4_pareto_mix, op8_fertility, op9_minhash_bbit)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_crf, op3_decontaminate, op4_pareto_mix, op5_token_counts, op6_url_cascade, op7_substring_fm, op8_fertility, op9_minhash_bbit, op10_chat_fsm)}
 
 
 _OP3 = r"""
@@ -68,5 +89,33 @@ SELECT doc_id, source, n_chars, unnest(range(1, copies::BIGINT + 1)) AS copy FRO
 """
 
 
+_KEY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', ''), '^www\.', ''), '^([^/:]*):[0-9]+', '\1'), '/+$', '')"
+
+_OP6 = rf"""
+WITH k AS (SELECT page_id, url, {_KEY} AS key FROM pages),
+l AS (SELECT DISTINCT key FROM k WHERE regexp_extract(regexp_extract(key, '^[^/]*', 0), '([^.]+)\.example\.[a-z]+$', 1)
+    IN ('cheap-pills', 'spam-farm', 'casino-win', 'free-bets', 'ads-track', 'adult-x'))
+SELECT page_id, url, key IS NOT NULL AND key IN (SELECT key FROM l WHERE key IS NOT NULL) AS listed FROM k
+"""
+
+_OP10 = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(lag(role) OVER w, 'start') AS state, lead(role) OVER w AS nxt FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, state || '>' || role NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS bad FROM o),
+c AS (SELECT conv_id, CASE
+    WHEN count(*) FILTER (WHERE turn IS NULL OR role IS NULL) > 0 THEN 'missing turn or role'
+    WHEN count(DISTINCT turn) < count(*) THEN 'two texts for a turn'
+    WHEN count(*) FILTER (WHERE regexp_replace(coalesce(text, ''), '\s', '', 'g') = '') > 0 THEN 'blank turn'
+    WHEN count(*) FILTER (WHERE bad) > 0 THEN arg_min(role || ' after ' || state, n) FILTER (WHERE bad)
+    WHEN max(role) FILTER (WHERE nxt IS NULL) <> 'assistant' THEN 'ends after ' || max(role) FILTER (WHERE nxt IS NULL)
+    ELSE '' END AS error FROM b GROUP BY conv_id),
+v AS (SELECT b.* FROM b JOIN c ON b.conv_id = c.conv_id WHERE error = '')
+SELECT conv_id, 3 * n AS segment, role, '<|' || role || '|>' || chr(10) AS text, false AS loss, '' AS error FROM v
+UNION ALL SELECT conv_id, 3 * n + 1, role, text, role = 'assistant', '' FROM v
+UNION ALL SELECT conv_id, 3 * n + 2, role, '<|end|>' || chr(10), role = 'assistant', '' FROM v
+UNION ALL SELECT conv_id, -1, '', '', false, error FROM c WHERE error <> ''
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op4_pareto_mix": _OP4}
+    return {"op3_decontaminate": _OP3, "op4_pareto_mix": _OP4, "op6_url_cascade": _OP6, "op10_chat_fsm": _OP10}
