@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._frame import stored, tidy
-from ._words import Words
+from ._words import Words, cuts
 
 N, MIN_WORDS, MAX_SHARE, SLICE_CHARS = 8, 5, 0.5, 64_000_000
-_HITS = "struct<words:bigint,spans:array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint,item_id:bigint>>>"
+_SPANS = "array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint,item_id:bigint>>"
+_HITS = f"struct<words:bigint,spans:{_SPANS},rest:string>"
 _SPAN = pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start", "end", "item_id")])
 
 
@@ -83,19 +84,15 @@ def _scanner(grams, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         g: Grams = grams.value
         for batch in batches:
-            texts = batch.to_pylist()
-            counts, spans, at = [], [], 0
-            while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n < 1 << 20):
-                    n += len(texts[to] or "")
-                    to += 1
-                c, s = g.scan(texts[at:to])
+            counts, spans, rest = [], [], []
+            for a, b in cuts(batch):
+                texts = batch.slice(a, b - a).to_pylist()
+                c, found = g.scan(texts)
                 counts.append(c)
-                spans += s
-                at = to
+                spans += found
+                rest += [_without(t, f) if f else None for t, f in zip(texts, found, strict=True)]
             words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([words, pa.array(spans, pa.list_(_SPAN))], names=["words", "spans"])
+            yield pa.StructArray.from_arrays([words, pa.array(spans, pa.list_(_SPAN)), pa.array(rest, pa.string())], names=["words", "spans", "rest"])
 
     return run(text)
 
@@ -116,15 +113,16 @@ def _merge(spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(_SPAN))
 
 
+def _without(text: str, spans: list[dict]) -> str:
+    at, kept = 0, []
+    for s in spans:
+        kept.append(text[at : s["start"]])
+        at = s["end"]
+    return "".join([*kept, text[at:]])
+
+
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, row in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-        at, kept = 0, []
-        for s in row:
-            kept.append(t[at : s["start"]])
-            at = s["end"]
-        out.append("".join([*kept, t[at:]]))
-    return pa.array(out, pa.string())
+    return pa.array([_without(t, s) if s else None for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, slice_chars: int) -> DataFrame:
@@ -138,15 +136,14 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, slice
         part = bench if slices == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
         grams = sc.broadcast(Grams([tuple(r) for r in part.collect()], n, min_words))
         hit = _scanner(grams, F.col("text"))
-        if i == 0:
-            docs = docs.withColumn("__hit", hit)
-        else:
-            docs = docs.withColumn("__new", hit).withColumn("__hit", F.struct(F.col("__hit.words"), F.concat("__hit.spans", "__new.spans").alias("spans"))).drop("__new")
-        if slices > 1:
-            docs = stored(docs, "scanned")
-    if slices > 1:
-        docs = docs.withColumn("__hit", F.struct(F.col("__hit.words"), F.arrow_udf(_merge, _HITS[len("struct<words:bigint,spans:") : -1])(F.col("__hit.spans")).alias("spans")))
-    return docs
+        if slices == 1:
+            return docs.withColumn("__hit", hit)
+        docs = docs.withColumn("__new", hit)
+        spans = F.concat("__hit.spans", "__new.spans") if i else F.col("__new.spans")
+        docs = stored(docs.withColumn("__hit", F.struct(F.col("__new.words"), spans.alias("spans"))).drop("__new"), "scanned")
+    spans = F.arrow_udf(_merge, _SPANS)(F.col("__hit.spans"))
+    docs = stored(docs.withColumn("__hit", F.struct(F.col("__hit.words"), spans.alias("spans"))), "scanned")
+    return docs.withColumn("__hit", F.col("__hit").withField("rest", F.arrow_udf(_cut, "string")("text", "__hit.spans")))
 
 
 def _covered() -> Column:
@@ -180,6 +177,5 @@ def decontaminate(
     inner, back = tidy(docs, {"doc_id": "long", "text": "string", "n_chars": "long"})
     out = scanned(inner, benchmark, n, min_words, slice_chars)
     out = out.filter(F.coalesce(_covered() <= F.lit(max_share) * F.col("__hit.words"), F.lit(True)))
-    hit = F.size("__hit.spans") > 0
-    out = out.withColumn("__cut", F.when(hit, F.arrow_udf(_cut, "string")(F.when(hit, F.col("text")).otherwise(""), F.col("__hit.spans"))))
-    return back(out.withColumns({"text": F.coalesce("__cut", "text"), "n_chars": F.when(hit, F.length("__cut").cast("long")).otherwise(F.col("n_chars"))}))
+    cut = F.col("__hit.rest")
+    return back(out.withColumns({"text": F.coalesce(cut, "text"), "n_chars": F.when(cut.isNotNull(), F.length(cut).cast("long")).otherwise(F.col("n_chars"))}))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._frame import stored, tidy
+from ._words import cuts
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -30,7 +31,7 @@ TOLERANCE, MIN_GROUP, MIN_TOKENS = 6.0, 50, 16
 #: Histogram steps per unit, least robust deviation, and which side of the band rejects (-1 below, 1 above).
 MEASURES = {"chars_per_token": (128, 0.04, (-1, 1)), "chars_per_byte_token": (128, 0.06, (-1, 1)), "byte_share": (1024, 0.01, (1,)), "entropy": (128, 0.08, (-1,))}
 METRICS = "n_tokens long, chars_per_token double, chars_per_byte_token double, byte_share double, entropy double"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -97,15 +98,7 @@ def _metrics(text: Column, folder: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = [x.split()[0] for x in METRICS.split(", ")]
         for batch in batches:
-            texts = batch.to_pylist()
-            out, at = [], 0
-            while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n < 1 << 20):
-                    n += len(texts[to] or "")
-                    to += 1
-                out.append(measure(texts[at:to], folder))
-                at = to
+            out = [measure(batch.slice(a, b - a).to_pylist(), folder) for a, b in cuts(batch)]
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] + [np.zeros(0)] * 4
             yield pa.StructArray.from_arrays([pa.array(c) for c in cols], names=names)
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._frame import tidy
+from ._words import cuts
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "ID")
 ROUNDS, DAMPING, TRAIN_DOCS, TRAIN_SEED = 15, 0.3, 1500, 11
@@ -394,17 +395,13 @@ def entities(text: Column) -> Column:
     @F.arrow_udf("struct<entities:array<struct<label:string,start:bigint,end:bigint>>,redacted:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
             spans: list[list[dict]] = []
-            at = 0
-            while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n < 1 << 20):
-                    n += len(texts[to] or "")
-                    to += 1
-                spans += find(texts[at:to])
-                at = to
-            clean = [_redact(t, s) if s else None for t, s in zip(texts, spans, strict=True)]
+            clean: list[str | None] = []
+            for a, b in cuts(batch):
+                texts = batch.slice(a, b - a).to_pylist()
+                found = find(texts)
+                spans += found
+                clean += [_redact(t, s) if s else None for t, s in zip(texts, found, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(spans, pa.list_(_SPAN)), pa.array(clean, pa.string())], names=["entities", "redacted"])
 
     return run(text)
