@@ -67,7 +67,7 @@ def chat_segments(turns: DataFrame, template: Template = Template()) -> DataFram
 
     def step(acc, t):
         to = F.try_element_at(moves, F.concat(acc["state"], F.lit("\x00"), t["role"]))
-        bad = F.concat(t["role"], F.lit(" after "), acc["state"])
+        bad = F.concat(F.coalesce(t["role"], F.lit("")), F.lit(" after "), acc["state"])
         return F.struct(
             F.when(acc["error"] != "", acc["state"]).otherwise(F.coalesce(to, acc["state"])).alias("state"),
             F.when(acc["error"] != "", acc["error"]).when(to.isNull(), bad).otherwise("").alias("error"),

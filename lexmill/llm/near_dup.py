@@ -54,7 +54,7 @@ def minima(words: Words, shingle: int, perms: int) -> tuple[np.ndarray, np.ndarr
 def pack(low: np.ndarray, bits: int) -> np.ndarray:
     """Rows of small numbers as rows of bytes; perms * bits is a multiple of 64."""
     planes = (low[:, :, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(planes.reshape(len(low), -1).astype(np.uint8), axis=1)
+    return np.packbits(planes.reshape(len(low), low.shape[1] * bits).astype(np.uint8), axis=1)
 
 
 def estimate(one: np.ndarray, many: np.ndarray, perms: int, bits: int) -> np.ndarray:

@@ -1,0 +1,560 @@
+"""The operators of lexmill.llm on small tables: edge cases, and plain Python or exact answers to compare with."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import bloom_cascade, chat_format, decontaminate, fertility, license_scan, near_dup, pareto_mix, pii_crf, substring_fm, token_cache
+from lexmill.llm._words import Words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SYLLABLES = "ka lo mi ne ru sa ti vo da fe gu hi jo pe qua re".split()
+
+
+def word(rng):
+    return "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))
+
+
+def prose(rng, n):
+    return " ".join(word(rng) for _ in range(n))
+
+
+def docs_of(spark, texts, **extra):
+    rows = [(i, t, "en", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def odd(spark):
+    """Nulls in every column, empty, blank and long texts, a repeated row, a repeated id, clashing extra columns."""
+    rng = random.Random(5)
+    long = prose(rng, 30_000)
+    rows = [
+        (1, "hello there world", "en", "a", 17),
+        (1, "hello there world", "en", "a", 17),
+        (1, "another text with the id of the first", "en", "a", 37),
+        (2, None, "en", "a", None),
+        (3, "", None, None, 0),
+        (4, " \n\t ", "en", "b", 4),
+        (None, "a text without an id", "en", "b", 20),
+        (5, long, "", "b", len(long)),
+        (6, "日本語のテキスト 😀 naïve café", "ja", "c", 25),
+        (7, "word", "en", "c", -5),
+    ]
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], DOCS + ", DOC_ID2 string, digest string, copies long")
+    return df.toDF("doc_id", "text", "lang", "source", "n_chars", "DOC_ID", "__x0", "copy")
+
+
+STAGES = {
+    "fertility": lambda d: fertility.drop_unusual(d),
+    "near_dup": lambda d: near_dup.drop_near_duplicates(d),
+    "decontaminate": lambda d: decontaminate.decontaminate(d, d.sparkSession.createDataFrame([(1, "hello there world and more of it"), (None, "x"), (2, None)], "item_id long, text string")),
+    "pii": lambda d: pii_crf.redact(d),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns_and_odd_rows(spark, name):
+    d = odd(spark)
+    out = STAGES[name](d)
+    assert out.columns == d.columns and [t for _, t in out.dtypes] == [t for _, t in d.dtypes]
+    got = Counter(map(tuple, out.toDF(*map(str, range(8))).collect()))
+    was = Counter(map(tuple, d.toDF(*map(str, range(8))).collect()))
+    assert not got - was
+    gone = was - got
+    if name == "fertility":
+        assert {r[0] for r in gone} == {2, 3, 4}  # null, empty and blank
+    elif name == "near_dup":
+        assert sum(gone.values()) == 2 and {r[0] for r in gone} == {1}  # one row of a repeated id stays
+    else:
+        assert not gone
+    assert STAGES[name](d.limit(0)).count() == 0
+
+
+def test_mix_takes_odd_rows(spark):
+    d = odd(spark)
+    out = pareto_mix.pareto_mix(d, total=40)
+    assert out.columns == [*d.columns, "copy"]
+    rows = out.toDF(*map(str, range(9))).collect()
+    assert Counter(r[3] for r in rows) == {"a": 10, "b": 10, "c": 10, None: 10}
+    assert pareto_mix.pareto_mix(d.limit(0)).count() == 0
+
+
+REPORTS = {
+    "license": lambda d: license_scan.licenses(d),
+    "pii": lambda d: pii_crf.private(d),
+    "decontaminate": lambda d: decontaminate.contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
+    "tokens": lambda d: token_cache.token_counts(d),
+    "repeats": lambda d: substring_fm.repeats(d),
+    "fertility": lambda d: fertility.fertility(d),
+    "near_dup": lambda d: near_dup.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_reports_take_odd_rows(spark, name):
+    d = odd(spark)
+    n = REPORTS[name](d).count()
+    assert n == {"tokens": 10, "fertility": 10}.get(name, 0)
+    assert REPORTS[name](d.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        REPORTS[name](d.drop("text") if "text" in d.columns else d)
+
+
+def test_words_are_letters_marks_and_digits():
+    rng = random.Random(1)
+    texts = ["", None, "Ünïcode x1-Y2", "日本 ok", *("".join(rng.choice("ab1 .,\nÄß") for _ in range(rng.randint(0, 60))) for _ in range(200))]
+    w = Words(texts)
+    for i, t in enumerate(texts):
+        own = [w.word(j) for j in range(w.first[i], w.first[i + 1])]
+        plain = re.findall(r"日|本|[^\W_]+", "".join(c.lower() if len(c.lower()) == 1 else c for c in t or ""))
+        assert own == plain
+        assert [(t or "")[a:b].lower() for a, b in zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]], strict=True)] == [x.lower() for x in plain]
+    at, h = w.windows(2)
+    grams = [(w.word(a), w.word(a + 1)) for a in at]
+    assert len(set(grams)) == len(set(h.tolist()))
+
+
+# 1
+
+
+def plain_licenses(text):
+    """All templates against all places, by unbanded alignment."""
+    index = license_scan.Index(license_scan.TEMPLATES, 3, 3)
+    w = Words([text])
+    found = []
+    for t, words in enumerate(index.words):
+        got = license_scan.align(words, w.hash.tolist(), 0, -len(words), len(w))
+        if got and got[1] >= license_scan.MIN_COVERAGE * len(words):
+            found.append({"template": index.names[t][1], "matched": got[1], "score": got[0], "first_word": got[2], "last_word": got[3]})
+    return {(f["template"], f["first_word"], f["last_word"], f["matched"]) for f in license_scan.choose(found)}
+
+
+def test_licenses_equal_unbanded_alignment(spark):
+    rng = random.Random(2)
+    texts = []
+    for _, _, t in license_scan.TEMPLATES:
+        words = t.split()
+        texts.append(f"{prose(rng, 40)} {t} {prose(rng, 40)}")
+        if len(words) > 12:
+            changed = [word(rng) if i % 9 == 8 else x for i, x in enumerate(words)]
+            texts.append(f"{prose(rng, 10)} {' '.join(changed)} {prose(rng, 10)}")
+            texts.append(f"{prose(rng, 10)} {' '.join(words[: len(words) // 2])} {prose(rng, 10)}")
+    texts += [prose(rng, 200) for _ in range(20)]
+    got = {}
+    for r in license_scan.licenses(docs_of(spark, texts)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["template"], r["first_word"], r["last_word"], r["matched"]))
+        assert texts[r["doc_id"]][r["start"] : r["end"]].split()[0]
+    assert got == {i: p for i, t in enumerate(texts) if (p := plain_licenses(t))}
+    assert len(got) >= len(license_scan.TEMPLATES)
+
+
+def test_two_notices_of_a_template():
+    out = license_scan.Index(license_scan.TEMPLATES, 3, 3).scan(["Released under the MIT License. x y z w v u t s r q Released under the MIT License."], 0.75)[0]
+    assert [(f["template"], f["first_word"]) for f in out] == [("mit-short", 0), ("mit-short", 15)]
+
+
+# 2
+
+
+def exact_marginals(unary, groups):
+    n, k = unary.shape
+    p = np.zeros((n, k))
+    for code in range(k**n):
+        y = [(code // k**i) % k for i in range(n)]
+        s = sum(unary[i, y[i]] for i in range(n)) + sum(pot[y[a], y[b]] for pairs, pot in groups for a, b in pairs)
+        for i in range(n):
+            p[i, y[i]] += np.exp(s)
+    return p / p.sum(1, keepdims=True)
+
+
+def test_message_passing_is_exact_on_trees_and_near_on_loops():
+    rng = np.random.default_rng(3)
+    for loop in (False, True):
+        unary = rng.normal(size=(6, 3))
+        chain = np.array([[0, 1], [1, 2], [3, 4]])
+        skip = np.array([[2, 3], [4, 5]] + ([[0, 4]] if loop else []))
+        groups = [(chain, rng.normal(size=(3, 3)) * 0.5), (skip, np.eye(3))]
+        got, want = pii_crf.propagate(unary, groups, 40, 0.3), exact_marginals(unary, groups)
+        assert np.abs(got - want).max() < (0.05 if loop else 1e-6)
+
+
+def test_skip_edges_carry_labels_to_distant_mentions():
+    m = pii_crf.model()
+    assert m.skip[0] > 0.5 and m.skip[1] > 0.2
+    tokens = ["call", "me,", "telephone", "4471-09213", "today", *["word"] * 90, "then", "4471-09213", "again"]
+    place = [i for i, t in enumerate(tokens) if pii_crf._is_node(t)]
+    unary = m.unary([pii_crf.features(tokens[i], tokens[max(0, i - 3) : i][::-1], tokens[i + 1 : i + 4]) for i in place])
+    chain, same, like = pii_crf.edges(np.zeros(2, int), np.array(place), [tokens[i] for i in place])
+    assert (len(chain), len(same), len(like)) == (0, 1, 0)
+    phone = pii_crf.LABELS.index("PHONE")
+    alone = m.marginals(unary, chain, same[:0], like)[:, phone]
+    linked = m.marginals(unary, chain, same, like)[:, phone]
+    assert alone[0] > 0.5 > alone[1] and linked[1] > alone[1] + 0.2
+    # a similar number, of the same shape, is linked as well
+    assert len(pii_crf.edges(np.zeros(2, int), np.array([1, 50]), ["4471-09213", "5532-77301"])[2]) == 1
+
+
+def test_pii_accuracy_on_held_out_sentences():
+    rng = random.Random(99)
+    right = wrong = missed = 0
+    for _ in range(400):
+        tokens, labels = pii_crf._invented(rng)
+        text = " ".join(tokens)
+        at, truth = 0, {}
+        for t, y in zip(tokens, labels, strict=True):
+            if y != "O":
+                truth[at] = y
+            at += len(t) + 1
+        found = pii_crf.find([text])[0]
+        for start, y in truth.items():
+            end = start + len(text[start:].split(" ", 1)[0])
+            hits = [e for e in found if e["start"] < end and e["end"] > start]
+            right += any(e["label"] == y for e in hits)
+            missed += not hits
+        wrong += sum(not any(s <= e["start"] < s + len(text[s:].split(" ", 1)[0]) or e["start"] <= s < e["end"] for s in truth) for e in found)
+    assert right > 0.95 * (right + missed) and wrong < 0.05 * right
+
+
+def test_planted_private_data(spark):
+    rng = random.Random(4)
+    plants = ["write to anna.42@mail3.example.com now", "call +1 (555) 555-0199 today", "card 4111111111111111 was used", "from 192.168.17.204 it came", 'token = "9f14a7029c8514dfe98aba92898d323168e199da"']
+    texts = [f"{prose(rng, 60)} {p} {prose(rng, 60)}" for p in plants] + [prose(rng, 120) + " in 1999, version 4.0. of 3 parts, 25% more" for _ in range(20)]
+    out = {r["doc_id"]: r for r in pii_crf.private(docs_of(spark, texts)).collect()}
+    assert sorted(out) == list(range(5))
+    secrets = ["anna.42@mail3.example.com", "555-0199", "4111111111111111", "192.168.17.204", "9f14a7029c8514dfe98aba92898d323168e199da"]
+    assert all(s not in out[i]["redacted"] for i, s in enumerate(secrets))
+
+
+# 3
+
+
+def plain_contaminated(texts, items, n=8, least=5):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = {}
+    for item, t in items:
+        w = words(t)
+        for k in [n] if len(w) >= n else [len(w)] if len(w) >= least else []:
+            for i in range(len(w) - k + 1):
+                grams[tuple(w[i : i + k])] = min(item, grams.get(tuple(w[i : i + k]), item))
+    out = {}
+    for d, t in enumerate(texts):
+        w = words(t)
+        hit = {i + o for k in {len(g) for g in grams} for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in grams for o in range(k)}
+        if hit:
+            out[d] = hit
+    return out
+
+
+@pytest.mark.parametrize("slice_chars", [10**6, 300])
+def test_contamination_equals_plain_python(spark, slice_chars):
+    rng = random.Random(6)
+    items = [(i, prose(rng, n)) for i, n in enumerate([3, 5, 7, 8, 9, 20, 30, 50])]
+    texts = [prose(rng, 80) for _ in range(10)] + [f"{prose(rng, 50)}. {t.upper()}! {prose(rng, 50)}" for _, t in items] + [t for _, t in items] + [" ".join(items[7][1].split()[5:25]) + " " + prose(rng, 60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_contaminated(texts, items)
+    got = {}
+    for r in decontaminate.contaminated(docs_of(spark, texts), bench, slice_chars=slice_chars).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["last_word"] + 1))
+    assert got == want
+    kept = {r["doc_id"]: r for r in decontaminate.decontaminate(docs_of(spark, texts), bench, slice_chars=slice_chars).collect()}
+    for d, t in enumerate(texts):
+        n = len(t.split())
+        assert (d in kept) == (len(want.get(d, ())) <= 0.5 * n)
+        if d in kept:
+            assert re.findall(r"\w+", kept[d]["text"].lower()) == [w for i, w in enumerate(re.findall(r"\w+", t.lower())) if i not in want.get(d, ())]
+            assert kept[d]["n_chars"] == len(kept[d]["text"])
+
+
+# 4
+
+
+def test_pareto_sizes_copies_and_order(spark):
+    rng = random.Random(8)
+    rows = [(i, "t", "en", "big" if i % 4 else "small", rng.randint(1, 400)) for i in range(400)]
+    d = spark.createDataFrame(rows, DOCS)
+    out = pareto_mix.pareto_mix(d, total=600, weights={"big": 1, "small": 2}).collect()
+    by = {s: [r for r in out if r["source"] == s] for s in ("big", "small")}
+    assert (len(by["big"]), len(by["small"])) == (200, 400)
+    u = {r["doc_id"]: r["u"] for r in d.select("doc_id", pareto_mix.uniform(F.col("doc_id"), pareto_mix.SEED).alias("u")).collect()}
+    for s, n in (("big", 200), ("small", 400)):
+        own = [r for r in rows if r[3] == s]
+        w = sum(r[4] for r in own)
+        copies = {r[0]: n * r[4] // w for r in own}
+        rest = {r[0]: n * r[4] % w for r in own}
+        k = sum(rest.values()) // w
+        order = sorted((i for i in rest if rest[i]), key=lambda i: (u[i] / (1 - u[i]) * ((w - rest[i]) / rest[i]), i))
+        for i in order[:k]:
+            copies[i] += 1
+        assert Counter(r["doc_id"] for r in by[s]) == {i: c for i, c in copies.items() if c}
+
+
+def test_pareto_inclusion_probabilities(spark):
+    d = spark.createDataFrame([(i, "t", "en", "s", 10 + 10 * (i % 3)) for i in range(300)], DOCS)
+    hits = Counter(r["doc_id"] for seed in range(4) for r in pareto_mix.pareto_mix(d, total=100, seed=seed).select("doc_id").collect())
+    share = [np.mean([hits[i] for i in range(300) if i % 3 == j]) / 4 for j in range(3)]
+    assert np.allclose(share, [20 / 120, 40 / 120, 60 / 120], atol=0.09)
+
+
+def test_pareto_ties_of_repeated_rows(spark):
+    d = spark.createDataFrame([(7, f"text {i}", "en", "s", 10) for i in range(10)], DOCS)
+    assert pareto_mix.pareto_mix(d, total=4).count() == 4
+    assert pareto_mix.pareto_mix(d, total=13).count() == 13
+
+
+# 5
+
+
+def test_token_counts_and_cache(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["one two", "one two", "one two  ", "a\r\nb", "a\nb", None, "", *(prose(rng, 30) for _ in range(20))]
+    cache = f"file://{tmp_path}/cache"
+    got = {r["doc_id"]: r["n_tokens"] for r in token_cache.token_counts(docs_of(spark, texts), cache).collect()}
+    enc = fertility.rank_encoding(f"{fertility.TOKENIZERS}/{fertility.BYTES}")
+    assert got == {i: len(enc.encode_ordinary((t or "").replace("\r\n", "\n").rstrip())) for i, t in enumerate(texts)}
+    version = token_cache.tokenizer_digest(f"{fertility.TOKENIZERS}/{fertility.BYTES}")
+    stored = spark.read.parquet(f"{cache}/tokenizer={version}")
+    assert stored.count() == 23  # distinct texts
+    more = docs_of(spark, [*texts, "something new"])
+    assert token_cache.token_counts(more, cache).count() == len(texts) + 1
+    assert spark.read.parquet(f"{cache}/tokenizer={version}").count() == 24
+    other = token_cache.token_counts(more, cache, f"{fertility.TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    assert other.select("tokenizer").distinct().first()[0] != version
+
+
+# 6
+
+
+@pytest.mark.parametrize("max_bytes", [10**6, 1])
+def test_cascade_is_exact(spark, max_bytes):
+    rng = random.Random(10)
+    urls = [f"https://{'www.' if i % 2 else ''}{word(rng)}.example.com/{i}{'/' if i % 3 else ''}?q={i}" for i in range(3000)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(9000, None), (9001, urls[0]), (None, urls[1]), (9002, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    keys = {r["page_id"]: r["k"] for r in pages.select("page_id", bloom_cascade.url_key(F.col("url")).alias("k")).collect()}
+    listed = {keys[i] for i in range(0, 3000, 7)} | {"not.in.corpus/1"}
+    listing = spark.createDataFrame([(k,) for k in listed] + [(None,)], "key string")
+    out = bloom_cascade.url_filter(pages, listing, max_bytes).collect()
+    assert len(out) == len(rows)
+    assert all(r["listed"] == (keys[r["page_id"]] in listed) for r in out if r["page_id"] is not None)
+    assert bloom_cascade.url_filter(pages.limit(0), listing).count() == 0
+    assert not bloom_cascade.url_filter(pages, listing.limit(0)).filter("listed").count()
+
+
+def test_cascade_has_levels(spark):
+    keys = spark.range(20000).select(*bloom_cascade.hashed(F.col("id").cast("string")), (F.col("id") % 10 == 0).alias("listed"))
+    levels = bloom_cascade.build(keys)
+    assert len(levels) > 2
+    assert sum(x.m for x in levels) / 8 < 20000  # bytes; far below the keys' own size
+
+
+# 7
+
+
+def plain_repeats(texts, n):
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    seen = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(d)
+    out = set()
+    for d, w in enumerate(words):
+        covered = {i + o for i in range(len(w) - n + 1) if len(seen[tuple(w[i : i + n])]) > 1 for o in range(n)}
+        runs = []
+        for i in sorted(i for i in range(len(w) - n + 1) if len(seen[tuple(w[i : i + n])]) > 1):
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + n
+            else:
+                runs.append([i, i + n])
+        out |= {(d, a, b - 1) for a, b in runs}
+        assert sum(b - a for a, b in runs) == len(covered)
+    return out
+
+
+@pytest.mark.parametrize("shard_words", [300, 10**6])
+def test_repeats_equal_plain_python(spark, shard_words):
+    rng = random.Random(11)
+    shared = [prose(rng, n) for n in (9, 10, 11, 20, 45, 90)]
+    texts = [None, "", "too short", prose(rng, 30)]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts.append(prose(rng, rng.randint(0, 25)))
+            p = rng.choice(shared).split()
+            a = rng.randint(0, max(0, len(p) - 5))
+            parts.append(" ".join(p[a : a + rng.randint(5, 60)]))
+        texts.append(" ".join(parts))
+    texts += [texts[10], texts[10], "ha " * 200, "ha " * 150, "go " * 80]
+    got = {(r["doc_id"], r["first_word"], r["last_word"]) for r in substring_fm.repeats(docs_of(spark, texts), 10, 4, shard_words).collect()}
+    assert got == plain_repeats(texts, 10)
+
+
+def test_suffix_array_and_backward_search():
+    rng = np.random.default_rng(12)
+    for sigma in (3, 40):
+        parts = [rng.integers(1, sigma, rng.integers(1, 30)) for _ in range(12)]
+        text = np.concatenate([np.append(p, 0) for p in parts])
+        ranked = text.astype(np.int64)
+        ranked[text > 0] += 100
+        ranked[text == 0] = np.arange((text == 0).sum())
+        assert substring_fm.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: ranked[i:].tolist())
+        index = substring_fm.FmIndex(text, np.zeros(len(text), int), sigma)
+        for _ in range(50):
+            p = rng.integers(1, sigma, rng.integers(1, 4))
+            lo, hi = np.array([0]), np.array([len(text)])
+            for c in p[::-1]:
+                lo, hi = index.extend(np.array([c]), lo, hi)
+            want = sum(text[i : i + len(p)].tolist() == p.tolist() for i in range(len(text)))
+            assert max(0, int(hi[0] - lo[0])) == want
+
+
+# 8
+
+
+def test_fertility_measures_equal_plain_python():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{fertility.TOKENIZERS}/{fertility.PIECES}")
+    enc = fertility.rank_encoding(f"{fertility.TOKENIZERS}/{fertility.BYTES}")
+    texts = ["Hello there, world! Hello.", "", None, "naïve 😀 日本", "x" * 500, "a\nb  c"]
+    got = fertility.measure(texts, fertility.TOKENIZERS)
+    for i, t in enumerate(texts):
+        ids = [j for w in (t or "").split() for j in sp.encode(w)]
+        n = len(ids)
+        assert got[0][i] == n
+        if n:
+            c = Counter(ids)
+            want = (sum(map(len, t.split())) / n, sum(map(len, t.split())) / sum(len(enc.encode_ordinary(f" {w}")) for w in t.split()), sum(map(sp.is_byte, ids)) / n, -sum(v / n * np.log2(v / n) for v in c.values()))
+            assert np.allclose([m[i] for m in got[1:]], want)
+
+
+def test_fertility_bands_reject_what_is_unusual(spark):
+    rng = random.Random(13)
+    good = [prose(rng, rng.randint(40, 60)) for _ in range(300)]
+    bad = ["%%% ### $$$ &&& " * 15, "vo " * 70, "ﷺ쀍꧅" * 40]
+    out = {r["doc_id"]: r for r in fertility.fertility(docs_of(spark, good + bad)).collect()}
+    assert sum(not out[i]["keep"] for i in range(300)) <= 3
+    assert not any(out[300 + i]["keep"] for i in range(2))
+
+
+def test_quality_of_labelled_documents(spark, data):
+    d, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/labels.parquet")
+    out = fertility.fertility(d).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in out}
+    assert kept[1] > 0.98 and kept[0] < 0.8
+
+
+# 9
+
+
+def changed(rng, text, share):
+    return " ".join(word(rng) if rng.random() < share else w for w in text.split())
+
+
+def test_near_duplicates_equal_exact_similarity(spark):
+    rng = random.Random(14)
+    texts, groups = [], []
+    for g in range(60):
+        base = prose(rng, rng.randint(40, 200))
+        for copy in range(rng.choice([1, 1, 2, 3, 8])):
+            texts.append(base if copy == 0 or rng.random() < 0.3 else changed(rng, base, 0.04))
+            groups.append(g)
+    out = {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j, s in pairs if s >= 0.6]
+    assert sum(out.get(i, -1) == out.get(j, -2) for i, j in near) >= 0.95 * len(near)
+    for i, g in out.items():
+        assert groups[i] == groups[g] and g <= i
+    kept = {r["doc_id"] for r in near_dup.drop_near_duplicates(docs_of(spark, texts)).select("doc_id").collect()}
+    assert kept == {i for i in range(len(texts)) if out.get(i, i) == i}
+
+
+def test_estimate_corrects_collisions():
+    rng = np.random.default_rng(15)
+    for j in (0.0, 0.5, 0.9):
+        a = rng.integers(0, 2**32, (400, 128), dtype=np.uint32)
+        b = np.where(rng.random((400, 128)) < j, a, rng.integers(0, 2**32, (400, 128), dtype=np.uint32))
+        got = [near_dup.estimate(near_dup.pack(x[None] & np.uint32(15), 4)[0], near_dup.pack(y[None] & np.uint32(15), 4), 128, 4)[0] for x, y in zip(a, b, strict=True)]
+        assert abs(np.mean(got) - j) < 0.01
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 9)]
+    rng = random.Random(16)
+    rng.shuffle(edges)
+    got = {r["id"]: r["root"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, **dict.fromkeys(range(200, 209), 200)}
+
+
+# 10
+
+
+def test_chat_machine(spark):
+    s, u, a = "system", "user", "assistant"
+    cases = {
+        1: [(s, "S"), (u, "q"), (a, "r")],
+        2: [(u, "q"), (a, "r"), (u, "q2"), (a, "r2")],
+        3: [(u, "q")],
+        4: [(a, "r"), (u, "q")],
+        5: [(u, "q"), (s, "S"), (a, "r")],
+        6: [(u, "q"), (a, " ")],
+        7: [(u, "q"), (None, "r")],
+        8: [(u, "q"), (a, None)],
+        9: [(u, "q"), ("tool", "r")],
+    }
+    rows = [(c, i, r, t) for c, turns in cases.items() for i, (r, t) in enumerate(turns)]
+    rows += [(10, 0, u, "q"), (10, 1, a, "r"), (10, 1, a, "r"), (11, 0, u, "q"), (11, 0, u, "other"), (None, 0, u, "q"), (12, None, u, "q")]
+    rng = random.Random(17)
+    rng.shuffle(rows)
+    out = chat_format.chat_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ROLE2", F.lit(1)).toDF("conv_id", "turn", "role", "text", "ROLE")).collect()
+    errors = {r["conv_id"]: r["error"] for r in out if r["error"]}
+    assert errors == {
+        3: "ends after user", 4: "assistant after start", 5: "system after user", 6: "blank turn", 7: "missing turn or role", 8: "blank turn", 9: "tool after user", 11: "two texts for a turn", 12: "missing turn or role",
+    }
+    text = lambda c: "".join(r["text"] for r in sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["segment"]))
+    assert text(1) == "<|system|>\nS<|end|>\n<|user|>\nq<|end|>\n<|assistant|>\nr<|end|>\n" and text(10) == text(1)[len("<|system|>\nS<|end|>\n") :]
+    assert [r["text"] for r in sorted((r for r in out if r["conv_id"] == 2 and r["loss"]), key=lambda r: r["segment"])] == ["r", "<|end|>\n", "r2", "<|end|>\n"]
+    assert chat_format.chat_segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_equals_its_parts_in_plain_python(spark, data):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "mixing"]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    keep = {r["doc_id"] for r in fertility.fertility(docs).filter("keep").select("doc_id").collect()}
+    # groups by exact similarity of three-word shingles; the planted copies are far above, all else far below
+    words = {i: re.findall(r"[^\W_]+", rows[i]["text"].lower()) for i in keep}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, w in words.items() if w}
+    parent = {i: i for i in keep}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    order = sorted(sets)
+    for x, i in enumerate(order):
+        for j in order[:x]:
+            if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    kept = sorted(i for i in keep if root(i) == i)
+    items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
+    hit = plain_contaminated([rows[i]["text"] for i in kept], items)
+    left = [i for k, i in enumerate(kept) if len(hit.get(k, ())) <= 0.5 * len(re.findall(r"[^\W_]+", rows[i]["text"]))]
+    out = corpus_pipeline.run(spark, data).collect()
+    assert len(out) == pytest.approx(len(left), abs=20)
+    assert {r["doc_id"] for r in out} <= set(left)
+    private = {r["doc_id"] for r in pii_crf.private(docs).select("doc_id").collect()}
+    touched = private | {kept[k] for k in hit}
+    assert all(r["text"] == rows[r["doc_id"]]["text"] for r in out if r["doc_id"] not in touched)
+    assert all(r["text"] != rows[r["doc_id"]]["text"] for r in out if r["doc_id"] in touched)
