@@ -172,6 +172,27 @@ def fnv1a(token: Column | str) -> Column:
     return F.when(F.length(t) > 0, F.aggregate(codes, start, step, text)).otherwise("CBF29CE484222325")
 
 
+def gram_hash(tokens: Column | str) -> Column:
+    """FNV-1a of an n-gram's length and then of its tokens' hashes, as 16 hex digits."""
+    from .arrow import arrow_function
+
+    def run(gram: list[str]) -> str:
+        prime, mask = 1099511628211, (1 << 64) - 1
+
+        def fold(h: int, x: int) -> int:
+            return ((h ^ x) * prime) & mask
+
+        h = fold(14695981039346656037, len(gram))
+        for t in gram:
+            own = 14695981039346656037
+            for b in t.encode():
+                own = fold(own, b)
+            h = fold(h, own)
+        return f"{h:016X}"
+
+    return arrow_function(run, "string")(tokens)
+
+
 #: Closed word classes of the rule tagger, in the order they are tried.
 _CLASSES = (
     ("PRP", "he her him i it me she them they us we you"),

@@ -42,6 +42,13 @@ def ngram_freq(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     return toks.select(F.explode(T.ngrams("t", n)).alias("g")).groupBy("g").agg(F.count("*").alias("n")).select(F.array_join("g", " ").alias("gram"), "n")
 
 
+def hashed_ngram_freq(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """(hash, n) of n-grams."""
+    toks = docs.select(T.ascii_tokens(text).alias("t"))
+    grams = toks.select(F.explode(T.ngrams("t", n)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    return grams.select(T.gram_hash("g").alias("hash"), "n")
+
+
 def token_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, token, n): ids by first occurrence in document order."""
     seen = tokens(docs, text, key).groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("first"))

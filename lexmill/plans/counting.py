@@ -54,6 +54,11 @@ def ngram_freq_3(spark, d):
     return counts.ngram_freq(_docs(spark, d), 3)
 
 
+@query(None)
+def ngram_freq_hash(spark, d):
+    return counts.hashed_ngram_freq(_docs(spark, d), 2)
+
+
 @query(f"""{K}, e AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM k), f AS (SELECT t, i, unnest(range(1, least(3, len(t) - i + 1) + 1)) AS s FROM e)
 SELECT array_to_string(t[i:i + s - 1], ' ') AS gram, count(*) AS n FROM f GROUP BY 1""")
 def everygram_counts(spark, d):
