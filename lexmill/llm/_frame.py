@@ -10,11 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to Python. The default is a number of rows, which for long texts is no bound at all.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to BATCH_BYTES, unless it is lower."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def tidy(df: DataFrame, needed: dict[str, str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Give the needed columns their exact names and all others names that can't clash.
 
     Extra columns may repeat a name, or differ from one by case only. The second result restores names and order.
     """
+    bound_batches(df.sparkSession)
     names = list(df.columns)
     place = {n: next((i for i, c in enumerate(names) if c == n), None) for n in needed}
     lost = [n for n, i in place.items() if i is None]
