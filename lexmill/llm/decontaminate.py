@@ -94,7 +94,8 @@ def _scanner(grams, text: Column) -> Column:
             words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
             yield pa.StructArray.from_arrays([words, pa.array(spans, pa.list_(_SPAN)), pa.array(rest, pa.string())], names=["words", "spans", "rest"])
 
-    return run(text)
+    # evaluated once, though both a filter and a projection look at it
+    return run.asNondeterministic()(text)
 
 
 def _merge(spans: pa.Array) -> pa.Array:

@@ -70,14 +70,14 @@ def measure(texts: list[str | None], folder: str) -> tuple[np.ndarray, ...]:
         return n_words, z, z, z, z
     new = [w for w in index if w not in cache]
     for w, ids, other in zip(new, pieces.encode(new, num_threads=1), map(ranks.encode_ordinary, [f" {w}" for w in new]), strict=True):
-        cache[w] = (np.array(ids, np.int32), len(other), len(w))
+        cache[w] = (np.array(ids, np.int32).tobytes(), len(other))
     known = [cache[w] for w in index]
     if len(cache) > _CACHE_WORDS:
         cache.clear()
-    lens = np.array([len(k[0]) for k in known])
-    flat = np.concatenate([k[0] for k in known])
+    lens = np.array([len(k[0]) // 4 for k in known])
+    flat = np.frombuffer(b"".join([k[0] for k in known]), np.int32)
     first = np.cumsum(lens) - lens
-    other, chars = np.array([k[1] for k in known]), np.array([k[2] for k in known])
+    other, chars = np.array([k[1] for k in known]), np.array(list(map(len, index)))
     code = np.array(codes)
     row = np.repeat(np.arange(len(texts)), n_words)
     total = lambda x: np.bincount(row, x[code], len(texts))

@@ -404,7 +404,8 @@ def entities(text: Column) -> Column:
                 clean += [_redact(t, s) if s else None for t, s in zip(texts, found, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(spans, pa.list_(_SPAN)), pa.array(clean, pa.string())], names=["entities", "redacted"])
 
-    return run(text)
+    # evaluated once, though both a filter and a projection look at it
+    return run.asNondeterministic()(text)
 
 
 def private(docs: DataFrame) -> DataFrame:
