@@ -167,5 +167,5 @@ def licenses(
                 found += index.scan(batch.slice(a, b - a).to_pylist(), min_coverage)
             yield pa.array(found, pa.list_(_TYPE))
 
-    out = docs.select("doc_id", run("text").alias("__f")).filter(F.size("__f") > 0).select("doc_id", F.explode("__f").alias("f"))
+    out = docs.select("doc_id", run.asNondeterministic()("text").alias("__f")).filter(F.size("__f") > 0).select("doc_id", F.explode("__f").alias("f"))
     return out.select("doc_id", "f.license", "f.template", "f.first_word", "f.last_word", "f.start", "f.end", "f.matched", "f.template_words", F.round(F.col("f.matched") / F.col("f.template_words"), 6).alias("coverage"), "f.score")
