@@ -35,6 +35,8 @@ _BI = f"""{K}, g AS ({S.pairs(2)}), c AS (SELECT l, r, count(*)::DOUBLE AS n FRO
 m AS (SELECT l AS w1, r AS w2, c.n AS n, a.n AS x, b.n AS y, (SELECT sum(n) FROM f) AS z FROM c JOIN f a ON a.w = l JOIN f b ON b.w = r),
 q AS (SELECT *, n AS ii, y - n AS oi, x - n AS io, z - n - (y - n) - (x - n) AS oo FROM m)"""
 _E = "1e-20"
+#: Added before rounding, so that no fraction lies on the border between two rounded values.
+OFF = 1.234567e-6
 _BI_SCORES = {
     "raw_freq": "n / z",
     "student_t": f"(n - x * y / z) / sqrt(n + {_E})",
@@ -53,8 +55,8 @@ def _signif(spark_col, digits: int = 6):
     return F.round(spark_col, digits)
 
 
-query(f"{_BI} SELECT w1, w2, " + ", ".join(f"round({e}, 4) AS {n}" for n, e in _BI_SCORES.items()) + " FROM q", "bigram_measures")(
-    lambda s, d: C.marginals(C.finder(_docs(s, d), 2)).select("w1", "w2", *(F.round(m(C.Cells(2)), 4).alias(n) for n, m in C.MEASURES.items()))
+query(f"{_BI} SELECT w1, w2, " + ", ".join(f"round({e} + {OFF}, 4) AS {n}" for n, e in _BI_SCORES.items()) + " FROM q", "bigram_measures")(
+    lambda s, d: C.marginals(C.finder(_docs(s, d), 2)).select("w1", "w2", *(F.round(m(C.Cells(2)) + OFF, 4).alias(n) for n, m in C.MEASURES.items()))
 )
 
 
@@ -100,14 +102,14 @@ def _many_scores(size: int) -> str:
         "pmi": f"log2(n * ({zz})) - log2({singles})",
         "poisson_stirling": f"n * (log2(n / ({singles} / ({zz}))) - 1)",
     }
-    return ", ".join(f"round({e}, 4) AS {n}" for n, e in scores.items())
+    return ", ".join(f"round({e} + {OFF}, 4) AS {n}" for n, e in scores.items())
 
 
 def _measures(size: int, window: int):
     def run(s, d):
         m = C.marginals(C.finder(_docs(s, d), size, window))
         names = ("raw_freq", "student_t", "mi_like", "pmi", "poisson_stirling")
-        return m.select(*(f"w{i + 1}" for i in range(size)), *(F.round(C.MEASURES[n](C.Cells(size)), 4).alias(n) for n in names))
+        return m.select(*(f"w{i + 1}" for i in range(size)), *(F.round(C.MEASURES[n](C.Cells(size)) + OFF, 4).alias(n) for n in names))
 
     return run
 
@@ -137,10 +139,9 @@ def _cells_sql(size: int) -> tuple[str, str]:
 
 
 for _size, _name in ((3, "trigram_likelihood"), (4, "quadgram_likelihood")):
-    _lr, _ja = _cells_sql(_size)
-    _ok = lambda e: f"CASE WHEN isfinite({e}) THEN round({e}, 2) END"
-    query(f"{K}, {_patterns_sql(_size, _size)}, q AS ({_marginals_sql(_size)}), s AS (SELECT *, {_ja} AS ja FROM q) SELECT {', '.join(f'w{i + 1}' for i in range(_size))}, round(ja, 4) AS jaccard FROM s", _name)(
-        lambda s, d, size=_size: C.marginals(C.finder(_docs(s, d), size)).select(*(f"w{i + 1}" for i in range(size)), F.round(C.jaccard(C.Cells(size)), 4).alias("jaccard"))
+    _ja = _cells_sql(_size)[1]
+    query(f"{K}, {_patterns_sql(_size, _size)}, q AS ({_marginals_sql(_size)}), s AS (SELECT *, {_ja} AS ja FROM q) SELECT {', '.join(f'w{i + 1}' for i in range(_size))}, round(ja + {OFF}, 4) AS jaccard FROM s", _name)(
+        lambda s, d, size=_size: C.marginals(C.finder(_docs(s, d), size)).select(*(f"w{i + 1}" for i in range(size)), F.round(C.jaccard(C.Cells(size)) + OFF, 4).alias("jaccard"))
     )
 
 for _size in (3, 4):
