@@ -149,8 +149,8 @@ def bands(measures: DataFrame, tolerance: float, min_group: int, min_tokens: int
     return wide.groupBy("__band", "__size").agg(*cols)
 
 
-def judged(docs: DataFrame, folder: str, tolerance: float, min_group: int, min_tokens: int) -> DataFrame:
-    rows = stored(measured(docs, folder), "measured")
+def judged(docs: DataFrame, folder: str, tolerance: float, min_group: int, min_tokens: int, unneeded: tuple[str, ...] = ()) -> DataFrame:
+    rows = stored(measured(docs, folder).drop(*unneeded), "measured")
     out = rows.join(F.broadcast(bands(rows, tolerance, min_group, min_tokens)), ["__band", "__size"], "left")
     why = []
     for m, (s, _, _) in MEASURES.items():
@@ -169,7 +169,7 @@ def fertility(docs: DataFrame, folder: str = TOKENIZERS, tolerance: float = TOLE
     table gives an empty result; extra columns are ignored; texts of any length are measured whole.
     """
     docs, _ = tidy(docs, {"doc_id": "long", "text": "string", "lang": "string"})
-    out = judged(docs.select("doc_id", "text", "lang"), folder, tolerance, min_group, min_tokens)
+    out = judged(docs.select("doc_id", "text", "lang"), folder, tolerance, min_group, min_tokens, ("text", "lang"))
     rounded = [F.round(f"__m.{m}", 6).alias(m) for m in MEASURES]
     return out.select("doc_id", F.col("__band").alias("band"), F.col("__m.n_tokens").alias("n_tokens"), *rounded, F.col("__why").alias("why"), (F.size("__why") == 0).alias("keep"))
 
