@@ -7,6 +7,7 @@ import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 from .arrow import arrow_function
 from .trees import Tree, size, to_bracket
@@ -129,6 +130,31 @@ def _closed(cell: int, up: list[int]) -> int:
         cell = new
 
 
+@lru_cache(64)
+def _reach(g: Grammar | FeatureGrammar) -> tuple[frozenset[str], float]:
+    """The words of a grammar, and the most of them that its start symbol can derive (infinite where symbols recur)."""
+    if isinstance(g, Grammar):
+        heads, start = g.heads(), g.start
+        rules = [(head, [(s, s not in heads) for s in body]) for head, body, _ in g.rules]
+    else:
+        start = g.start.base
+        rules = [(left.base, [(s.base, s.word) for s in body]) for left, body in g.rules]
+    most: dict[str, float] = {head: 0 for head, _ in rules}
+    for round_ in range(2 * len(most) + 2):
+        for head, body in rules:
+            n = sum(1 if word else most.get(s, 0) for s, word in body)
+            if n > most[head]:
+                most[head] = n if round_ <= len(most) else math.inf
+    return frozenset(s for _, body in rules for s, word in body if word), most.get(start, 0)
+
+
+def possible(tokens: list[str], g: Grammar | FeatureGrammar) -> bool:
+    """False where no parser can accept: there is no token, one that the grammar doesn't have, or more than it can derive.
+    Takes linear time, so that runs of any length can be asked for."""
+    words, most = _reach(g)
+    return 0 < len(tokens) <= most and all(t in words for t in tokens)
+
+
 def recognize(tokens: list[str], g: Grammar) -> bool:
     """Whether the start symbol derives the tokens: sets of symbols as bits of integers."""
     b = Binary(g)
@@ -443,28 +469,36 @@ _PARSERS = {
 }
 
 
+def _if_possible(parse, g: Grammar | FeatureGrammar, none):
+    return lambda tokens: parse(tokens) if possible(tokens, g) else none
+
+
 def parse_text(g: Grammar, method: str = "chart", most: int = 8, lower: bool = True):
     """Texts to arrays of bracket strings."""
-    run = _PARSERS[method]
-    return arrow_function(lambda t: [to_bracket(x) for x in run(grammar_tokens(t, lower), g, most)], "array<string>")
+    run = _if_possible(lambda t: _PARSERS[method](t, g, most), g, [])
+    return arrow_function(lambda t: [to_bracket(x) for x in run(grammar_tokens(t, lower))], "array<string>")
 
 
 def parse_tokens(g: Grammar, method: str = "chart", most: int = 8):
-    run = _PARSERS[method]
-    return arrow_function(lambda t: [to_bracket(x) for x in run(list(t), g, most)], "array<string>")
+    run = _if_possible(lambda t: _PARSERS[method](t, g, most), g, [])
+    return arrow_function(lambda t: [to_bracket(x) for x in run(list(t))], "array<string>")
 
 
 def recognize_text(g: Grammar):
-    return arrow_function(lambda t: recognize(grammar_tokens(t), g), "boolean")
+    run = _if_possible(lambda t: recognize(t, g), g, False)
+    return arrow_function(lambda t: run(grammar_tokens(t)), "boolean")
 
 
 def parse_text_weighted(g: Grammar, lower: bool = True):
+    best = _if_possible(lambda t: viterbi_parse(t, g), g, None)
+
     def run(t: str):
-        got = viterbi_parse(grammar_tokens(t, lower), g)
+        got = best(grammar_tokens(t, lower))
         return got and {"tree": to_bracket(got[0]), "log_prob": got[1], "prob": math.exp(got[1])}
 
     return arrow_function(run, "struct<tree:string,log_prob:double,prob:double>")
 
 
 def parse_text_features(g: FeatureGrammar, most: int = 8, lower: bool = True):
-    return arrow_function(lambda t: [to_bracket(x) for x in feature_parse(grammar_tokens(t, lower), g, most)], "array<string>")
+    run = _if_possible(lambda t: feature_parse(t, g, most), g, [])
+    return arrow_function(lambda t: [to_bracket(x) for x in run(grammar_tokens(t, lower))], "array<string>")

@@ -107,7 +107,7 @@ query(None, "lm_perplexity")(
     lambda s, d: lm.perplexity(_model(s, d, "kneser_ney_interpolated"), _turns(s, d).filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), T.ascii_tokens("text").alias("tokens")))
 )
 
-# tags, chunks, parses: of the first words of each turn's sentences, short enough for the grammars
+# tags, chunks, parses
 
 CHUNKS = "NP: {<DT>?<NN.*>+}\nVP: {<VB.*><RB>?}"
 GRAMMAR = """S -> NP VP | NP
@@ -125,19 +125,18 @@ VP[num=pl] -> 'are'
 N -> 'of' | 'in' | 'on' | 'it' | 'for' | 'and' | 'to' | 'with' | 'by'"""
 
 
-def _short(spark, d) -> DataFrame:
-    """Runs of words between full stops of up to four words, each once."""
-    pieces = F.filter(F.split(F.lower("text"), r"[.\n]+"), lambda p: F.size(F.split(F.trim(p), " ")) <= 4)
-    return _docs(spark, d).select(F.explode(pieces).alias("p")).select(F.trim("p").alias("sentence")).filter("sentence <> ''").distinct()
+def _runs(spark, d) -> DataFrame:
+    """All runs of words between full stops, each once."""
+    return _docs(spark, d).select(F.explode(F.split(F.lower("text"), r"[.\n]+")).alias("p")).select(F.trim("p").alias("sentence")).filter("sentence <> ''").distinct()
 
 
 query(None, "chunk_iob")(lambda s, d: chunk.chunked(_docs(s, d), CHUNKS))
 query(None, "perceptron_tags")(lambda s, d: _turns(s, d).select("conv_id", "turn", T.raw_ascii_tokens("text").alias("token")).withColumn("tag", tagger.default_model().column("token")).select("conv_id", "turn", F.posexplode(F.arrays_zip("token", "tag")).alias("pos", "x")).select("conv_id", "turn", "pos", "x.*"))
 for _method in ("chart", "earley", "recursive_descent", "left_corner"):
-    query(None, f"cfg_{_method}")(lambda s, d, m=_method: _short(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
-query(None, "cfg_recognize")(lambda s, d: _short(s, d).select("sentence", grammar.recognize_text(grammar.cfg(GRAMMAR))("sentence").alias("accepted")))
-query(None, "pcfg_viterbi")(lambda s, d: _short(s, d).select("sentence", grammar.parse_text_weighted(grammar.pcfg(WEIGHTED))("sentence").alias("p")).filter("p is not null").select("sentence", "p.*"))
-query(None, "feature_parse")(lambda s, d: _short(s, d).select("sentence", F.explode(grammar.parse_text_features(grammar.feature_cfg(FEATURES))("sentence")).alias("tree")))
+    query(None, f"cfg_{_method}")(lambda s, d, m=_method: _runs(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
+query(None, "cfg_recognize")(lambda s, d: _runs(s, d).select("sentence", grammar.recognize_text(grammar.cfg(GRAMMAR))("sentence").alias("accepted")))
+query(None, "pcfg_viterbi")(lambda s, d: _runs(s, d).select("sentence", grammar.parse_text_weighted(grammar.pcfg(WEIGHTED))("sentence").alias("p")).filter("p is not null").select("sentence", "p.*"))
+query(None, "feature_parse")(lambda s, d: _runs(s, d).select("sentence", F.explode(grammar.parse_text_features(grammar.feature_cfg(FEATURES))("sentence")).alias("tree")))
 query(None, "dependency_arcs")(lambda s, d: _turns(s, d).select("conv_id", "turn", chunk.dependency_text("text").alias("p")).select("conv_id", "turn", F.explode("p.arcs").alias("a")).select("conv_id", "turn", "a.*"))
 query(None, "tree_transforms")(lambda s, d: QUERIES["cfg_chart"](s, d).select("sentence", "tree", trees.tree_depth("tree").alias("depth"), F.array_join(trees.tree_leaves("tree"), " ").alias("leaves"), trees.tree_collapsed("tree").alias("collapsed")))
 

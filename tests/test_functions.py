@@ -1,6 +1,7 @@
 """Functions of single values: goldens from the definitions."""
 
 import math
+import tempfile
 
 import pytest
 
@@ -75,6 +76,29 @@ def test_parsers_agree():
         grammar.cfg("# nothing")
 
 
+def test_long_runs_are_parsed(spark):
+    """Runs of more than four words get trees and a verdict, very long ones too."""
+    from lexmill.plans import language
+
+    runs = ["the on in is this of by", "it is the of", "it is the of and to", "a of in are the in of", "the " * 30_000, "word " * 30_000]
+    df = spark.createDataFrame([(i, r.strip(), "en", "a", len(r)) for i, r in enumerate(runs)], "doc_id long, text string, lang string, source string, n_chars long")
+    with tempfile.TemporaryDirectory() as d:
+        df.write.parquet(f"{d}/documents.parquet")
+        verdict = {r["sentence"]: r["accepted"] for r in language.QUERIES["cfg_recognize"](spark, d).collect()}
+        g, f = grammar.cfg(language.GRAMMAR), grammar.feature_cfg(language.FEATURES)
+        assert verdict == {r.strip(): len(r) < 100 and grammar.recognize(r.split(), g) for r in runs} and verdict[runs[0]]
+        for name, parse in (("cfg_chart", lambda t: grammar.chart_parse(t, g)), ("cfg_earley", lambda t: grammar.earley_parse(t, g)), ("cfg_recursive_descent", lambda t: grammar.descent_parse(t, g)), ("cfg_left_corner", lambda t: grammar.descent_parse(t, g, left_corner=True)), ("feature_parse", lambda t: grammar.feature_parse(t, f))):
+            got = {(r["sentence"], r["tree"]) for r in language.QUERIES[name](spark, d).collect()}
+            assert got == {(r, trees.to_bracket(t)) for r in runs[:4] for t in parse(r.split())}
+        assert {r["sentence"] for r in language.QUERIES["pcfg_viterbi"](spark, d).collect()} == {r for r in runs[:4] if verdict[r]}
+
+
+def test_derivable_lengths():
+    assert grammar._reach(grammar.cfg("S -> A B\nA -> 'x' 'y' | 'x'\nB -> A | A A")) == ({"x", "y"}, 6)
+    assert grammar._reach(grammar.cfg(CFG))[1] == math.inf
+    assert not grammar.possible(["x"] * 7, grammar.cfg("S -> A B\nA -> 'x' 'y' | 'x'\nB -> A | A A"))
+
+
 def test_weights():
     g = grammar.pcfg("S -> A S [0.4] | A [0.6]\nA -> 'a' | 'b'")
     assert {r[1]: pytest.approx(math.exp(r[2])) for r in g.rules} == {("A", "S"): 0.4, ("A",): 0.6, ("a",): 0.5, ("b",): 0.5}
