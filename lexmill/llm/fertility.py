@@ -3,7 +3,9 @@
 Public vocabularies measure a text: characters per token under two of them, the share of byte-fallback tokens and the
 entropy of its tokens. For each language (or, where none is given, script) and size class the documents themselves say
 what is usual: the band around the median of each measure is TOLERANCE robust deviations wide. A text outside a band is
-rejected.
+rejected. A size class of too few documents is judged by the next size classes of its language as well, as many as it takes,
+and where the language has too few in all by those of all languages, so that every text with a token is judged, unless the
+whole table has too few documents to say what is usual.
 
 Words are encoded one by one, each distinct word once per worker while the word cache has room; emptying it changes no
 result. Bands come from exact histograms over all documents.
@@ -27,7 +29,7 @@ from ._words import cuts
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
-TOLERANCE, MIN_GROUP, MIN_TOKENS = 6.0, 50, 16
+TOLERANCE, MIN_GROUP, MIN_TOKENS = 6.0, 50, 1
 #: Histogram steps per unit, least robust deviation, and which side of the band rejects (-1 below, 1 above).
 MEASURES = {"chars_per_token": (128, 0.04, (-1, 1)), "chars_per_byte_token": (128, 0.06, (-1, 1)), "byte_share": (1024, 0.01, (1,)), "entropy": (128, 0.08, (-1,))}
 METRICS = "n_tokens long, chars_per_token double, chars_per_byte_token double, byte_share double, entropy double"
@@ -121,24 +123,47 @@ def measured(docs: DataFrame, folder: str) -> DataFrame:
     return out.withColumn("__size", F.floor(F.log2(F.greatest(F.col("__m.n_tokens"), F.lit(1)).cast("double"))).cast("int"))
 
 
+def pools(sizes: DataFrame, min_group: int) -> DataFrame:
+    """For each (__band, __size), a row for each (from, size) whose documents judge it: the size classes up to the least
+    distance that holds min_group documents, of the language or, where that never does, of all (from is null).
+    A table of fewer documents than that has no rows. sizes: __band, __size, n."""
+    every = sizes.groupBy(F.lit(None).cast("string").alias("from"), F.col("__size").alias("size")).agg(F.sum("n").alias("n"))
+    here = sizes.select("__band", "__size")
+    own = here.join(sizes.select("__band", F.col("__band").alias("from"), F.col("__size").alias("size"), "n"), "__band")
+    each = own.unionByName(here.crossJoin(F.broadcast(every))).withColumn("far", F.abs(F.col("size") - F.col("__size")))
+    w = W.partitionBy("__band", "__size", F.isnull("from"))
+    each = each.withColumn("total", F.sum("n").over(w.orderBy("far").rangeBetween(W.unboundedPreceding, W.currentRow)))
+    each = each.withColumn("reach", F.min(F.when(F.col("total") >= min_group, F.col("far"))).over(w))
+    each = each.withColumn("own", F.max(F.col("from").isNotNull() & F.col("reach").isNotNull()).over(W.partitionBy("__band", "__size")))
+    return each.filter((F.col("far") <= F.col("reach")) & (F.col("own") == F.col("from").isNotNull())).select("__band", "__size", "from", "size")
+
+
 def bands(measures: DataFrame, tolerance: float, min_group: int, min_tokens: int) -> DataFrame:
-    """(__band, __size) with the lowest and highest histogram step that each measure may take. Groups of fewer documents than
-    min_group have no row."""
+    """(__band, __size) with the lowest and highest histogram step that each measure may take, by the documents of pools()."""
     steps = [F.struct(F.lit(m).alias("m"), F.round(F.col(f"__m.{m}") * s).cast("long").alias("x")) for m, (s, _, _) in MEASURES.items()]
     hist = measures.filter(F.col("__m.n_tokens") >= min_tokens).select("__band", "__size", F.explode(F.array(*steps)).alias("h"))
     hist = stored(hist.groupBy("__band", "__size", "h.m", "h.x").agg(F.count("*").alias("n")), "histogram")
+    by = stored(pools(hist.filter(F.col("m") == next(iter(MEASURES))).groupBy("__band", "__size").agg(F.sum("n").alias("n")), min_group), "pools")
+    every = hist.groupBy(F.lit(None).cast("string").alias("from"), F.col("__size").alias("size"), "m", "x").agg(F.sum("n").alias("n"))
+    parts = hist.select(F.col("__band").alias("from"), F.col("__size").alias("size"), "m", "x", "n")
+    own = by.filter("from is not null").join(parts, ["from", "size"])
+    rest = by.filter("from is null").drop("from").join(every.drop("from"), "size")
+    # a text is at most one bit richer than its halves
+    extra = F.when(F.col("m") == "entropy", F.greatest(F.col("size") - F.col("__size"), F.lit(0)) * MEASURES["entropy"][0]).otherwise(0)
+    pooled = own.drop("from").unionByName(rest).withColumn("x", F.col("x") - extra)
+    hist = stored(pooled.groupBy("__band", "__size", "m", "x").agg(F.sum("n").alias("n")), "pooled")
     group = ["__band", "__size", "m"]
 
     def middle(h: DataFrame, x: str, name: str) -> DataFrame:
         w = W.partitionBy(*group)
         h = h.withColumns({"__c": F.sum("n").over(w.orderBy(x)), "__t": F.sum("n").over(w)})
-        return h.filter(F.col("__c") * 2 >= F.col("__t")).groupBy(*group).agg(F.min(x).alias(name), F.first("__t").alias("docs"))
+        return h.filter(F.col("__c") * 2 >= F.col("__t")).groupBy(*group).agg(F.min(x).alias(name))
 
     med = middle(hist, "x", "mid")
-    away = hist.join(med, group).withColumn("d", F.abs(F.col("x") - F.col("mid"))).groupBy(*group, "mid", "docs", "d").agg(F.sum("n").alias("n"))
+    away = hist.join(med, group).withColumn("d", F.abs(F.col("x") - F.col("mid"))).groupBy(*group, "mid", "d").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*group)
     away = away.withColumns({"__c": F.sum("n").over(w.orderBy("d")), "__t": F.sum("n").over(w)}).filter(F.col("__c") * 2 >= F.col("__t"))
-    wide = away.groupBy(*group).agg(F.min("d").alias("mad"), F.first("mid").alias("mid"), F.first("docs").alias("docs")).filter(F.col("docs") >= min_group)
+    wide = away.groupBy(*group).agg(F.min("d").alias("mad"), F.first("mid").alias("mid"))
     cols = []
     for m, (s, least, sides) in MEASURES.items():
         here = F.col("m") == m
@@ -163,8 +188,10 @@ def judged(docs: DataFrame, folder: str, tolerance: float, min_group: int, min_t
 def fertility(docs: DataFrame, folder: str = TOKENIZERS, tolerance: float = TOLERANCE, min_group: int = MIN_GROUP, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row per document: doc_id, band, the measures, why (what is out of its band) and keep.
 
-    Null and empty texts, and those of white space only, are rejected as "empty". Texts of fewer than min_tokens tokens
-    and those of a language and size class with fewer than min_group documents are kept: the measures say too little.
+    Null and empty texts, and those of white space only, are rejected as "empty". A language and size class of fewer than
+    min_group documents is judged together with its next ones; in a table of fewer documents than that only
+    empty texts are rejected. Texts of fewer than min_tokens tokens would be kept; by
+    default there are none.
     A null or blank lang is replaced by the script. Null ids and repeated rows are measured like any other. An empty
     table gives an empty result; extra columns are ignored; texts of any length are measured whole.
     """

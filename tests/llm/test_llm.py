@@ -443,6 +443,17 @@ def test_fertility_bands_reject_what_is_unusual(spark):
     assert not any(out[300 + i]["keep"] for i in range(2))
 
 
+def test_fertility_judges_thin_groups(spark):
+    """Junk among few documents of its language, of its size, and of all; very long and very short ones."""
+    rng = random.Random(14)
+    common = [(prose(rng, rng.randint(40, 60)), "en") for _ in range(120)]
+    junk = [("vo " * 70, "xx"), ("vo " * 20_000, "en"), ("zq " * 6, "en"), ("%%% ### $$$ &&& " * 400, "yy")]
+    rows = [(i, t, lang, "a", len(t)) for i, (t, lang) in enumerate(common + junk)]
+    out = {r["doc_id"]: r for r in fertility.fertility(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not out[120]["keep"] and not out[121]["keep"] and not out[123]["keep"] and len(out) == 124
+    assert sum(not out[i]["keep"] for i in range(120)) <= 2
+
+
 def test_quality_of_labelled_documents(spark, data):
     d, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/labels.parquet")
     out = fertility.fertility(d).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
