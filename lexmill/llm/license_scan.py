@@ -1,13 +1,15 @@
-"""Licence notices in documents: winnowed fingerprints of templates propose, banded alignment decides.
+"""Licence notices in documents: fingerprints of templates propose, local alignment decides.
 
-Of each template the winnowed hashes of its runs of GRAM words form an inverted index (hash to template and place). All
-runs of a document are looked up in it, so that any WINDOW + GRAM - 1 equal words in a row make a template a candidate.
-Hits of a template on neighbouring diagonals are aligned with it by local alignment within a band around them, which
-reports how much of the template is matched and where. The index has the size of the template list, a parameter.
+A local alignment with match 1 and mismatch and gap -1 begins with two equal words in a row, or its first word adds nothing;
+and one that matches enough of a template begins early enough in it. The hashes of a template's pairs of words at these
+places, all of them, form an inverted index (hash to template and place). Each place of a document where one occurs is
+aligned from there, without a band: no notice with enough matched words can be missed. The index has the size of the
+template list, a parameter.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,13 +48,6 @@ _FOUND = "array<struct<license:string,template:string,first_word:bigint,last_wor
 _TYPE = pa.struct([("license", pa.string()), ("template", pa.string()), *((n, pa.int64()) for n in ("first_word", "last_word", "start", "end", "matched", "template_words", "score"))])
 
 
-def winnow(hashes: list[int], window: int) -> set[int]:
-    """Places of the least hash of each window, the rightmost of equals."""
-    if len(hashes) <= window:
-        return {min(range(len(hashes)), key=lambda i: (hashes[i], -i))} if hashes else set()
-    return {min(range(i, i + window), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - window + 1)}
-
-
 def align(template: list[int], words: list[int], first: int, low: int, high: int) -> tuple[int, int, int, int] | None:
     """Best local alignment (match 1, mismatch and gap -1) of a template with words from place first on, word j against
     template word i only where low <= j - i <= high. Score, matched words, first and last word; None without a match.
@@ -85,55 +80,75 @@ def align(template: list[int], words: list[int], first: int, low: int, high: int
     return (best[0], best[1], best[2] + first, best[3] + first) if best[0] else None
 
 
+def extend(template: list[int], words: list[int], i: int, j: int) -> tuple[int, int, int]:
+    """Best local alignment (as in align()) that begins with template word i against the equal word j: score, matched words
+    and last word. Only cells with a positive score are held."""
+    above = {j: (1, 1)}
+    best = (1, 1, j)
+    for t in template[i + 1 :]:
+        row: dict[int, tuple[int, int]] = {}
+        at, end = min(above), max(above) + 1
+        while at < len(words) and (at <= end or at - 1 in row):
+            got = (0, 0)
+            if at - 1 in above:
+                s, m = above[at - 1]
+                got = (s + 1, m + 1) if words[at] == t else (s - 1, m)
+            for s, m in (above.get(at, got), row.get(at - 1, got)):
+                if s - 1 > got[0]:
+                    got = (s - 1, m)
+            if got[0] > 0:
+                row[at] = got
+                if got[0] > best[0]:
+                    best = (*got, at)
+            at += 1
+        if not row:
+            break
+        above = row
+    return best
+
+
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints. gram: the most words of one, of which two are enough; nothing is left out by window."""
 
     def __init__(self, templates: tuple[tuple[str, str, str], ...], gram: int, window: int):
-        self.gram = gram
         words = Words([t for _, _, t in templates])
+        self.gram = gram
         self.names = [(a, b) for a, b, _ in templates]
         self.words = [words.hash[words.first[i] : words.first[i + 1]].tolist() for i in range(len(templates))]
-        self.post: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        at, h = words.windows(gram)
-        for i in range(len(templates)):
-            own = words.row[at] == i
-            hashes = h[own].tolist()
-            short = len(self.words[i]) < window + gram - 1
-            for p in sorted(range(len(hashes)) if short else winnow(hashes, window)):
-                self.post[hashes[p]].append((i, p))
-        self.keys = np.array(sorted(self.post), np.uint64)
+        self._all = words
+
+    def starts(self, min_coverage: float) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """By number of words: hash to (template, place), wherever an alignment with enough matched words can begin."""
+        need = [max(1, math.ceil(min_coverage * len(w))) for w in self.words]
+        post: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for g in (1, 2):
+            at, h = self._all.windows(g)
+            for a, x in zip(at.tolist(), h.tolist(), strict=True):
+                t = int(self._all.row[a])
+                p = a - int(self._all.first[t])
+                if g == (1 if need[t] == 1 else min(2, self.gram)) and p <= len(self.words[t]) - need[t]:
+                    post.setdefault(g, defaultdict(list))[x].append((t, p))
+        return post
 
     def scan(self, texts: list[str | None], min_coverage: float) -> list[list[dict]]:
         words = Words(texts)
         out: list[list[dict]] = [[] for _ in texts]
-        at, h = words.windows(self.gram)
-        if not len(at) or not len(self.keys):
-            return out
-        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[place] == h
-        seeds: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for a, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-            r = int(words.row[a])
-            for t, p in self.post[x]:
-                seeds[r, t].add(a - int(words.first[r]) - p)
-        for (r, t), diagonals in sorted(seeds.items()):
-            n = len(self.words[t])
-            band = max(3, n // 8)
-            base, count = int(words.first[r]), int(words.first[r + 1] - words.first[r])
-            groups: list[list[int]] = []
-            for d in sorted(diagonals):
-                if groups and d - groups[-1][0] <= band:
-                    groups[-1].append(d)
-                else:
-                    groups.append([d])
-            for g in groups:
-                low, high = g[0] - band, g[-1] + band
-                a, b = max(0, low), min(count, n + high)
-                got = align(self.words[t], words.hash[base + a : base + b].tolist(), a, low, high)
-                if got and got[1] >= min_coverage * n:
-                    score, matched, i, j = got
-                    lic, name = self.names[t]
-                    out[r].append({"license": lic, "template": name, "first_word": i, "last_word": j, "start": int(words.start[base + i]), "end": int(words.end[base + j]), "matched": matched, "template_words": n, "score": score})
+        for gram, post in self.starts(min_coverage).items():
+            keys = np.array(sorted(post), np.uint64)
+            at, h = words.windows(gram)
+            if not len(at):
+                continue
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            for a, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+                r = int(words.row[a])
+                base = int(words.first[r])
+                for t, p in post[x]:
+                    n = len(self.words[t])
+                    score, matched, last = extend(self.words[t], words.hash[a : min(int(words.first[r + 1]), a + 2 * n)].tolist(), p, 0)
+                    if matched >= min_coverage * n:
+                        lic, name = self.names[t]
+                        out[r].append({"license": lic, "template": name, "first_word": a - base, "last_word": a - base + last, "start": int(words.start[a]), "end": int(words.end[a + last]), "matched": matched, "template_words": n, "score": score})
         return [choose(x) for x in out]
 
 

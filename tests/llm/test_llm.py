@@ -152,6 +152,23 @@ def test_licenses_equal_unbanded_alignment(spark):
     assert len(got) >= len(license_scan.TEMPLATES)
 
 
+def test_edited_short_notices_equal_unbanded_alignment():
+    """Each word of each short template changed, left out or followed by another one, and pairs of changes."""
+    texts = []
+    for _, _, t in license_scan.TEMPLATES:
+        words = t.split()
+        if len(words) <= 12:
+            for i in range(len(words)):
+                texts += [" ".join([*words[:i], *new, *words[i + 1 :]]) for new in (["qqq"], [], [words[i], "qqq"])]
+                texts += [" ".join("qqq" if k in (i, j) else w for k, w in enumerate(words)) for j in range(i)]
+    texts = [f"aaa bbb {t} ccc ddd" for t in texts]
+    found = license_scan.Index(license_scan.TEMPLATES, 3, 3).scan(texts, license_scan.MIN_COVERAGE)
+    got = [{(f["template"], f["first_word"], f["last_word"], f["matched"]) for f in fs} for fs in found]
+    want = [plain_licenses(t) for t in texts]
+    assert got == want and sum(map(bool, want)) > 100
+    assert license_scan.Index(license_scan.TEMPLATES, 3, 3).scan(["Released under an MIT License"], 0.75)[0][0]["template"] == "mit-short"
+
+
 def test_two_notices_of_a_template():
     out = license_scan.Index(license_scan.TEMPLATES, 3, 3).scan(["Released under the MIT License. x y z w v u t s r q Released under the MIT License."], 0.75)[0]
     assert [(f["template"], f["first_word"]) for f in out] == [("mit-short", 0), ("mit-short", 15)]
