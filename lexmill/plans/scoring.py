@@ -132,17 +132,25 @@ def _cells_sql(size: int) -> tuple[str, str]:
                 for more in combinations(rest, q):
                     cell += (" - " if q % 2 else " + ") + margin(tuple(sorted((*inside, *more))))
             e = " * ".join(f"m_{i}" if i in inside else f"(z - m_{i})" for i in range(size)) + f" / ({' * '.join(['z'] * (size - 1))})"
-            total.append(f"({cell}) * ln(({cell}) / ({e} + {_E}) + {_E})")
+            x = f"({cell}) / ({e} + {_E}) + {_E}"
+            total.append(f"({cell}) * CASE WHEN {x} > 0 THEN ln({x}) END")
             if 0 < r < size:
                 near.append(f"({cell})")
     return f"2 * ({' + '.join(total)})", f"n / ({' + '.join(near)})"
 
 
+def _likelihood(size: int):
+    def run(s, d):
+        m = C.marginals(C.finder(_docs(s, d), size))
+        return m.select(*(f"w{i + 1}" for i in range(size)), F.round(C.likelihood_ratio(C.Cells(size)) + OFF, 2).alias("likelihood_ratio"), F.round(C.jaccard(C.Cells(size)) + OFF, 4).alias("jaccard"))
+
+    return run
+
+
+# cells are negative where a document's end leaves a pattern without its last words; such an n-gram has no ratio
 for _size, _name in ((3, "trigram_likelihood"), (4, "quadgram_likelihood")):
-    _ja = _cells_sql(_size)[1]
-    query(f"{K}, {_patterns_sql(_size, _size)}, q AS ({_marginals_sql(_size)}), s AS (SELECT *, {_ja} AS ja FROM q) SELECT {', '.join(f'w{i + 1}' for i in range(_size))}, round(ja + {OFF}, 4) AS jaccard FROM s", _name)(
-        lambda s, d, size=_size: C.marginals(C.finder(_docs(s, d), size)).select(*(f"w{i + 1}" for i in range(size)), F.round(C.jaccard(C.Cells(size)) + OFF, 4).alias("jaccard"))
-    )
+    _lr, _ja = _cells_sql(_size)
+    query(f"{K}, {_patterns_sql(_size, _size)}, q AS MATERIALIZED ({_marginals_sql(_size)}) SELECT {', '.join(f'w{i + 1}' for i in range(_size))}, round({_lr} + {OFF}, 2) AS likelihood_ratio, round({_ja} + {OFF}, 4) AS jaccard FROM q", _name)(_likelihood(_size))
 
 for _size in (3, 4):
     query(None, f"{'tri' if _size == 3 else 'quad'}gram_nbest")(lambda s, d, size=_size: C.nbest(C.finder(_docs(s, d), size).with_freq(3), "likelihood_ratio", 50))
@@ -226,17 +234,12 @@ query(_CONC, "concordance")(lambda s, d: explore.concordance(_docs(s, d), ["of",
 
 # metrics
 
-# other characters as ?, since the SQL function counts bytes
-query("WITH t AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.text, b.text)::BIGINT AS distance FROM t a JOIN t b ON a.item_id < b.item_id", "edit_distance")(
-    lambda s, d: _pairs(s, d).select("a", "b", metrics.distance("x", "y").cast("long").alias("distance"))
-)
-
-
-def _pairs(spark, d) -> DataFrame:
-    b = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
-    one = b.select(F.col("item_id").alias("a"), F.col("text").alias("x"))
-    two = b.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
-    return one.join(two, F.col("a") < F.col("b"))
+@query(None)
+def edit_distance(spark, d):
+    """Code points to change from each turn of a conversation to the next one."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", metrics.distance("x", "y").cast("long").alias("distance"))
 
 
 @query(None)

@@ -228,3 +228,47 @@ def test_rank_is_dense(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
     got = counts.rank_by(df, "x").collect()
     assert all(r["rank"] == r["x"] for r in got)
+
+
+@pytest.mark.parametrize("size", [3, 4])
+def test_likelihood_ratio_equals_contingency_tables(spark, size):
+    """Cells counted one by one; three words or four, every n-gram of a text that ends in words seen nowhere else."""
+    import random
+    from itertools import product
+
+    rng = random.Random(20)
+    words = [rng.choice("abcd") for _ in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = {tuple(r)[:size]: r["s"] for r in collocations.score(collocations.finder(docs, size), "likelihood_ratio").withColumnRenamed("score", "s").collect()}
+    full = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    total = len(words)
+
+    def margin(gram, place):
+        if not place:
+            return total
+        span = place[-1] - place[0]
+        return sum(all(words[i + p - place[0]] == gram[p] for p in place) for i in range(total - span))
+
+    assert got
+    for gram in full:
+        s = 0.0
+        for inside in product((0, 1), repeat=size):
+            own = tuple(i for i in range(size) if inside[i])
+            rest = [i for i in range(size) if not inside[i]]
+            seen = sum((-1) ** k * margin(gram, tuple(sorted((*own, *more)))) for k in range(len(rest) + 1) for more in combinations(rest, k))
+            e = math.prod(margin(gram, (i,)) if inside[i] else total - margin(gram, (i,)) for i in range(size)) / total ** (size - 1)
+            x = seen / (e + 1e-20) + 1e-20
+            s = math.nan if x <= 0 or math.isnan(s) else s + seen * math.log(x)
+        assert (gram not in got) if math.isnan(s) else abs(got[gram] - 2 * s) < 1e-6
+
+
+def test_edit_distance_query_equals_plain_distance(spark, tmp_path):
+    from lexmill import catalog
+    from lexmill.functions.metrics import edit_distance
+
+    rows = [(1, 0, "u", "naïve é"), (1, 1, "a", "naive ñ"), (1, 2, "u", ""), (2, 5, "u", "日本語"), (2, 6, "a", "日本"), (2, 8, "a", "x"), (3, 0, "u", None), (3, 1, "a", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["distance"] for r in catalog.queries()["edit_distance"](spark, str(tmp_path)).collect()}
+    text = {(c, t): x for c, t, _, x in rows}
+    want = {(c, t): None if x is None or text[c, t + 1] is None else edit_distance(x, text[c, t + 1]) for (c, t), x in text.items() if (c, t + 1) in text}
+    assert got == want and got[1, 0] == 2
