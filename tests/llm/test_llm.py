@@ -348,27 +348,53 @@ def test_token_counts_and_cache(spark, tmp_path):
 # 6
 
 
-@pytest.mark.parametrize("max_bytes", [10**6, 1])
-def test_cascade_is_exact(spark, max_bytes):
+@pytest.mark.parametrize(("max_bytes", "shard_keys"), [(10**6, 10**6), (10**6, 400), (1, 400), (1, 10**6)])
+def test_cascade_is_exact(spark, max_bytes, shard_keys):
+    """Broadcast and dealt over shards, with one shard and several; a frequent url, long ones, columns of clashing names."""
     rng = random.Random(10)
     urls = [f"https://{'www.' if i % 2 else ''}{word(rng)}.example.com/{i}{'/' if i % 3 else ''}?q={i}" for i in range(3000)]
     rows = [(i, u) for i, u in enumerate(urls)] + [(9000, None), (9001, urls[0]), (None, urls[1]), (9002, "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    keys = {r["page_id"]: r["k"] for r in pages.select("page_id", bloom_cascade.url_key(F.col("url")).alias("k")).collect()}
-    listed = {keys[i] for i in range(0, 3000, 7)} | {"not.in.corpus/1"}
-    listing = spark.createDataFrame([(k,) for k in listed] + [(None,)], "key string")
-    out = bloom_cascade.url_filter(pages, listing, max_bytes).collect()
-    assert len(out) == len(rows)
+    rows += [(10000 + i, urls[7 + i % 2]) for i in range(1500)] + [(20000, "https://x.com/" + "a" * 100_000), (20001, "https://x.com/" + "a" * 99_999 + "b")]
+    pages = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "page_id long, url string, key string, h1 long, x int").toDF("page_id", "url", "key", "h1", "PAGE_ID")
+    keys = {r["page_id"]: r["k"] for r in spark.createDataFrame(rows, "page_id long, url string").select("page_id", bloom_cascade.url_key(F.col("url")).alias("k")).collect()}
+    listed = {keys[i] for i in range(0, 3000, 7)} | {"not.in.corpus/1", keys[20000]}
+    listing = spark.createDataFrame([(k, 1) for k in listed] + [(None, 1)], "key string, listed int")
+    df = bloom_cascade.url_filter(pages, listing, max_bytes, shard_keys)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    out = df.collect()
+    assert sorted(map(str, ((r["page_id"], r["url"]) for r in out))) == sorted(map(str, rows))
     assert all(r["listed"] == (keys[r["page_id"]] in listed) for r in out if r["page_id"] is not None)
-    assert bloom_cascade.url_filter(pages.limit(0), listing).count() == 0
-    assert not bloom_cascade.url_filter(pages, listing.limit(0)).filter("listed").count()
+    if max_bytes > 1:
+        assert bloom_cascade.url_filter(pages.limit(0), listing).count() == 0
+        assert not bloom_cascade.url_filter(pages, listing.limit(0)).filter("listed").count()
 
 
 def test_cascade_has_levels(spark):
     keys = spark.range(20000).select(*bloom_cascade.hashed(F.col("id").cast("string")), (F.col("id") % 10 == 0).alias("listed"))
-    levels = bloom_cascade.build(keys)
-    assert len(levels) > 2
-    assert sum(x.m for x in levels) / 8 < 20000  # bytes; far below the keys' own size
+    cascade = bloom_cascade.build(keys)
+    assert len(cascade.levels) > 2 and cascade.size() < 20000  # bytes; far below the keys' own size
+
+
+def test_hashes_are_independent_and_clashes_are_seen(spark):
+    rows = spark.range(2000).select(*bloom_cascade.hashed(F.col("id").cast("string")), F.xxhash64(F.lit(1), F.xxhash64(F.lit(0), F.col("id").cast("string"))).alias("of_h1")).collect()
+    assert not any(r["h2"] == r["of_h1"] for r in rows)
+    keys = spark.range(300).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    tried = []
+
+    def narrow(key, seed):
+        """The first seeds' hashes are those of 100 keys; later ones tell all keys apart."""
+        tried.append(seed)
+        key = F.pmod(key.cast("long"), F.lit(100)).cast("string") if seed < 2 else key
+        return bloom_cascade.hashed(key, seed)
+
+    universe, seed = bloom_cascade.distinct_hashes(keys, hashes=narrow)
+    assert tried == [0, 1, 2] and seed == 2 and universe.count() == 300
+    with pytest.raises(ValueError, match="share"):
+        bloom_cascade.distinct_hashes(keys, 2, narrow)
+    # keys that share one of their two hashes are told apart
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("h1"), F.xxhash64("id").alias("h2"), (F.col("id") % 5 == 0).alias("listed"))
+    levels = [x[0] for x in bloom_cascade.build(same).levels]
+    assert 1 < len(levels) < 40
 
 
 # 7
