@@ -111,6 +111,20 @@ class Words:
         a, b = self._base[r] + self.start[i], self._base[r] + self.end[i]
         return self._low[self._code[a:b]].tobytes().decode("utf-32-le", "surrogatepass")
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words in lower case, each with a space after it, as UTF-8, and the place where each begins."""
+        size = self.end - self.start
+        if not len(size):
+            return b"", np.zeros(0, np.int64)
+        offset = np.cumsum(size + 1) - (size + 1)
+        out = np.full(int(offset[-1] + size[-1] + 1), 32, np.uint32)
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        source = np.repeat(self._base[self.row] + self.start, size) + inner
+        out[np.repeat(offset, size) + inner] = self._low[self._code[source]]
+        wide = 1 + (out > 0x7F).astype(np.int64) + (out > 0x7FF) + (out > 0xFFFF)
+        begin = np.cumsum(wide) - wide
+        return out.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), begin[offset]
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word of each window of n words within a text, and the window's hash."""
         if len(self) < n:

@@ -4,8 +4,9 @@ The windows of N words of all benchmark items form a set of 64-bit hashes that e
 windows are looked up in it, hits are verified word by word, and the covered words become spans. A document of which
 more than MAX_SHARE of the words is covered goes as a whole, from others the spans are cut.
 
-The set is built from at most SLICE_CHARS characters of benchmark text. A larger benchmark is taken in slices of that
-size, one pass over the documents each, so that the broadcast never grows with the benchmark.
+The set is arrays only: sorted hashes, each with its place in the items' words, which lie as one text to verify hits by. It
+takes about 5 bytes a character of benchmark. It is built from at most SLICE_CHARS characters; a larger benchmark is taken in
+slices of that size, one pass over the documents each, so that the broadcast never grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -22,51 +23,92 @@ from ._frame import stored, tidy
 from ._words import Words, cuts
 
 N, MIN_WORDS, MAX_SHARE, SLICE_CHARS = 8, 5, 0.5, 64_000_000
+#: Characters of items that are turned into words at once.
+_BUILD_CHARS = 2_000_000
 _SPANS = "array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint,item_id:bigint>>"
 _HITS = f"struct<words:bigint,spans:{_SPANS},rest:string>"
 _SPAN = pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start", "end", "item_id")])
 
 
 class Grams:
-    """Windows of benchmark items: sorted hashes by length, and the words and least item of each."""
+    """Windows of benchmark items: by length the sorted hashes, and the first word and least item of each.
+
+    The items' words lie in one text, in lower case and apart by spaces; word i is at begins[i]. Windows of equal words are
+    one; windows that share their hash but not their words all stay.
+    """
 
     def __init__(self, items: list[tuple[int, str]], n: int, min_words: int):
-        words = Words([t for _, t in items])
-        counts = words.counts()
-        self.sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.text: dict[tuple[int, int], dict[tuple[str, ...], int]] = {}
-        lengths = {n} | {int(c) for c in counts if min_words <= c < n}
-        for size in sorted(lengths):
-            at, h = words.windows(size)
-            if size < n:
-                own = counts[words.row[at]] == size
-                at, h = at[own], h[own]
-            if not len(at):
-                continue
+        texts, begins, hashes, rows = [], [], [], []
+        words, chars = 0, 0
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        at = 0
+        while at < len(items):
+            to, size = at, 0
+            while to < len(items) and (to == at or size + len(items[to][1]) <= _BUILD_CHARS):
+                size += len(items[to][1])
+                to += 1
+            w = Words([t for _, t in items[at:to]])
+            own, places = w.joined()
+            texts.append(own)
+            begins.append(places + chars)
+            hashes.append(w.hash)
+            rows.append(w.row + at)
+            counts = w.counts()
+            for k in {n} | {int(c) for c in np.unique(counts) if min_words <= c < n}:
+                first, h = w.windows(k)
+                if k < n:
+                    whole = counts[w.row[first]] == k
+                    first, h = first[whole], h[whole]
+                if len(first):
+                    found.setdefault(k, []).append((first + words, h))
+            words, chars, at = words + len(w), chars + len(own), to
+        self.text = b"".join(texts)
+        self.begins = np.concatenate([*begins, [chars]]).astype(np.int64 if chars >> 31 else np.int32) if begins else np.zeros(1, np.int32)
+        word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        ids = np.array([i for i, _ in items], np.int64)
+        item = ids[np.concatenate(rows)] if rows else ids
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, parts in sorted(found.items()):
+            first, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.lexsort((item[first], h))
+            first, h = first[order], h[order]
+            lead = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            of = np.repeat(lead, np.diff(np.append(lead, len(h))))
+            same = np.ones(len(h), bool)
+            for j in range(k):
+                same &= word[first + j] == word[first[of] + j]
+            keep = ~same
+            keep[lead] = True
+            first, h = first[keep], h[keep]
             seen = np.zeros(1 << 16, bool)
             seen[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.sets[size] = (np.unique(h), seen)
-            for a, x in zip(at.tolist(), h.tolist(), strict=True):
-                gram = tuple(words.word(i) for i in range(a, a + size))
-                item = items[words.row[a]][0]
-                have = self.text.setdefault((size, x), {})
-                have[gram] = min(item, have.get(gram, item))
+            self.sets[k] = (h, seen, first.astype(np.int32 if words >> 31 == 0 else np.int64), item[first])
+
+    def size(self) -> int:
+        """Bytes of all arrays."""
+        return len(self.text) + self.begins.nbytes + sum(x.nbytes for s in self.sets.values() for x in s)
 
     def scan(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
         """Number of words of each text, and its covered spans."""
         words = Words(texts)
         out: list[list[dict]] = [[] for _ in texts]
         hits: list[tuple[int, int, int]] = []
-        for size, (known, seen) in self.sets.items():
+        for size, (known, seen, first, items) in self.sets.items():
             at, h = words.windows(size)
             maybe = seen[(h & np.uint64(0xFFFF)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            same = known[place] == h
-            for a, x in zip(at[same].tolist(), h[same].tolist(), strict=True):
-                item = self.text[size, x].get(tuple(words.word(i) for i in range(a, a + size)))
-                if item is not None:
-                    hits.append((a, a + size, item))
+            place = np.searchsorted(known, h)
+            same = known[np.minimum(place, len(known) - 1)] == h
+            for a, i in zip(at[same].tolist(), place[same].tolist(), strict=True):
+                gram = " ".join([words.word(j) for j in range(a, a + size)]).encode("utf-8", "surrogatepass") + b" "
+                x, found = known[i], None
+                while i < len(known) and known[i] == x:
+                    w = int(first[i])
+                    if self.text[self.begins[w] : self.begins[w + size]] == gram:
+                        found = int(items[i]) if found is None else min(found, int(items[i]))
+                    i += 1
+                if found is not None:
+                    hits.append((a, a + size, found))
         for a, b, item in sorted(hits):
             r, base = int(words.row[a]), int(words.first[words.row[a]])
             last = out[r][-1] if out[r] else None
@@ -173,7 +215,9 @@ def decontaminate(
 ) -> DataFrame:
     """The documents without contaminated ones, and without contaminated spans in the rest; there n_chars is counted anew.
 
-    All other rows and columns stay as they were.
+    All other rows and columns stay as they were: null, empty and blank texts, rows without an id, repeated rows, extra
+    columns of whatever name. Items match as in contaminated(). Empty documents give an empty result, an empty benchmark
+    takes nothing away; texts are read whole.
     """
     inner, back = tidy(docs, {"doc_id": "long", "text": "string", "n_chars": "long"})
     out = scanned(inner, benchmark, n, min_words, slice_chars)

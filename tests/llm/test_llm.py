@@ -289,6 +289,26 @@ def test_contamination_equals_plain_python(spark, slice_chars):
             assert kept[d]["n_chars"] == len(kept[d]["text"])
 
 
+def test_benchmark_set_is_small_and_tells_clashing_hashes_apart(monkeypatch):
+    rng = random.Random(61)
+    items = [(i, prose(rng, 200)) for i in range(300)] + [(900, "日本 naïve " + prose(rng, 10)), (901, "😀 ça va bien très bien merci à vous")]
+    items += [(i + 1000, t) for i, t in items[:50]]
+    monkeypatch.setattr(decontaminate, "_BUILD_CHARS", 5000)
+    grams = decontaminate.Grams(items, 8, 5)
+    assert grams.size() < 8 * sum(len(t) for _, t in items)
+    counts, spans = grams.scan([t.upper() for _, t in items])
+    assert all(len(s) == 1 and s[0]["last_word"] - s[0]["first_word"] + 1 == n for s, n in zip(spans, counts, strict=True))
+    assert [s[0]["item_id"] for s in spans[:50]] == list(range(50)) == [s[0]["item_id"] for s in spans[-50:]]
+    # all windows under one of four hashes: words decide
+    real = Words.windows
+    monkeypatch.setattr(Words, "windows", lambda self, n: (real(self, n)[0], real(self, n)[1] & np.uint64(3)))
+    few = items[:3]
+    clash = decontaminate.Grams(few, 8, 5)
+    assert len(clash.sets[8][0]) == sum(len(t.split()) - 7 for _, t in few)
+    got = clash.scan([few[1][1], prose(rng, 40), few[2][1]])[1]
+    assert [[(x["first_word"], x["last_word"], x["item_id"]) for x in s] for s in got] == [[(0, 199, 1)], [], [(0, 199, 2)]]
+
+
 # 4
 
 
@@ -345,6 +365,23 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert other.select("tokenizer").distinct().first()[0] != version
 
 
+def test_warm_cache_moves_digests_only(spark, tmp_path):
+    """No text is in a shuffle of what hits; of a mixed table only what misses is encoded, once."""
+    rng = random.Random(9)
+    cache = f"file://{tmp_path}/cache"
+    old = [prose(rng, 30) for _ in range(200)]
+    token_cache.token_counts(docs_of(spark, old), cache).count()
+    version = token_cache.tokenizer_digest(f"{fertility.TOKENIZERS}/{fertility.BYTES}")
+    warm = token_cache.token_counts(docs_of(spark, old + old), cache)
+    assert warm.count() == 400 and len(list((tmp_path / "cache" / f"tokenizer={version}").glob("run=*"))) == 1
+    mixed = old[:100] + [f"new {i % 7}\r\nrow" for i in range(50)]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_cache.token_counts(docs_of(spark, mixed), cache).collect()}
+    enc = fertility.rank_encoding(f"{fertility.TOKENIZERS}/{fertility.BYTES}")
+    assert got == {i: len(enc.encode_ordinary(t.replace("\r\n", "\n"))) for i, t in enumerate(mixed)}
+    runs = [spark.read.parquet(f"file://{p}").count() for p in (tmp_path / "cache" / f"tokenizer={version}").glob("run=*")]
+    assert sorted(runs) == [7, 200]
+
+
 # 6
 
 
