@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._frame import stored, tidy
 from ._words import Words, cuts
 
-N, MIN_WORDS, MAX_SHARE, SLICE_CHARS = 8, 5, 0.5, 64_000_000
+N, MIN_WORDS, MAX_SHARE, SLICE_CHARS = 8, 5, 0.5, 32_000_000
 #: Characters of items that are turned into words at once.
 _BUILD_CHARS = 2_000_000
 _SPANS = "array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint,item_id:bigint>>"
