@@ -135,7 +135,7 @@ class Words:
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of runs of words."""
-        return _spans_hash(self.hash, start, end, _Q)
+        return spans_hash(self.hash, start, end)
 
 
 def cuts(texts: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -158,5 +158,10 @@ def pieces(batch: pa.RecordBatch, column: str, chars: int = CHUNK_CHARS) -> Iter
         yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
 
 
+def spans_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, given the words' hashes; as Words.spans() gives them."""
+    return _spans_hash(hashes, start, end, _Q)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -3,12 +3,17 @@
 Every window of MIN_WORDS words holds an anchor: the least hash of its runs of ANCHOR words. Equal windows hold equal
 anchors, so that a repeated passage brings its surroundings, the segment of all windows that hold the anchor, to one
 shard. A shard's segments form an FM-index: suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet tree
-(the level-wise matrix form, bits packed, counts by word of 64). Its segments are then streamed through backward search,
-which keeps the interval of suffixes and asks whether it holds a second document; a window that fails tells how far the
-next one must move. All segments of a shard step together in numpy.
-
-All anchors and all segments take part; the result is exact up to collisions of 64-bit hashes. Segments that are equal
-as a whole in two documents are repeated all over and enter the index once.
+(the level-wise matrix form, in bit vectors that leave out words of only zeros or only ones). Its segments are then streamed
+through backward search, which keeps the interval of the suffixes that begin with the match and drops what no second
+document holds: the steps it takes from a place to the left are that place's matching statistic, the longest match that ends
+there. A statistic below MIN_WORDS bounds those of the next places, each at most one more than the last, so that places
+which can't reach it are passed over; at the others the statistic is computed in full, and windows at or above it are
+reported. All segments of a shard step together in numpy.
+
+All anchors and all segments take part; the result is exact up to collisions of 64-bit hashes (the index itself holds words
+as numbers of 64-bit hashes). Segments that are equal as a whole in two documents are repeated all over and enter the index
+once. An anchor with more than HOT segments would make too large a shard. Its windows are compared by their hashes instead,
+by an aggregate that no group is too large for.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._frame import stored, tidy
-from ._words import Words, pieces, signed
+from ._words import Words, pieces, signed, spans_hash
 
-MIN_WORDS, ANCHOR, SHARD_WORDS = 50, 16, 1_500_000
+MIN_WORDS, ANCHOR, SHARD_WORDS, HOT = 50, 16, 1_500_000, 20_000
 
 
 def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -87,12 +92,12 @@ def _pass_one(least: int, k: int):
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words (32-bit hashes) of the wanted segments of each document."""
+    """The words (64-bit hashes) of the wanted segments of each document."""
     for batch in batches:
         at = 0
         for part, texts in pieces(batch, "text"):
             words = Words(texts)
-            ids = (words.hash >> np.uint64(32)).astype(np.uint32)
+            ids = words.hash
             counts = words.counts()
             wanted = batch.column(batch.schema.get_field_index("wanted")).slice(at, len(texts))
             at += len(texts)
@@ -107,13 +112,35 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = size[ok].astype(np.int64)
             flat = ids[np.repeat(a[ok] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(ok) else ids[:0]
             offsets = np.zeros(len(ok) + 1, np.int32)
-            np.cumsum(n * 4, out=offsets[1:])
+            np.cumsum(n * 8, out=offsets[1:])
             blob = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
             take = pa.array(ok)
             names = ["anchor", "start", "reps", "many"]
             yield pa.RecordBatch.from_arrays([*(w.field(c).take(take) for c in names), part.column(part.schema.get_field_index("doc_id")).take(pa.array(owner[ok])), blob], names=[*names, "doc_id", "words"])
 
 
+class Bits:
+    """A bit vector in words of 64. Of words of only zeros or only ones nothing is stored but the count of ones before them."""
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits)
+        pad = -(-n // 64) * 64 + 64
+        packed = np.packbits(np.concatenate([bits, np.zeros(pad - n, np.uint8)]), bitorder="little").view(np.uint64)
+        mixed = (packed != 0) & (packed != ~np.uint64(0))
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
+        #: Where a word is stored: 0 are zeros, 1 are ones.
+        self.at = np.where(mixed, np.cumsum(mixed) + 1, (packed != 0).astype(np.int64)).astype(np.int32)
+        self.words = np.concatenate([np.array([0, ~np.uint64(0)], np.uint64), packed[mixed]])
+
+    def size(self) -> int:
+        return self.before.nbytes + self.at.nbytes + self.words.nbytes
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place i."""
+        block = i >> 6
+        return self.before[block] + np.bitwise_count(self.words[self.at[block]] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class FmIndex:
     """FM-index of segments. text: word numbers of all segments, each followed by a 0; label: the document of each place."""
 
@@ -124,27 +151,23 @@ class FmIndex:
         self.n, self.levels = n, max(1, int(sigma - 1).bit_length())
         self.starts = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.starts[1:])
-        self.bits, self.before, self.zeros = [], [], []
+        self.bits: list[Bits] = []
+        self.zeros: list[int] = []
         seq = bwt.astype(np.int32)
-        pad = -(-n // 64) * 64 + 64
         for level in range(self.levels - 1, -1, -1):
-            b = ((seq >> level) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([b, np.zeros(pad - n, np.uint8)]), bitorder="little").view(np.uint64)
-            self.bits.append(packed)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]))
-            ones = b.astype(bool)
+            ones = ((seq >> level) & 1).astype(bool)
+            self.bits.append(Bits(ones.astype(np.uint8)))
             self.zeros.append(n - int(ones.sum()))
             seq = np.concatenate([seq[~ones], seq[ones]])
         self.origin = self._walk(np.arange(sigma), np.zeros(sigma, np.int64))
         d = label[sa]
         change = np.flatnonzero(d[1:] != d[:-1]) + 1
-        self.run_end = np.append(change, n)[np.searchsorted(change, np.arange(n), "right")]
+        self.run_end = np.append(change, n)[np.searchsorted(change, np.arange(n), "right")].astype(np.int32)
 
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where place i of each symbol's sequence comes to lie below all levels of the wavelet tree."""
-        for level, (bits, before, zeros) in enumerate(zip(self.bits, self.before, self.zeros, strict=True)):
-            block = i >> 6
-            ones = before[block] + np.bitwise_count(bits[block] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        for level, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
+            ones = bits.rank(i)
             i = np.where((symbol >> (self.levels - 1 - level)) & 1, zeros + ones, i - ones)
         return i
 
@@ -194,9 +217,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(segments: list[np.ndarray], labels: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each queried segment the first and the last start of a window of least words that occurs under another label
-    (-1 where there is none). All windows of a segment have a word in common, so that what lies between is covered."""
+def indexed(segments: list[np.ndarray], labels: np.ndarray) -> tuple[FmIndex, np.ndarray, np.ndarray]:
+    """The index of segments, its text and the place of each segment in it."""
     size = np.array([len(s) for s in segments])
     base = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size + 1, out=base[1:])
@@ -205,50 +227,52 @@ def repeated(segments: list[np.ndarray], labels: np.ndarray, query: np.ndarray,
     inside = np.ones(len(text), bool)
     inside[base[1:] - 1] = False
     text[inside] = inverse.reshape(-1) + 1
-    index = FmIndex(text, np.repeat(labels, size + 1), len(names) + 1)
-    q = np.flatnonzero(query & (size >= least))
+    return FmIndex(text, np.repeat(labels, size + 1), len(names) + 1), text, base
+
+
+def statistics(index: FmIndex, text: np.ndarray, start: np.ndarray, place: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Matching statistics: for each place of the text the words of the longest match that ends there, begins at start or
+    later, and occurs under another label too; no more than most are counted."""
+    out = np.zeros(len(place), np.int64)
+    who = np.arange(len(place))
+    pos = place.copy()
+    lo, hi = np.zeros(len(place), np.int64), np.full(len(place), index.n)
+    while len(who):
+        c = text[pos]
+        lo, hi = index.extend(c, lo, hi)
+        ok = index.shared(lo, hi)
+        out[who[ok]] += 1
+        ok &= pos > start[who]
+        if most is not None:
+            ok &= out[who] < most
+        who, pos, lo, hi = who[ok], pos[ok] - 1, lo[ok], hi[ok]
+    return out
+
+
+def repeated(segments: list[np.ndarray], labels: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each queried segment the first and the last start of a window of least words that occurs under another label
+    (-1 where there is none). All windows of a segment have a word in common, so that what lies between is covered."""
+    index, text, base = indexed(segments, labels)
+    size = np.diff(base) - 1
     low, high = np.full(len(segments), -1), np.full(len(segments), -1)
-    most = size[q] - least
-    s = np.zeros(len(q), np.int64)
-    backward = np.zeros(len(q), bool)
-    pos = s + least - 1
-    c = text[base[q] + pos]
-    lo, hi = index.starts[c], index.starts[c + 1]
+    q = np.flatnonzero(query & (size >= least))
+    end = np.full(len(q), least - 1)
+    # the first place whose statistic reaches least; one of m words keeps the next least - m - 1 places below it
     while len(q):
-        ok = index.shared(lo, hi)
-        done = np.zeros(len(q), bool)
-        hit = ok & (pos == s)
-        fail = ~ok
-        # forward: the first window that repeats; then, from the far end, the last one
-        f = hit & ~backward
-        low[q[f]] = high[q[f]] = s[f]
-        done |= f & (s == most)
-        b = hit & backward
-        high[q[b]] = s[b]
-        done |= b
-        ff = fail & ~backward
-        s[ff] = pos[ff] + 1
-        done |= ff & (s > most)
-        fb = fail & backward
-        s[fb] -= 1
-        done |= fb & (s <= low[q])
-        s[f] = most[f]
-        backward |= f
-        again = (fail | f) & ~done
-        go = ok & ~hit
-        pos[go] -= 1
-        pos[again] = s[again] + least - 1
-        keep = ~done
-        q, s, most, backward, pos, lo, hi, again = (x[keep] for x in (q, s, most, backward, pos, lo, hi, again))
-        if not len(q):
-            break
-        c = text[base[q] + pos]
-        lo, hi = np.where(again, 0, lo), np.where(again, index.n, hi)
-        go = np.flatnonzero(~again)
-        new = np.flatnonzero(again)
-        lo[new], hi[new] = index.starts[c[new]], index.starts[c[new] + 1]
-        if len(go):
-            lo[go], hi[go] = index.extend(c[go], lo[go], hi[go])
+        m = statistics(index, text, base[q], base[q] + end, least)
+        hit = m >= least
+        low[q[hit]] = end[hit] - least + 1
+        end = end + least - m
+        go = ~hit & (end < size[q])
+        q, end = q[go], end[go]
+    # the last one: from the far end back
+    q = np.flatnonzero(low >= 0)
+    end = size[q] - 1
+    while len(q):
+        m = statistics(index, text, base[q], base[q] + end, least)
+        hit = m >= least
+        high[q[hit]] = end[hit] - least + 1
+        q, end = q[~hit], end[~hit] - 1
     return low, high
 
 
@@ -256,7 +280,7 @@ def _search(least: int, shard_words: int):
     def shard(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         blobs = t["words"].to_pylist()
-        segs = [np.frombuffer(b, np.uint32) for b in blobs]
+        segs = [np.frombuffer(b, np.uint64) for b in blobs]
         many = t["many"].to_numpy()
         _, label = np.unique(t["doc_id"].to_numpy(), return_inverse=True)
         label = np.where(many, -1 - np.arange(len(label)), label)
@@ -276,7 +300,7 @@ def _search(least: int, shard_words: int):
             if not batch.num_rows:
                 continue
             anchor = batch.column(0).to_numpy()
-            size = np.diff(np.frombuffer(batch.column(5).buffers()[1], np.int32)[batch.column(5).offset :][: batch.num_rows + 1]) // 4
+            size = np.diff(np.frombuffer(batch.column(5).buffers()[1], np.int32)[batch.column(5).offset :][: batch.num_rows + 1]) // 8
             total = np.cumsum(size)
             at = 0
             edges = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
@@ -296,32 +320,61 @@ def _search(least: int, shard_words: int):
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _windows(least: int):
+    """The windows of least words of segments: hash, doc_id, start, end (of the last of a segment's repetitions) and many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, reps = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+            many, ids, blobs = batch.column(3), batch.column(4), batch.column(5)
+            for a in range(0, batch.num_rows, 2000):
+                segs = [np.frombuffer(b, np.uint64) for b in blobs.slice(a, 2000).to_pylist()]
+                flat = np.concatenate(segs)
+                size = np.array([len(x) for x in segs])
+                first = np.cumsum(size) - size
+                n = np.maximum(size - least + 1, 0)
+                owner = np.repeat(np.arange(len(segs)), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h = spans_hash(flat, first[owner] + at, first[owner] + at + least)
+                rows, begin = pa.array(owner + a), start[owner + a] + at
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), ids.take(rows), pa.array(begin), pa.array(begin + least + reps[owner + a] - 1), many.take(rows)], names=["window", "doc_id", "first", "last", "many"])
+
+    return run
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """Per document the passages that occur in another document too: doc_id, first_word, last_word, n_words.
 
     A row is a maximal run of words covered by windows of min_words words that another doc_id's text holds as well. Null
     ids, null texts and texts of fewer words have none. Rows that repeat a doc_id are one document and don't repeat one
     another. Ties between anchors all count. An empty table gives an empty result; texts are read whole; extra columns
-    are ignored.
+    are ignored, whatever their names.
     """
     if not 0 < anchor <= min_words:
         raise ValueError("anchor must be from 1 to min_words")
     docs, _ = tidy(docs, {"doc_id": "long", "text": "string"})
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    found = docs.mapInArrow(_pass_one(min_words, anchor), "anchor long, seg long, doc_id long, start int, len int, reps int")
-    group, equal = W.partitionBy("anchor"), W.partitionBy("anchor", "seg")
-    found = (
-        found.withColumns({"__no": F.row_number().over(equal.orderBy("doc_id", "start")), "many": F.min("doc_id").over(equal) != F.max("doc_id").over(equal)})
-        .withColumn("__two", F.min("doc_id").over(group) != F.max("doc_id").over(group))
-        .filter("__two")
-        .drop("__two")
-    )
-    found = stored(found, "anchors")
+    found = stored(docs.mapInArrow(_pass_one(min_words, anchor), "anchor long, seg long, doc_id long, start int, len int, reps int"), "anchors")
+    # aggregates only, which are begun where the rows lie: an anchor or a segment may be in a large share of all documents
+    per = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("doc_id", "start")).alias("lead"))
+    per = stored(per, "segments")
+    whole = per.groupBy("anchor").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    per = per.join(whole.select("anchor", (F.col("n") > hot).alias("hot")), "anchor").select("anchor", "seg", (F.col("a") != F.col("b")).alias("many"), "lead", "hot")
+    found = stored(found.join(per, ["anchor", "seg"]), "shared")
     whole = found.filter("many").select("doc_id", F.col("start").cast("long").alias("first"), (F.col("start").cast("long") + F.col("len") + F.col("reps") - 1).alias("last"))
-    wanted = found.filter("not many or __no = 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "start", "len", "reps", "many")).alias("wanted"))
+    wanted = found.filter("not many or (lead.doc_id = doc_id and lead.start = start)")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(F.when(F.col("hot"), None).otherwise(F.col("anchor")).alias("anchor"), "seg", "start", "len", "reps", "many")).alias("wanted"))
     segments = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_segments, "anchor long, start int, reps int, many boolean, doc_id long, words binary")
-    part = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search(min_words, shard_words), "doc_id long, first long, last long")
-    spans = whole.union(part)
+    if per.filter("hot").isEmpty():
+        cool, few = segments, None
+    else:
+        segments = stored(segments, "words")
+        cool = segments.filter("anchor is not null")
+        windows = stored(segments.filter("anchor is null").mapInArrow(_windows(min_words), "window long, doc_id long, first long, last long, many boolean"), "windows")
+        twice = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("many").alias("many")).filter("a <> b or many").select("window")
+        few = windows.join(twice, "window", "left_semi").select("doc_id", "first", "last")
+    part = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search(min_words, shard_words), "doc_id long, first long, last long")
+    spans = whole.union(part) if few is None else whole.union(part).union(few)
     w = W.partitionBy("doc_id").orderBy("first", "last")
     spans = spans.withColumn("__end", F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)))
     spans = spans.withColumn("__run", F.sum(F.when(F.col("first") <= F.col("__end"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))

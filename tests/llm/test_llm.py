@@ -457,8 +457,8 @@ def plain_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("shard_words", [300, 10**6])
-def test_repeats_equal_plain_python(spark, shard_words):
+@pytest.mark.parametrize(("shard_words", "hot"), [(300, 10**6), (10**6, 10**6), (10**6, 3), (10**6, 0)])
+def test_repeats_equal_plain_python(spark, shard_words, hot):
     rng = random.Random(11)
     shared = [prose(rng, n) for n in (9, 10, 11, 20, 45, 90)]
     texts = [None, "", "too short", prose(rng, 30)]
@@ -470,8 +470,8 @@ def test_repeats_equal_plain_python(spark, shard_words):
             a = rng.randint(0, max(0, len(p) - 5))
             parts.append(" ".join(p[a : a + rng.randint(5, 60)]))
         texts.append(" ".join(parts))
-    texts += [texts[10], texts[10], "ha " * 200, "ha " * 150, "go " * 80]
-    got = {(r["doc_id"], r["first_word"], r["last_word"]) for r in substring_fm.repeats(docs_of(spark, texts), 10, 4, shard_words).collect()}
+    texts += [texts[10], texts[10], "ha " * 200, "ha " * 150, "go " * 80, "go " * 11 + prose(rng, 9), prose(rng, 30) + f" {shared[5]} {prose(rng, 5)} {shared[5]}", prose(rng, 20) + " " + shared[5]]
+    got = {(r["doc_id"], r["first_word"], r["last_word"]) for r in substring_fm.repeats(docs_of(spark, texts), 10, 4, shard_words, hot).collect()}
     assert got == plain_repeats(texts, 10)
 
 
@@ -494,6 +494,29 @@ def test_suffix_array_and_backward_search():
             assert max(0, int(hi[0] - lo[0])) == want
 
 
+def test_matching_statistics_equal_plain_python():
+    rng = np.random.default_rng(22)
+    for sigma in (3, 12):
+        segs = [rng.integers(1, sigma, rng.integers(1, 25)).astype(np.uint64) for _ in range(15)]
+        segs += [segs[3], np.concatenate([segs[4], segs[5]])]
+        labels = np.arange(len(segs)) // 2
+        index, text, base = substring_fm.indexed(segs, labels)
+        for i, s in enumerate(segs):
+            got = substring_fm.statistics(index, text, np.full(len(s), base[i]), base[i] + np.arange(len(s)))
+            others = ["," + ",".join(map(str, t.tolist())) + "," for j, t in enumerate(segs) if labels[j] != labels[i]]
+            for e in range(len(s)):
+                want = max((e + 1 - a for a in range(e + 1) if any("," + ",".join(map(str, s[a : e + 1].tolist())) + "," in o for o in others)), default=0)
+                assert got[e] == want
+
+
+def test_bit_vectors_leave_out_uniform_words():
+    rng = np.random.default_rng(23)
+    bits = np.concatenate([np.zeros(5000, np.uint8), np.ones(5000, np.uint8), rng.integers(0, 2, 700, dtype=np.uint8), np.zeros(4000, np.uint8)])
+    v = substring_fm.Bits(bits)
+    assert v.rank(np.arange(len(bits) + 1)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
+    assert len(v.words) < 20
+
+
 # 8
 
 
