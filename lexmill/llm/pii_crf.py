@@ -1,21 +1,25 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
-Nodes are the tokens that hold a digit or an at sign; all other tokens are outside any entity by definition, so that the
-field over a document is exactly one over its nodes. Neighbouring nodes share chain potentials. Skip edges link each
-node to the next one in the document that is the same but for edge punctuation (repeated) and to the next of the same
-shape (similar): what the context of one mention shows carries over to mentions far away. Sum-product message passing
-over this loopy graph, for a fixed number of rounds, gives each node's marginals.
-
-The weights are trained here, once per process, on invented sentences by the pseudo-likelihood of nodes given their
-neighbours' labels. Nothing is fitted to the documents.
+Nodes are the tokens that hold a digit or an at sign, and the REACH tokens after a word that announces a secret; all other
+tokens are outside any entity by definition, so that the field over a document is exactly one over its nodes. Neighbouring
+nodes share chain potentials. Skip edges link each node to the next one in the document that is the same but for edge
+punctuation (repeated) and to the next of the same shape (similar): what the context of one mention shows carries over to
+mentions far away. Sum-product message passing over this loopy graph gives each node's marginals. It goes on, document by
+document, until no message of the document changes by more than CLOSE, or for ROUNDS rounds, whichever comes first.
+
+The weights are in pii_weights.json beside this file. train() makes them, on invented sentences, by the pseudo-likelihood
+of nodes given their neighbours' labels. Nothing is fitted to the documents. Names of persons and places and postal
+addresses are not among the labels and stay as they are.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ from ._frame import tidy
 from ._words import cuts
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "ID")
-ROUNDS, DAMPING, TRAIN_DOCS, TRAIN_SEED = 15, 0.3, 1500, 11
+ROUNDS, CLOSE, DAMPING, REACH, TRAIN_DOCS, TRAIN_SEED = 200, 1e-4, 0.3, 3, 2500, 11
+WEIGHTS = Path(__file__).with_name("pii_weights.json")
 _EDGE = "\"'`.,;:!?%&$#*|<>{}[]()«»“”„…=_~^/\\"
 _CUES = {
     "phone": "tel tel. phone phone: tel: telephone mobile cell fax call telefon teléfono téléphone handy ring whatsapp".split(),
@@ -34,6 +39,7 @@ _CUES = {
     "card": "card visa mastercard amex credit karte carte tarjeta kreditkarte cc pan".split(),
     "ip": "ip address server host addr ip: ipv4 from client".split(),
     "id": "ssn social passport iban steuernummer dni nif nir insurance account konto id-number".split(),
+    "sum": "commit sha sha1 sha256 md5 checksum revision rev build hash digest blob tree".split(),
     "plain": "version v page pages year years order chapter section no nr room item step fig table line article isbn um uhr à il y".split(),
 }
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -92,6 +98,11 @@ def features(token: str, before: list[str], after: list[str]) -> list[str]:
         f += ["hex", "hexmix" if re.search(r"[a-fA-F]", w) else "hexdigits"]
     if _SLUG.fullmatch(w) and re.search(r"\d", w) and re.search(r"[A-Za-z]", w):
         f += ["slug", "quoted" if token[:1] in "\"'`" else "bare"]
+    if not d and "@" not in w:
+        mixed = bool(re.search(r"[a-z][A-Z]|[^\W_][-_/+.][^\W_]", w))
+        f += [f"w{min(len(w) // 4, 5)}", "mixed" if mixed else "even", "capital" if w[:1].isupper() else "small", "wquoted" if token[:1] in "\"'`" else "wbare"]
+        if not w:
+            f.append("mark:" + token[:2])
     if _IBAN.fullmatch(w):
         f.append("iban")
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", w):
@@ -102,6 +113,8 @@ def features(token: str, before: list[str], after: list[str]) -> list[str]:
     for side, near in (("b", before), ("a", after)):
         for i, x in enumerate(near[:3]):
             y = core(x).lower()
+            if side == "b" and i < 2 and (x in "=:" or x.endswith(("=", ":"))):
+                f.append(f"b:assign{i}")
             if i == 0:
                 f.append(f"{side}:{shape(y)}" if any(c.isdigit() for c in y) and len(shape(y)) < 16 else f"{side}:{'w' if y else x[:1] or 'end'}")
             for name, cues in _CUES.items():
@@ -123,7 +136,7 @@ def _invented(rng: random.Random) -> tuple[list[str], list[str]]:
         a, b, c = digits(3), digits(3), digits(4)
         return rng.choice([[f"+{rng.randint(1, 99)}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{rng.randint(1, 99)}", digits(3), digits(4), digits(3)], [f"+{rng.randint(1, 99)}{digits(9)}"], [f"+{rng.randint(1, 9)}-{a}-{b}-{c}"], [f"0{digits(2)}-{digits(7)}"], [f"{a}.{b}.{c}"]])
 
-    def entity(kind: str) -> list[str]:
+    def entity(kind: str, announced: bool = False) -> list[str]:
         if kind == "EMAIL":
             return [f"{word()}{rng.choice(['.', '_', '', '.'])}{rng.choice(['', digits(2), word()])}@{host()}"]
         if kind == "PHONE":
@@ -136,13 +149,16 @@ def _invented(rng: random.Random) -> tuple[list[str], list[str]]:
         if kind == "SECRET":
             hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 64])))
             mixed = "".join(rng.choice("ABCDEFGHabcdefghijkxyz0123456789_-") for _ in range(rng.randint(20, 40))) + digits(2)
+            letters = rng.choice([word() + word() + word(), "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(rng.randint(8, 32))), "-".join(word() for _ in range(4)), word().title() + rng.choice("!#$_") + word()])
             x = rng.choice([hexes, hexes, hexes.upper(), mixed, "sk-" + mixed, "ghp_" + mixed, "AKIA" + mixed[:16].upper() + digits(2)])
+            if announced and rng.random() < 0.35:
+                x = letters if rng.random() < 0.7 else word() + digits(rng.randint(1, 4))
             q = rng.choice(['"', '"', "'", ""])
             return [q + x + q]
         return [rng.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", rng.choice(["DE", "FR", "ES", "GB"]) + digits(20), f"{digits(2)}.{digits(3)}.{digits(3)}-{digits(1)}"])]
 
     def other() -> list[str]:
-        return rng.choice([[str(rng.randint(1, 9))], [str(rng.randint(10, 999))], [str(rng.randint(1900, 2030))], [f"{rng.randint(0, 9)}.{rng.randint(0, 9)}"], [rng.choice(["version", "v", "section"]), f"{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}"], ["version", ".".join(str(rng.randint(0, 9)) for _ in range(4))], [f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}"], [f"20{digits(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"], [f"{rng.randint(10, 23)}:{rng.randint(10, 59)}"], [f"{rng.randint(1, 99)}%"], [f"${digits(2)},{digits(3)}"], [word() + digits(1)], [digits(rng.randint(4, 6))], [f"{digits(1)},{digits(3)},{digits(3)}"], [f"({rng.randint(1, 20)})"], [f"({rng.randint(1990, 2025)})"], ["no", digits(5)], [f"@{word()}"], [f"{digits(1)}x{digits(2)}"], [f"{rng.randint(2, 9)}.{rng.randint(0, 9)}."], ["pages", f"{digits(2)}-{digits(3)}"], ["isbn", f"{digits(3)}-{digits(10)}"], ["license,", "version", f"{rng.randint(1, 4)}."], [f"{digits(4)}/{digits(2)}"]])
+        return rng.choice([[str(rng.randint(1, 9))], [str(rng.randint(10, 999))], [str(rng.randint(1900, 2030))], [f"{rng.randint(0, 9)}.{rng.randint(0, 9)}"], [rng.choice(["version", "v", "section"]), f"{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}"], ["version", ".".join(str(rng.randint(0, 9)) for _ in range(4))], [rng.choice(["version", "v", "release"]), ".".join(str(rng.randint(0, 30)) for _ in range(4))], [rng.choice(_CUES["sum"]), "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))], [rng.choice(_CUES["sum"]), rng.choice(["id", "is", ":", "="]), "".join(rng.choice("0123456789abcdef") for _ in range(40))], ["the", rng.choice(_CUES["secret"]), rng.choice(["is", "was", "to", "of", "and", "for", "must"]), word(), word()], [word(), rng.choice(_CUES["secret"]), word(), word(), word()], [rng.choice(_CUES["secret"]) + rng.choice([".", ","]), word(), word()], [f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}"], [f"20{digits(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"], [f"{rng.randint(10, 23)}:{rng.randint(10, 59)}"], [f"{rng.randint(1, 99)}%"], [f"${digits(2)},{digits(3)}"], [word() + digits(1)], [digits(rng.randint(4, 6))], [f"{digits(1)},{digits(3)},{digits(3)}"], [f"({rng.randint(1, 20)})"], [f"({rng.randint(1990, 2025)})"], ["no", digits(5)], [f"@{word()}"], [f"{digits(1)}x{digits(2)}"], [f"{rng.randint(2, 9)}.{rng.randint(0, 9)}."], ["pages", f"{digits(2)}-{digits(3)}"], ["isbn", f"{digits(3)}-{digits(10)}"], ["license,", "version", f"{rng.randint(1, 4)}."], [f"{digits(4)}/{digits(2)}"]])
 
     kinds = {"EMAIL": None, "PHONE": "phone", "CARD": "card", "IP": "ip", "SECRET": "secret", "ID": "id"}
     tokens: list[str] = []
@@ -150,15 +166,16 @@ def _invented(rng: random.Random) -> tuple[list[str], list[str]]:
 
     def put(words: list[str], label: str) -> None:
         tokens.extend(words)
-        labels.extend(label if _is_node(w) else "O" for w in words)
+        labels.extend([label] * len(words))
 
     for _ in range(rng.randint(2, 7)):
         put([word() for _ in range(rng.randint(1, 9))], "O")
         if rng.random() < 0.55:
             kind = rng.choice(list(kinds))
-            e = entity(kind)
-            if kind in ("SECRET",) and rng.random() < 0.7:
-                put([*cue("secret", 1), rng.choice(["=", ":", "="])], "O")
+            announced = kind == "SECRET" and rng.random() < 0.8
+            e = entity(kind, announced)
+            if announced:
+                put(rng.choice([[*cue("secret", 1), rng.choice(["=", ":", "="])], [*cue("secret", 1), rng.choice(["=", ":", "="])], [cue("secret", 1)[0] + ":"], [*cue("secret", 1), "is"]]), "O")
             elif kinds[kind]:
                 put(cue(kinds[kind], 0.35 if kind != "ID" else 0.8), "O")
             t = tail()
@@ -177,6 +194,20 @@ def _is_node(token: str) -> bool:
     return "@" in token or any(c.isdigit() for c in token)
 
 
+_SECRET = frozenset(_CUES["secret"])
+
+
+def _announces(token: str) -> bool:
+    """Whether a secret may come after a token."""
+    return core(token).lower().rstrip(".:") in _SECRET
+
+
+def node_places(tokens: list[str]) -> list[int]:
+    """Which tokens of a document are nodes."""
+    near = {j for i, t in enumerate(tokens) if _announces(t) for j in range(i + 1, i + 1 + REACH)}
+    return [i for i, t in enumerate(tokens) if i in near or _is_node(t)]
+
+
 def edges(doc: np.ndarray, place: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chain, repeated and similar edges (pairs of nodes) of nodes in order; doc and place (token number) of each."""
     near = np.flatnonzero((doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1))
@@ -201,46 +232,19 @@ def edges(doc: np.ndarray, place: np.ndarray, words: list[str]) -> tuple[np.ndar
 class Model:
     """Node weights by feature, chain potentials, and the weights of agreement over repeated and similar edges."""
 
-    def __init__(self, docs: int = TRAIN_DOCS, seed: int = TRAIN_SEED, steps: int = 160):
-        rng = random.Random(seed)
-        names: dict[str, int] = {}
-        rows, ys, owner, place, words = [], [], [], [], []
-        for d in range(docs):
-            tokens, labels = _invented(rng)
-            for i, t in enumerate(tokens):
-                if _is_node(t):
-                    rows.append([names.setdefault(f, len(names)) for f in features(t, tokens[max(0, i - 3) : i][::-1], tokens[i + 1 : i + 4])])
-                    ys.append(LABELS.index(labels[i]))
-                    owner.append(d)
-                    place.append(i)
-                    words.append(core(t))
-        n, k, y = len(rows), len(LABELS), np.array(ys)
-        x = np.zeros((n, len(names)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
-        chain, same, like = edges(np.array(owner), np.array(place), words)
-        one = np.eye(k, dtype=np.float32)[y]
-        left, right, rep, sim = (np.zeros((n, k), np.float32) for _ in range(4))
-        left[chain[:, 1]] = one[chain[:, 0]]
-        right[chain[:, 0]] = one[chain[:, 1]]
-        for to, pairs in ((rep, same), (sim, like)):
-            np.add.at(to, pairs[:, 0], one[pairs[:, 1]])
-            np.add.at(to, pairs[:, 1], one[pairs[:, 0]])
-        u, t, w = np.zeros((len(names), k), np.float32), np.zeros((k, k), np.float32), np.zeros(2, np.float32)
-        params = [u, t, w]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(1, steps + 1):
-            z = x @ u + left @ t + right @ t.T + w[0] * rep + w[1] * sim
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            g = (p - one) / n
-            grads = [x.T @ g + 2e-5 * u, left.T @ g + (right.T @ g).T + 1e-4 * t, np.array([(g * rep).sum(), (g * sim).sum()]) + 1e-4 * w]
-            for q, d, a, b in zip(params, grads, m, v, strict=True):
-                a += 0.1 * (d - a)
-                b += 0.01 * (d * d - b)
-                q -= 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-        self.names, self.node, self.chain, self.skip = names, u.astype(float), t.astype(float), np.maximum(w, 0).astype(float)
+    def __init__(self, names: dict[str, int], node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.names, self.node, self.chain, self.skip = names, node, chain, skip
+
+    def to_json(self) -> str:
+        near = lambda x: np.round(x, 4).tolist()
+        return json.dumps({"labels": LABELS, "names": list(self.names), "node": near(self.node), "chain": near(self.chain), "skip": near(self.skip)})
+
+    @classmethod
+    def from_json(cls, payload: str) -> Model:
+        p = json.loads(payload)
+        if tuple(p["labels"]) != LABELS:
+            raise ValueError("the weights are for other labels")
+        return cls({n: i for i, n in enumerate(p["names"])}, np.array(p["node"]), np.array(p["chain"]), np.array(p["skip"]))
 
     def unary(self, found: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(found), len(LABELS)))
@@ -249,34 +253,94 @@ class Model:
             out[i] = self.node[own].sum(0)
         return out
 
-    def marginals(self, unary: np.ndarray, chain: np.ndarray, same: np.ndarray, like: np.ndarray, rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
-        return propagate(unary, [(chain, self.chain), (same, np.eye(len(LABELS)) * self.skip[0]), (like, np.eye(len(LABELS)) * self.skip[1])], rounds, damping)
-
-
-def propagate(unary: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], rounds: int, damping: float) -> np.ndarray:
-    """Node marginals of a pairwise field by loopy sum-product in logarithms. groups: pairs of nodes and their potential."""
+    def marginals(self, unary: np.ndarray, chain: np.ndarray, same: np.ndarray, like: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        """doc: the document of each node, where there are several."""
+        return propagate(unary, [(chain, self.chain), (same, np.eye(len(LABELS)) * self.skip[0]), (like, np.eye(len(LABELS)) * self.skip[1])], doc=doc)
+
+
+def train(docs: int = TRAIN_DOCS, seed: int = TRAIN_SEED, steps: int = 160) -> Model:
+    """Fit the weights to invented sentences."""
+    rng = random.Random(seed)
+    names: dict[str, int] = {}
+    rows, ys, owner, place, words = [], [], [], [], []
+    for d in range(docs):
+        tokens, labels = _invented(rng)
+        for i in node_places(tokens):
+            rows.append([names.setdefault(f, len(names)) for f in features(tokens[i], tokens[max(0, i - 3) : i][::-1], tokens[i + 1 : i + 4])])
+            ys.append(LABELS.index(labels[i]))
+            owner.append(d)
+            place.append(i)
+            words.append(core(tokens[i]))
+    n, k, y = len(rows), len(LABELS), np.array(ys)
+    x = np.zeros((n, len(names)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    chain, same, like = edges(np.array(owner), np.array(place), words)
+    one = np.eye(k, dtype=np.float32)[y]
+    left, right, rep, sim = (np.zeros((n, k), np.float32) for _ in range(4))
+    left[chain[:, 1]] = one[chain[:, 0]]
+    right[chain[:, 0]] = one[chain[:, 1]]
+    for to, pairs in ((rep, same), (sim, like)):
+        np.add.at(to, pairs[:, 0], one[pairs[:, 1]])
+        np.add.at(to, pairs[:, 1], one[pairs[:, 0]])
+    u, t, w = np.zeros((len(names), k), np.float32), np.zeros((k, k), np.float32), np.zeros(2, np.float32)
+    params = [u, t, w]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        z = x @ u + left @ t + right @ t.T + w[0] * rep + w[1] * sim
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(1, keepdims=True)
+        g = (p - one) / n
+        grads = [x.T @ g + 2e-5 * u, left.T @ g + (right.T @ g).T + 1e-4 * t, np.array([(g * rep).sum(), (g * sim).sum()]) + 1e-4 * w]
+        for q, d, a, b in zip(params, grads, m, v, strict=True):
+            a += 0.1 * (d - a)
+            b += 0.01 * (d * d - b)
+            q -= 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+    return Model(names, u.astype(float), t.astype(float), np.maximum(w, 0).astype(float))
+
+
+def propagate(unary: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, damping: float = DAMPING, close: float = CLOSE, doc: np.ndarray | None = None) -> np.ndarray:
+    """Node marginals of a pairwise field by loopy sum-product in logarithms. groups: pairs of nodes and their potential.
+
+    The messages of a document (doc: that of each node) stand still once none of them has changed by more than close, so that
+    a document's marginals don't depend on what it is computed with.
+    """
     src = np.concatenate([np.concatenate([p[:, 0], p[:, 1]]) for p, _ in groups])
     dst = np.concatenate([np.concatenate([p[:, 1], p[:, 0]]) for p, _ in groups])
+    doc = np.zeros(len(unary), np.int64) if doc is None else np.asarray(doc)
     back = np.empty(len(src), np.int64)
+    pots = []
+    kind = np.empty(len(src), np.int64)
     at = 0
-    blocks = []
     for p, pot in groups:
         e = len(p)
         back[at : at + e] = np.arange(at + e, at + 2 * e)
         back[at + e : at + 2 * e] = np.arange(at, at + e)
-        blocks += [(at, at + e, np.exp(pot)), (at + e, at + 2 * e, np.exp(pot.T))]
+        kind[at : at + e], kind[at + e : at + 2 * e] = len(pots), len(pots) + 1
+        pots += [np.exp(pot), np.exp(pot.T)]
         at += 2 * e
     msg = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds if len(src) else 0):
+    live = np.arange(len(src))
+    owner = doc[src] if len(src) else src
+    for _ in range(rounds):
+        if not len(live):
+            break
         belief = unary.copy()
         np.add.at(belief, dst, msg)
-        out = belief[src] - msg[back]
+        out = belief[src[live]] - msg[back[live]]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.empty_like(msg)
-        for a, b, pot in blocks:
-            new[a:b] = np.log(out[a:b] @ pot)
+        new = np.empty_like(out)
+        for k in np.unique(kind[live]).tolist():
+            own = kind[live] == k
+            new[own] = np.log(out[own] @ pots[k])
         new -= new.max(1, keepdims=True)
-        msg = damping * msg + (1 - damping) * new
+        new = damping * msg[live] + (1 - damping) * new
+        change = np.abs(new - msg[live]).max(1)
+        msg[live] = new
+        moved = np.zeros(int(doc.max()) + 1, bool)
+        moved[owner[live[change > close]]] = True
+        live = live[moved[owner[live]]]
     belief = unary.copy()
     np.add.at(belief, dst, msg)
     p = np.exp(belief - belief.max(1, keepdims=True))
@@ -285,7 +349,8 @@ def propagate(unary: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], ro
 
 @lru_cache(1)
 def model() -> Model:
-    return Model()
+    """The stored weights."""
+    return Model.from_json(WEIGHTS.read_text())
 
 
 @lru_cache(1)
@@ -298,8 +363,13 @@ def _kinds() -> np.ndarray:
     return k
 
 
+@lru_cache(1)
+def _announcing() -> re.Pattern:
+    return re.compile("|".join(sorted(map(re.escape, _SECRET), key=len, reverse=True)), re.IGNORECASE)
+
+
 def nodes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, token number, start and end of each token that is a node, and three neighbours each way are left to slices."""
+    """Text, start and end of each token, and which tokens are nodes."""
     base = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1, out=base[1:])
     kind = _kinds()[np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -312,26 +382,40 @@ def nodes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         z = np.zeros(0, np.int64)
         return z, z, z, z
     marks = np.concatenate([[0], np.cumsum(kind == 2)])
-    node = np.flatnonzero(marks[ends] > marks[starts])
-    doc = np.searchsorted(base, starts[node], "right") - 1
-    return doc, node, starts[node] - base[doc], ends[node] - base[doc]
-
-
-def find(texts: list[str | None]) -> list[list[dict]]:
+    is_node = marks[ends] > marks[starts]
+    doc = np.searchsorted(base, starts, "right") - 1
+    found = [base[d] + m.start() for d, t in enumerate(texts) for m in _announcing().finditer(t)]
+    if found:
+        maybe = np.unique(np.searchsorted(starts, np.array(found), "right") - 1)
+        for i in maybe.tolist():
+            d = int(doc[i])
+            if ends[i] - starts[i] < 64 and _announces(texts[d][starts[i] - base[d] : ends[i] - base[d]]):
+                for j in range(i + 1, min(i + 1 + REACH, len(doc))):
+                    is_node[j] |= doc[j] == d
+    return doc, starts - base[doc], ends - base[doc], np.flatnonzero(is_node)
+
+
+def find(texts: list[str | None], field: Model | None = None) -> list[list[dict]]:
     """The entities of each text: label, start, end in characters."""
     own = [t or "" for t in texts]
     out: list[list[dict]] = [[] for _ in own]
-    doc, place, start, end = nodes(own)
-    if not len(doc):
+    docs, starts, ends, place = nodes(own)
+    if not len(place):
         return out
+    doc, start, end = docs[place], starts[place], ends[place]
     tokens, found = [], []
-    for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
-        t = own[d]
-        tokens.append(t[a:b])
-        found.append(features(t[a:b], _before(t, a), _after(t, b)))
+
+    def token(j: int) -> str:
+        return own[docs[j]][starts[j] : ends[j]]
+
+    for i, d in zip(place.tolist(), doc.tolist(), strict=True):
+        before = [token(j) for j in range(i - 1, max(i - 4, -1), -1) if docs[j] == d]
+        after = [token(j) for j in range(i + 1, min(i + 4, len(docs))) if docs[j] == d]
+        tokens.append(token(i))
+        found.append(features(tokens[-1], before, after))
     words = [core(t) for t in tokens]
-    m = model()
-    p = m.marginals(m.unary(found), *edges(doc, place, words))
+    m = field or model()
+    p = m.marginals(m.unary(found), *edges(doc, place, words), doc=doc)
     best = p.argmax(1)
     for i in np.flatnonzero(best > 0).tolist():
         d, label, t = int(doc[i]), LABELS[best[i]], tokens[i]
@@ -352,35 +436,6 @@ def find(texts: list[str | None]) -> list[list[dict]]:
     return out
 
 
-def _before(t: str, a: int) -> list[str]:
-    """Up to three tokens before place a, nearest first."""
-    got: list[str] = []
-    while len(got) < 3:
-        while a and t[a - 1].isspace():
-            a -= 1
-        if not a:
-            break
-        b = a
-        while a and not t[a - 1].isspace() and b - a < 64:
-            a -= 1
-        got.append(t[a:b])
-    return got
-
-
-def _after(t: str, b: int) -> list[str]:
-    got: list[str] = []
-    while len(got) < 3:
-        while b < len(t) and t[b].isspace():
-            b += 1
-        if b == len(t):
-            break
-        a = b
-        while b < len(t) and not t[b].isspace() and b - a < 64:
-            b += 1
-        got.append(t[a:b])
-    return got
-
-
 def _redact(text: str, spans: list[dict]) -> str:
     out, at = [], 0
     for s in spans:
@@ -392,6 +447,8 @@ def _redact(text: str, spans: list[dict]) -> str:
 def entities(text: Column) -> Column:
     """entities (label, start, end) and the redacted text, null where there are none."""
 
+    field = model()
+
     @F.arrow_udf("struct<entities:array<struct<label:string,start:bigint,end:bigint>>,redacted:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -399,7 +456,7 @@ def entities(text: Column) -> Column:
             clean: list[str | None] = []
             for a, b in cuts(batch):
                 texts = batch.slice(a, b - a).to_pylist()
-                found = find(texts)
+                found = find(texts, field)
                 spans += found
                 clean += [_redact(t, s) if s else None for t, s in zip(texts, found, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(spans, pa.list_(_SPAN)), pa.array(clean, pa.string())], names=["entities", "redacted"])
@@ -421,7 +478,16 @@ def private(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, with each entity's text replaced by its label in brackets and n_chars counted anew where there is one."""
+    """The documents, with each entity's text replaced by its label in brackets and n_chars counted anew where there is one.
+
+    All other rows and columns stay as they were: null, empty and blank texts, rows without an id, repeated rows, extra
+    columns of whatever name. An empty table stays empty; texts are read whole; equal marginals go to the label that comes
+    first in LABELS.
+    """
     inner, back = tidy(docs, {"doc_id": "long", "text": "string", "n_chars": "long"})
     out = inner.withColumn("__r", entities(F.col("text"))["redacted"])
     return back(out.withColumns({"text": F.coalesce("__r", "text"), "n_chars": F.when(F.col("__r").isNotNull(), F.length("__r").cast("long")).otherwise(F.col("n_chars"))}))
+
+
+if __name__ == "__main__":
+    WEIGHTS.write_text(train().to_json())
