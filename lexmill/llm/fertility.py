@@ -4,11 +4,12 @@ Public vocabularies measure a text: characters per token under two of them, the
 entropy of its tokens. For each language (or, where none is given, script) and size class the documents themselves say
 what is usual: the band around the median of each measure is TOLERANCE robust deviations wide. A text outside a band is
 rejected. A size class of too few documents is judged by the next size classes of its language as well, as many as it takes,
-and where the language has too few in all by those of all languages, so that every text with a token is judged, unless the
-whole table has too few documents to say what is usual.
+and where the language has too few in all by those of all languages; where the whole table has too few, by the fixed bands
+of FALLBACK. So every text with a token is judged.
 
 Words are encoded one by one, each distinct word once per worker while the word cache has room; emptying it changes no
-result. Bands come from exact histograms over all documents.
+result. A stretch without spaces, as in scripts that use none, is taken in runs of at most RUN characters, each a word. Bands
+come from exact histograms over all documents.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 TOLERANCE, MIN_GROUP, MIN_TOKENS = 6.0, 50, 1
 #: Histogram steps per unit, least robust deviation, and which side of the band rejects (-1 below, 1 above).
 MEASURES = {"chars_per_token": (128, 0.04, (-1, 1)), "chars_per_byte_token": (128, 0.06, (-1, 1)), "byte_share": (1024, 0.01, (1,)), "entropy": (128, 0.08, (-1,))}
+#: Bands of a table of too few documents to say what is usual: no text that is written in any language is outside them.
+FALLBACK = {"chars_per_token": (0.4, 12.0), "chars_per_byte_token": (0.3, 12.0), "byte_share": (-math.inf, 0.6), "entropy": (-math.inf, math.inf)}
 METRICS = "n_tokens long, chars_per_token double, chars_per_byte_token double, byte_share double, entropy double"
-_CACHE_WORDS = 100_000
+RUN, CACHE_BYTES = 64, 24_000_000
+#: What a cached word takes beside its characters and token numbers.
+_ENTRY = 260
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -54,17 +59,19 @@ def _models(folder: str):
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
     is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
-    return pieces, is_byte, rank_encoding(f"{folder}/{BYTES}"), {}
+    return pieces, is_byte, rank_encoding(f"{folder}/{BYTES}"), {}, [0]
 
 
 def measure(texts: list[str | None], folder: str) -> tuple[np.ndarray, ...]:
     """n_tokens, chars_per_token, chars_per_byte_token, byte_share, entropy of each text; zeros where there is no word."""
-    pieces, is_byte, ranks, cache = _models(folder)
+    pieces, is_byte, ranks, cache, used = _models(folder)
     index: dict[str, int] = {}
     codes: list[int] = []
     n_words = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         words = (t or "").split()
+        if words and max(map(len, words)) > RUN:
+            words = [w[a : a + RUN] for w in words for a in range(0, len(w), RUN)]
         n_words[i] = len(words)
         codes += [index.setdefault(w, len(index)) for w in words]
     if not index:
@@ -73,9 +80,11 @@ def measure(texts: list[str | None], folder: str) -> tuple[np.ndarray, ...]:
     new = [w for w in index if w not in cache]
     for w, ids, other in zip(new, pieces.encode(new, num_threads=1), map(ranks.encode_ordinary, [f" {w}" for w in new]), strict=True):
         cache[w] = (np.array(ids, np.int32).tobytes(), len(other))
+        used[0] += _ENTRY + 4 * len(w) + 4 * len(ids)
     known = [cache[w] for w in index]
-    if len(cache) > _CACHE_WORDS:
+    if used[0] > CACHE_BYTES:
         cache.clear()
+        used[0] = 0
     lens = np.array([len(k[0]) // 4 for k in known])
     flat = np.frombuffer(b"".join([k[0] for k in known]), np.int32)
     first = np.cumsum(lens) - lens
@@ -126,7 +135,7 @@ def measured(docs: DataFrame, folder: str) -> DataFrame:
 def pools(sizes: DataFrame, min_group: int) -> DataFrame:
     """For each (__band, __size), a row for each (from, size) whose documents judge it: the size classes up to the least
     distance that holds min_group documents, of the language or, where that never does, of all (from is null).
-    A table of fewer documents than that has no rows. sizes: __band, __size, n."""
+    A table of fewer documents than that has no rows and is judged by FALLBACK. sizes: __band, __size, n."""
     every = sizes.groupBy(F.lit(None).cast("string").alias("from"), F.col("__size").alias("size")).agg(F.sum("n").alias("n"))
     here = sizes.select("__band", "__size")
     own = here.join(sizes.select("__band", F.col("__band").alias("from"), F.col("__size").alias("size"), "n"), "__band")
@@ -180,7 +189,8 @@ def judged(docs: DataFrame, folder: str, tolerance: float, min_group: int, min_t
     why = []
     for m, (s, _, _) in MEASURES.items():
         x = F.round(F.col(f"__m.{m}") * s)
-        why.append(F.when(x < F.col(f"__lo_{m}"), F.lit(f"{m} low")).when(x > F.col(f"__hi_{m}"), F.lit(f"{m} high")))
+        low, high = (F.coalesce(F.col(f"__{side}_{m}"), F.lit(edge * s)) for side, edge in zip(("lo", "hi"), FALLBACK[m], strict=True))
+        why.append(F.when(x < low, F.lit(f"{m} low")).when(x > high, F.lit(f"{m} high")))
     why = F.when(F.col("__m.n_tokens") >= min_tokens, F.array_compact(F.array(*why))).otherwise(F.array().cast("array<string>"))
     return out.withColumn("__why", F.when(F.col("__m.n_tokens") == 0, F.array(F.lit("empty"))).otherwise(why))
 
@@ -189,8 +199,7 @@ def fertility(docs: DataFrame, folder: str = TOKENIZERS, tolerance: float = TOLE
     """One row per document: doc_id, band, the measures, why (what is out of its band) and keep.
 
     Null and empty texts, and those of white space only, are rejected as "empty". A language and size class of fewer than
-    min_group documents is judged together with its next ones; in a table of fewer documents than that only
-    empty texts are rejected. Texts of fewer than min_tokens tokens would be kept; by
+    min_group documents is judged together with its next ones; a table of fewer documents than that by FALLBACK. Texts of fewer than min_tokens tokens would be kept; by
     default there are none.
     A null or blank lang is replaced by the script. Null ids and repeated rows are measured like any other. An empty
     table gives an empty result; extra columns are ignored; texts of any length are measured whole.
@@ -202,6 +211,10 @@ def fertility(docs: DataFrame, folder: str = TOKENIZERS, tolerance: float = TOLE
 
 
 def drop_unusual(docs: DataFrame, folder: str = TOKENIZERS, tolerance: float = TOLERANCE, min_group: int = MIN_GROUP, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The documents that fertility() keeps, each row with all its columns as they were."""
+    """The documents that fertility() keeps, each row with all its columns as they were, under their names.
+
+    Null, empty and blank texts go; null ids and repeated rows are judged like others; a null or blank lang is replaced by
+    the script. An empty table stays empty; texts are measured whole.
+    """
     inner, back = tidy(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     return back(judged(inner, folder, tolerance, min_group, min_tokens).filter(F.size("__why") == 0))

@@ -572,15 +572,73 @@ def test_fertility_measures_equal_plain_python():
     texts = ["Hello there, world! Hello.", "", None, "naïve 😀 日本", "x" * 500, "a\nb  c"]
     got = fertility.measure(texts, fertility.TOKENIZERS)
     for i, t in enumerate(texts):
-        ids = [j for w in (t or "").split() for j in sp.encode(w)]
+        words = [w[a : a + fertility.RUN] for w in (t or "").split() for a in range(0, len(w), fertility.RUN)]
+        ids = [j for w in words for j in sp.encode(w)]
         n = len(ids)
         assert got[0][i] == n
         if n:
             c = Counter(ids)
-            want = (sum(map(len, t.split())) / n, sum(map(len, t.split())) / sum(len(enc.encode_ordinary(f" {w}")) for w in t.split()), sum(map(sp.is_byte, ids)) / n, -sum(v / n * np.log2(v / n) for v in c.values()))
+            want = (sum(map(len, t.split())) / n, sum(map(len, t.split())) / sum(len(enc.encode_ordinary(f" {w}")) for w in words), sum(map(sp.is_byte, ids)) / n, -sum(v / n * np.log2(v / n) for v in c.values()))
             assert np.allclose([m[i] for m in got[1:]], want)
 
 
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    """Texts without spaces are cut in runs; the cache never holds much more than its bound; emptying it changes nothing."""
+    rng = random.Random(41)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(5000)) for _ in range(20)] + [prose(rng, 500) for _ in range(20)]
+    whole = fertility.measure(texts, fertility.TOKENIZERS)
+    monkeypatch.setattr(fertility, "CACHE_BYTES", 50_000)
+    for i, t in enumerate(texts):
+        for a, b in zip(whole, fertility.measure([t], fertility.TOKENIZERS), strict=True):
+            assert np.isclose(a[i], b[0])
+        cache, used = fertility._models(fertility.TOKENIZERS)[3:]
+        assert used[0] <= 50_000 and used[0] >= sum(4 * len(w) + len(v[0]) for w, v in cache.items())
+        assert max(map(len, cache), default=0) <= fertility.RUN
+
+
+@pytest.mark.parametrize("min_group", [50, 400])
+def test_fertility_bands_equal_plain_python(spark, min_group):
+    """Histogram steps, medians, deviations, pools of thin classes and reasons, one by one."""
+    rng = random.Random(42)
+    rows = [(prose(rng, rng.choice([5, 30, 50, 400])), rng.choice(["en", "en", "fr"])) for _ in range(300)] + [("%%% ### " * 30, "en"), ("vo " * 60, "fr"), ("", "en"), ("zz qq " * 2, "de"), ("𓃑𓃒" * 90, "en")]
+    d = spark.createDataFrame([(i, t, g, "a", len(t)) for i, (t, g) in enumerate(rows)], DOCS)
+    got = {r["doc_id"]: sorted(r["why"]) for r in fertility.fertility(d, min_group=min_group).collect()}
+    m = fertility.measure([t for t, _ in rows], fertility.TOKENIZERS)
+    values = dict(zip(["n", *fertility.MEASURES], m, strict=True))
+    step = {k: [int(np.floor(v * s + 0.5)) for v in values[k].tolist()] for k, (s, _, _) in fertility.MEASURES.items()}
+    size = [int(np.floor(np.log2(max(n, 1)))) for n in values["n"].tolist()]
+    judges = [i for i in range(len(rows)) if values["n"][i] >= 1]
+    for i, (_, lang) in enumerate(rows):
+        if values["n"][i] == 0:
+            assert got[i] == ["empty"]
+            continue
+        pool = []
+        for near in ([j for j in judges if rows[j][1] == lang], judges):
+            for far in range(40):
+                pool = [j for j in near if abs(size[j] - size[i]) <= far]
+                if len(pool) >= min_group:
+                    break
+            if len(pool) >= min_group:
+                break
+        why = []
+        if len(pool) < min_group:
+            for k, (low, high) in fertility.FALLBACK.items():
+                s = fertility.MEASURES[k][0]
+                why += [f"{k} low"] * (step[k][i] < low * s) + [f"{k} high"] * (step[k][i] > high * s)
+        else:
+            for k, (s, least, sides) in fertility.MEASURES.items():
+                x = sorted(step[k][j] - (max(size[j] - size[i], 0) * s if k == "entropy" else 0) for j in pool)
+                mid = x[(len(x) + 1) // 2 - 1]
+                away = sorted(abs(v - mid) for v in x)
+                reach = fertility.TOLERANCE * max(1.4826 * away[(len(x) + 1) // 2 - 1], least * s)
+                if -1 in sides and step[k][i] < mid - reach:
+                    why.append(f"{k} low")
+                if 1 in sides and step[k][i] > mid + reach:
+                    why.append(f"{k} high")
+        assert got[i] == sorted(why), i
+    assert sum(map(bool, got.values())) >= (3 if min_group == 50 else 1)
+
+
 def test_fertility_bands_reject_what_is_unusual(spark):
     rng = random.Random(13)
     good = [prose(rng, rng.randint(40, 60)) for _ in range(300)]
