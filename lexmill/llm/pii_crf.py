@@ -363,9 +363,23 @@ def _kinds() -> np.ndarray:
     return k
 
 
-@lru_cache(1)
-def _announcing() -> re.Pattern:
-    return re.compile("|".join(sorted(map(re.escape, _SECRET), key=len, reverse=True)), re.IGNORECASE)
+#: One of these is in every word that announces a secret.
+_STEMS = ("key", "token", "secret", "passw", "pwd", "contrase", "bearer", "auth", "credential")
+assert all(any(x in w for x in _STEMS) for w in _SECRET)
+
+
+def _stem_places(text: str) -> list[int]:
+    """Where a text has one of _STEMS, in upper or lower case."""
+    low = text.lower()
+    if len(low) != len(text):
+        return [m.start() for m in re.finditer("|".join(_STEMS), text, re.IGNORECASE)]
+    out = []
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            out.append(at)
+            at = low.find(stem, at + len(stem))
+    return out
 
 
 def nodes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -384,7 +398,7 @@ def nodes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     marks = np.concatenate([[0], np.cumsum(kind == 2)])
     is_node = marks[ends] > marks[starts]
     doc = np.searchsorted(base, starts, "right") - 1
-    found = [base[d] + m.start() for d, t in enumerate(texts) for m in _announcing().finditer(t)]
+    found = [base[d] + at for d, t in enumerate(texts) for at in _stem_places(t)]
     if found:
         maybe = np.unique(np.searchsorted(starts, np.array(found), "right") - 1)
         for i in maybe.tolist():
