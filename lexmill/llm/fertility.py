@@ -15,8 +15,10 @@ come from exact histograms over all documents.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -59,27 +61,30 @@ def _models(folder: str):
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
     is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
-    return pieces, is_byte, rank_encoding(f"{folder}/{BYTES}"), {}, [0]
+    ranks = rank_encoding(f"{folder}/{BYTES}")
+    spaced = np.array([ranks.decode_single_token_bytes(i)[:1] == b" " for i in range(ranks.n_vocab)])
+    return pieces, is_byte, ranks, spaced, {}, [0]
 
 
 def measure(texts: list[str | None], folder: str) -> tuple[np.ndarray, ...]:
     """n_tokens, chars_per_token, chars_per_byte_token, byte_share, entropy of each text; zeros where there is no word."""
-    pieces, is_byte, ranks, cache, used = _models(folder)
-    index: dict[str, int] = {}
-    codes: list[int] = []
-    n_words = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = (t or "").split()
-        if words and max(map(len, words)) > RUN:
-            words = [w[a : a + RUN] for w in words for a in range(0, len(w), RUN)]
-        n_words[i] = len(words)
-        codes += [index.setdefault(w, len(index)) for w in words]
+    pieces, is_byte, ranks, spaced, cache, used = _models(folder)
+    split = [(t or "").split() for t in texts]
+    every = list(chain.from_iterable(split))
+    index = {w: i for i, w in enumerate(dict.fromkeys(every))}
+    if index and max(map(len, index)) > RUN:
+        split = [[w[a : a + RUN] for w in words for a in range(0, len(w), RUN)] for words in split]
+        every = list(chain.from_iterable(split))
+        index = {w: i for i, w in enumerate(dict.fromkeys(every))}
+    n_words = np.array(list(map(len, split)), np.int64)
     if not index:
         z = np.zeros(len(texts))
         return n_words, z, z, z, z
     new = [w for w in index if w not in cache]
-    for w, ids, other in zip(new, pieces.encode(new, num_threads=1), map(ranks.encode_ordinary, [f" {w}" for w in new]), strict=True):
-        cache[w] = (np.array(ids, np.int32).tobytes(), len(other))
+    # a token that begins with a space is a word's first one
+    other = np.bincount(np.cumsum(spaced[ranks.encode_ordinary(" " + " ".join(new))]) - 1).tolist() if new else []
+    for w, ids, n in zip(new, pieces.encode(new, num_threads=1), other, strict=True):
+        cache[w] = (array("i", ids).tobytes(), n)
         used[0] += _ENTRY + 4 * len(w) + 4 * len(ids)
     known = [cache[w] for w in index]
     if used[0] > CACHE_BYTES:
@@ -89,7 +94,7 @@ def measure(texts: list[str | None], folder: str) -> tuple[np.ndarray, ...]:
     flat = np.frombuffer(b"".join([k[0] for k in known]), np.int32)
     first = np.cumsum(lens) - lens
     other, chars = np.array([k[1] for k in known]), np.array(list(map(len, index)))
-    code = np.array(codes)
+    code = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
     row = np.repeat(np.arange(len(texts)), n_words)
     total = lambda x: np.bincount(row, x[code], len(texts))
     n, n_chars, n_other = total(lens), total(chars), total(other)
