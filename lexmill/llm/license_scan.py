@@ -10,6 +10,7 @@ template list, a parameter.
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -154,11 +155,14 @@ class Index:
 
 def choose(found: list[dict]) -> list[dict]:
     """The best of overlapping findings: by matched words, score, place, name; others may share no word with one taken."""
+    first: list[int] = []
     taken: list[dict] = []
     for f in sorted(found, key=lambda f: (-f["matched"], -f["score"], f["first_word"], f["template"])):
-        if all(f["last_word"] < g["first_word"] or f["first_word"] > g["last_word"] for g in taken):
-            taken.append(f)
-    return sorted(taken, key=lambda f: f["first_word"])
+        i = bisect(first, f["last_word"])
+        if not i or taken[i - 1]["last_word"] < f["first_word"]:
+            first.insert(i, f["first_word"])
+            taken.insert(i, f)
+    return taken
 
 
 def licenses(
@@ -167,9 +171,10 @@ def licenses(
     """One row per notice: doc_id, license, template, first_word, last_word, start, end (characters), matched,
     template_words, coverage (matched share of the template's words), score.
 
-    Of notices that overlap the one with more matched words is reported. Null and empty texts have none; null ids and
+    Every place of a document is aligned; of notices that overlap the one with more matched words is reported, then the one of
+    the higher score, the one that begins first, and the template that comes first by name. Null and empty texts have none; null ids and
     repeated rows are scanned like others. An empty table gives an empty result; texts are read whole; extra columns are
-    ignored.
+    ignored, whatever their names.
     """
     docs, _ = tidy(docs, {"doc_id": "long", "text": "string"})
 

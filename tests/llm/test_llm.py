@@ -174,6 +174,24 @@ def test_two_notices_of_a_template():
     assert [(f["template"], f["first_word"]) for f in out] == [("mit-short", 0), ("mit-short", 15)]
 
 
+def test_adjoining_and_many_notices():
+    import time
+
+    index = license_scan.Index(license_scan.TEMPLATES, 3, 3)
+    twice = index.scan(["All rights reserved. All rights reserved."], 0.75)[0]
+    assert [(f["first_word"], f["last_word"]) for f in twice] == [(0, 2), (3, 5)]
+    began = time.time()
+    many = index.scan(["All rights reserved. " * 100_000], 0.75)[0]
+    assert [f["first_word"] for f in many] == list(range(0, 300_000, 3)) and time.time() - began < 30
+    rng = random.Random(51)
+    found = [{"matched": rng.randint(1, 9), "score": rng.randint(1, 5), "first_word": a, "last_word": a + rng.randint(0, 12), "template": rng.choice("abc")} for a in (rng.randint(0, 80) for _ in range(200))]
+    taken = []
+    for f in sorted(found, key=lambda f: (-f["matched"], -f["score"], f["first_word"], f["template"])):
+        if all(f["last_word"] < g["first_word"] or f["first_word"] > g["last_word"] for g in taken):
+            taken.append(f)
+    assert license_scan.choose(found) == sorted(taken, key=lambda f: f["first_word"])
+
+
 # 2
 
 
