@@ -103,8 +103,11 @@ UNION ALL SELECT 2, c, w, count(*) FROM (SELECT t[i] AS c, t[i + 1] AS w FROM (S
 UNION ALL SELECT 3, c, w, count(*) FROM (SELECT t[i] || ' ' || t[i + 1] AS c, t[i + 2] AS w FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p)) GROUP BY c, w""",
     "lm_counts",
 )(lambda s, d: _model(s, d, "mle").counts)
-query(None, "lm_perplexity")(
-    lambda s, d: lm.perplexity(_model(s, d, "kneser_ney_interpolated"), _turns(s, d).filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), T.ascii_tokens("text").alias("tokens")))
+_PERPLEXITY = _LM[: _LM.index("a AS (SELECT")] + f"""a AS ({S.toks('conversations', 'conv_id * 1000 + turn AS sent_id', where="WHERE role = 'assistant'")}), b AS (SELECT sent_id, list_concat(['<s>', '<s>'], t, ['</s>']) AS t FROM a),
+x AS (SELECT sent_id, t[i] AS word, t[i - 1] AS c1_, t[i - 2] || ' ' || t[i - 1] AS c2_ FROM (SELECT sent_id, t, unnest(range(3, len(t) + 1)) AS i FROM b)),
+j AS (SELECT x.sent_id,""" + _LM[_LM.index(" coalesce(c1.n, 0) AS n1"):]
+query(f"{_PERPLEXITY} SELECT sent_id, round(pow(2, -avg(log2(greatest({_KN3}, 1e-12::DOUBLE)))), 3) AS perplexity FROM j GROUP BY sent_id", "lm_perplexity")(
+    lambda s, d: lm.perplexity(_model(s, d, "kneser_ney_interpolated"), _turns(s, d).filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), T.ascii_tokens("text").alias("tokens"))).withColumn("perplexity", F.round("perplexity", 3))
 )
 
 # tags, chunks, parses
@@ -130,15 +133,43 @@ def _runs(spark, d) -> DataFrame:
     return _docs(spark, d).select(F.explode(F.split(F.lower("text"), r"[.\n]+")).alias("p")).select(F.trim("p").alias("sentence")).filter("sentence <> ''").distinct()
 
 
-query(None, "chunk_iob")(lambda s, d: chunk.chunked(_docs(s, d), CHUNKS))
+_CHUNKED = f"""WITH k AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9'']+') AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM k),
+g AS (SELECT *, {S.tag('token')} AS tag FROM w), b AS (SELECT *, lag(tag) OVER o AS before, lead(tag) OVER o AS after FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, token, tag, CASE WHEN tag LIKE 'NN%' THEN CASE WHEN before LIKE 'NN%' OR before = 'DT' THEN 'I-NP' ELSE 'B-NP' END WHEN tag = 'DT' AND after LIKE 'NN%' THEN 'B-NP'
+    WHEN tag LIKE 'VB%' THEN 'B-VP' WHEN tag = 'RB' AND before LIKE 'VB%' THEN 'I-VP' ELSE 'O' END AS iob FROM b"""
+query(_CHUNKED, "chunk_iob")(lambda s, d: chunk.chunked(_docs(s, d), CHUNKS))
 query(None, "perceptron_tags")(lambda s, d: _turns(s, d).select("conv_id", "turn", T.raw_ascii_tokens("text").alias("token")).withColumn("tag", tagger.default_model().column("token")).select("conv_id", "turn", F.posexplode(F.arrays_zip("token", "tag")).alias("pos", "x")).select("conv_id", "turn", "pos", "x.*"))
+_D, _V, _N = "the|a|this|that", "is|was|are", "of|in|on|it|for|and|to|with|by"
+_NP = f"(?:(?:{_D}) )?(?:{_N})(?: (?:{_N}))?"
+#: Sentences, their words, and whether the grammar, whose language is finite, has them.
+_SENTENCES = f"""WITH s AS (SELECT DISTINCT trim(p) AS sentence FROM (SELECT unnest(string_split_regex(lower(text), '[.\\n]+')) AS p FROM documents) WHERE trim(p) <> ''),
+g AS (SELECT sentence, array_to_string(list_filter(regexp_extract_all(sentence, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?|[^{S.SPACES}]'), lambda x: regexp_matches(x, '[A-Za-z0-9_]')), ' ') AS w FROM s),
+r AS (SELECT sentence, w, regexp_full_match(w, '{_NP}(?: (?:{_V})(?: {_NP})?)?') AS accepted FROM g)"""
+
+
+def _phrase(words: str) -> str:
+    """The noun phrase of some words, as a bracket string."""
+    return f"'(NP ' || regexp_replace(regexp_replace({words}, '\\b({_D})\\b', '(D \\1)', 'g'), '\\b({_N})\\b', '(N \\1)', 'g') || ')'"
+
+
+_TREES = f"""{_SENTENCES}, c AS (SELECT sentence, w, regexp_extract(w, '^({_NP})', 1) AS np, regexp_extract(w, '\\b({_V})\\b', 1) AS v, regexp_extract(w, '\\b(?:{_V}) (.*)$', 1) AS o FROM r WHERE accepted),
+t AS (SELECT sentence, w, np, v, o, '(S ' || {_phrase('np')} || CASE WHEN v <> '' THEN ' (VP (V ' || v || ')' || CASE WHEN o <> '' THEN ' ' || {_phrase('o')} ELSE '' END || ')' ELSE '' END || ')' AS tree FROM c)"""
 for _method in ("chart", "earley", "recursive_descent", "left_corner"):
-    query(None, f"cfg_{_method}")(lambda s, d, m=_method: _runs(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
-query(None, "cfg_recognize")(lambda s, d: _runs(s, d).select("sentence", grammar.recognize_text(grammar.cfg(GRAMMAR))("sentence").alias("accepted")))
-query(None, "pcfg_viterbi")(lambda s, d: _runs(s, d).select("sentence", grammar.parse_text_weighted(grammar.pcfg(WEIGHTED))("sentence").alias("p")).filter("p is not null").select("sentence", "p.*"))
-query(None, "feature_parse")(lambda s, d: _runs(s, d).select("sentence", F.explode(grammar.parse_text_features(grammar.feature_cfg(FEATURES))("sentence")).alias("tree")))
+    query(f"{_TREES} SELECT sentence, tree FROM t", f"cfg_{_method}")(lambda s, d, m=_method: _runs(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
+query(f"{_SENTENCES} SELECT sentence, accepted FROM r", "cfg_recognize")(lambda s, d: _runs(s, d).select("sentence", grammar.recognize_text(grammar.cfg(GRAMMAR))("sentence").alias("accepted")))
+_PROB = f"""p AS (SELECT sentence, tree, ln(0.5::DOUBLE) + (CASE WHEN o <> '' THEN 2 ELSE 1 END) * ln(0.25::DOUBLE) + len(regexp_extract_all(w, '\\b(?:{_N})\\b')) * ln(1 / 9::DOUBLE)
+    + len(regexp_extract_all(w, '\\b(?:{_D})\\b')) * ln(0.25::DOUBLE) + CASE WHEN v = '' THEN 0 WHEN o = '' THEN ln(0.3::DOUBLE / 3) ELSE ln(0.7::DOUBLE / 3) END AS log_prob FROM t)"""
+query(f"{_TREES}, {_PROB} SELECT sentence, tree, round(log_prob, 6) AS log_prob, round(exp(log_prob), 12) AS prob FROM p", "pcfg_viterbi")(
+    lambda s, d: _runs(s, d).select("sentence", grammar.parse_text_weighted(grammar.pcfg(WEIGHTED))("sentence").alias("p")).filter("p is not null").select("sentence", "p.tree", F.round("p.log_prob", 6).alias("log_prob"), F.round("p.prob", 12).alias("prob"))
+)
+_FEATURED = f"""{_SENTENCES}, f AS (SELECT sentence, regexp_full_match(w, '(?:it|(?:the|this) (?:{_N}))(?: (?:is|was))?') AS sg, regexp_full_match(w, '(?:of|the (?:{_N}) (?:{_N}))(?: are)?') AS pl,
+    regexp_extract(w, '^(.*?)(?: (?:{_V}))?$', 1) AS np, regexp_extract(w, ' ({_V})$', 1) AS v FROM g),
+n AS (SELECT sentence, CASE WHEN sg THEN 'sg' ELSE 'pl' END AS num, CASE WHEN np IN ('it', 'of') THEN np ELSE regexp_replace(np, ' ({_N})', ' (N \\1)', 'g') END AS np, v FROM f WHERE sg OR pl)
+SELECT sentence, '(S (NP[num=' || num || '] ' || np || ')' || CASE WHEN v <> '' THEN ' (VP[num=' || num || '] ' || v || ')' ELSE '' END || ')' AS tree FROM n"""
+query(_FEATURED, "feature_parse")(lambda s, d: _runs(s, d).select("sentence", F.explode(grammar.parse_text_features(grammar.feature_cfg(FEATURES))("sentence")).alias("tree")))
 query(None, "dependency_arcs")(lambda s, d: _turns(s, d).select("conv_id", "turn", chunk.dependency_text("text").alias("p")).select("conv_id", "turn", F.explode("p.arcs").alias("a")).select("conv_id", "turn", "a.*"))
-query(None, "tree_transforms")(lambda s, d: QUERIES["cfg_chart"](s, d).select("sentence", "tree", trees.tree_depth("tree").alias("depth"), F.array_join(trees.tree_leaves("tree"), " ").alias("leaves"), trees.tree_collapsed("tree").alias("collapsed")))
+_COLLAPSED = "regexp_replace(regexp_replace(tree, '\\(NP \\(N (\\w+)\\)\\)', '(NP+N \\1)', 'g'), '\\(VP \\(V (\\w+)\\)\\)', '(VP+V \\1)', 'g')"
+query(f"{_TREES} SELECT sentence, tree, (CASE WHEN o <> '' THEN 4 ELSE 3 END)::INT AS depth, w AS leaves, CASE WHEN v = '' THEN regexp_replace({_COLLAPSED}, '^\\(S \\(NP(.*)\\)\\)$', '(S+NP\\1)') ELSE {_COLLAPSED} END AS collapsed FROM t", "tree_transforms")(lambda s, d: QUERIES["cfg_chart"](s, d).select("sentence", "tree", trees.tree_depth("tree").alias("depth"), F.array_join(trees.tree_leaves("tree"), " ").alias("leaves"), trees.tree_collapsed("tree").alias("collapsed")))
 
 # lexical graph: the packaged example
 
