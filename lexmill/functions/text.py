@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import combinations
 
 from pyspark.sql import Column
@@ -109,6 +109,19 @@ def bigrams(tokens: Column | str, distance: int = 1) -> Column:
     return pairs.cast("array<struct<l:string,r:string>>")
 
 
+def zipped(tokens: Column | str, places: Iterable[int], width: int, last: str | None = None) -> Column:
+    """Structs w1, ..., w<width> of the tokens at these distances from each start at which all are there, built without
+    a lambda. Fields beyond the places are null, but for the last one where that is given."""
+    toks, at = _col(tokens), list(places)
+    size = F.greatest(F.size(toks) - at[-1], F.lit(0))
+    cols = [F.slice(toks, F.lit(g + 1), size) for g in at]
+    cols += [F.array().cast("array<string>")] * (width - len(at))
+    if last is not None:
+        cols[-1] = F.array_repeat(F.lit(last), size)
+    kind = "array<struct<" + ",".join(f"w{i + 1}:string" for i in range(width)) + ">>"
+    return F.arrays_zip(*(c.alias(f"w{i + 1}") for i, c in enumerate(cols))).cast(kind)
+
+
 def window_pairs(tokens: Column | str, window: int) -> Column:
     """Ordered pairs of tokens fewer than window places apart."""
     if window < 2:
@@ -271,15 +284,19 @@ def regexp_stem(word: Column | str, pattern: str, least: int = 0) -> Column:
     return F.when(F.length(w) > least, F.regexp_replace(w, rf"(?is)^(.*?)(?:{pattern})(.*)$", "$1$2")).otherwise(w)
 
 
+#: By part of speech: what is cut, the least length of the word, what takes its place.
+MORPHY = {
+    "n": (("ies", 4, "y"), ("ves", 4, "f"), ("es", 3, ""), ("s", 2, "")),
+    "v": (("ies", 4, "y"), ("ing", 5, ""), ("ed", 4, ""), ("s", 2, "")),
+    "a": (("est", 4, ""), ("er", 3, "")),
+    "r": (),
+}
+
+
 def morphy_rule(word: Column | str, pos: str | None = None) -> Column:
     """Base form by the first ending that fits: nouns also where no part of speech is given."""
     w = F.translate(F.substring(_col(word), 1, 128), _UPPER + " ", _UPPER.lower() + "_")
-    rules = {
-        "n": (("ies", 4, "y"), ("ves", 4, "f"), ("es", 3, ""), ("s", 2, "")),
-        "v": (("ies", 4, "y"), ("ing", 5, ""), ("ed", 4, ""), ("s", 2, "")),
-        "a": (("est", 4, ""), ("er", 3, "")),
-        "r": (),
-    }[pos or "n"]
+    rules = MORPHY[pos or "n"]
     out = F.when(F.lit(False), w)
     for end, least, to in rules:
         out = out.when(w.endswith(end) & (F.length(w) >= least), F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(to)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .arrow import arrow_function
+from .stem import porter
 
 _PHONE = r"\(\d{3}\)\s*\d+\s*-\d+|\d{2}-\d{8}|\d{3}-\d{3}-\d{4}|\d+\s*-\s*\d+"
 _EMOTICON = r"[:;=8]-?[)(DPpOo/\\]"
@@ -71,10 +72,13 @@ def normalized_unicode(text: Column | str, remove_stopwords: bool = True) -> Col
     return T.without_stopwords(toks) if remove_stopwords else toks
 
 
-def normalized(text: Column | str, remove_stopwords: bool = True, prefer_ascii: bool = True) -> Column:
-    """ASCII texts by the ASCII tokenizer, others by the Unicode one."""
-    uni = normalized_unicode(text, remove_stopwords)
-    if not prefer_ascii:
-        return uni
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), T.normalized_ascii(c, remove_stopwords)).otherwise(uni)
+porter_ascii = arrow_function(lambda t: [porter(x) if x.isascii() else x for x in t], "array<string>")
+
+
+def normalized(text: Column | str, remove_stopwords: bool = True, prefer_ascii: bool = True, stem: bool = False) -> Column:
+    """ASCII texts by the ASCII tokenizer, others by the Unicode one; stem gives Porter's stems of ASCII tokens."""
+    out = normalized_unicode(text, remove_stopwords)
+    if prefer_ascii:
+        c = F.col(text) if isinstance(text, str) else text
+        out = F.when(c.rlike(r"^[\x00-\x7F]*$"), T.normalized_ascii(c, remove_stopwords)).otherwise(out)
+    return porter_ascii(out) if stem else out

@@ -15,6 +15,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..sources.shared import stored
 from . import counts
 
 EPSILON = 1e-20
@@ -78,22 +80,17 @@ def finder(docs: DataFrame, size: int = 2, window: int | None = None, tokens: Co
     window = window or size
     if size not in PATTERNS or window < size:
         raise ValueError("size must be 2, 3 or 4 and window no smaller")
-    from ..functions import text as T
-
     toks = docs.select((T.ascii_tokens("text") if tokens is None else T._col(tokens)).alias("t"))
     times = comb(window - 1, size - 1) if size > 2 else 1
-    words = toks.select(F.explode("t").alias("w1")).groupBy("w1").agg((F.count("*") * times).alias("n"))
-    tables = {}
-    for pattern in PATTERNS[size]:
-        groups = []
-        for gaps, weight in _weights(size, window, pattern).items():
-            m = F.greatest(F.size("t") - gaps[-1], F.lit(0))
-            cols = [F.slice("t", F.lit(g + 1), m).alias(f"w{i + 1}") for i, g in enumerate(gaps)]
-            kind = "array<struct<" + ",".join(f"w{i + 1}:string" for i in range(len(gaps))) + ">>"
-            groups.append(F.struct(F.lit(weight).cast("long").alias("k"), F.arrays_zip(*cols).cast(kind).alias("g")))
-        keys = [f"w{i + 1}" for i in range(len(pattern))]
-        rows = toks.select(F.explode(F.array(*groups)).alias("x")).select("x.k", F.explode("x.g").alias("g")).select("k", "g.*")
-        tables[pattern] = rows.groupBy(*keys).agg(F.sum("k").alias("n"))
+    # one scan, one shuffle: every pattern's n-grams are rows of one table, told apart by kind
+    kinds = {0: {(0,): times}} | {i: _weights(size, window, p) for i, p in enumerate(PATTERNS[size], 1)}
+    groups = [F.struct(F.lit(kind).alias("kind"), F.lit(weight).cast("long").alias("k"), T.zipped("t", gaps, size).alias("g")) for kind, by in kinds.items() for gaps, weight in by.items()]
+    rows = toks.select(F.explode(F.array(*groups)).alias("x")).select("x.kind", "x.k", F.explode("x.g").alias("g")).select("kind", "k", "g.*")
+    keys = [f"w{i + 1}" for i in range(size)]
+    seen = stored(rows.groupBy("kind", *keys).agg(F.sum("k").alias("n")), "ngrams", "kind")
+    only = lambda kind, n: seen.filter(F.col("kind") == kind).select(*keys[:n], "n")
+    words = only(0, 1)
+    tables = {p: only(i, len(p)) for i, p in enumerate(PATTERNS[size], 1)}
     return Finder(size, window, words, tables)
 
 

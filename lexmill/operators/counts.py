@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 
 def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", make=T.ascii_tokens) -> DataFrame:
@@ -21,11 +22,14 @@ def metrics(docs: DataFrame, n: int = 2, text: str = "text") -> DataFrame:
     """One row: tokens, distinct tokens, n-grams, distinct n-grams of all documents."""
     if n < 1:
         raise ValueError("n must be a positive integer")
-    toks = docs.select(T.ascii_tokens(text).alias("t"))
-    words = toks.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("token_count"), F.count("*").alias("unique_token_count"))
-    grams = toks.select(F.explode(T.ngrams("t", n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
-    grams = grams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("ngram_count"), F.count("*").alias("unique_ngram_count"))
-    return words.crossJoin(grams)
+    rows = docs.select(T.ascii_tokens(text).alias("t")).select(F.explode(F.concat(T.zipped("t", [0], n + 1), T.zipped("t", range(n), n + 1, "gram"))).alias("g")).select("g.*")
+    kinds = [f"w{i + 1}" for i in range(n + 1)]
+    seen = rows.groupBy(*kinds).agg(F.count("*").alias("c"))
+    word = F.col(kinds[-1]).isNull()
+    total = lambda of: F.coalesce(F.sum(F.when(of, F.col("c"))), F.lit(0))
+    return seen.agg(
+        total(word).alias("token_count"), F.count(F.when(word, 1)).alias("unique_token_count"), total(~word).alias("ngram_count"), F.count(F.when(~word, 1)).alias("unique_ngram_count")
+    )
 
 
 def token_freq(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,7 +63,7 @@ def rank_by(df: DataFrame, *order: str | Column) -> DataFrame:
     """df with rank from 0 in a total order, without moving all rows to one task: a range sort numbers its partitions'
     rows, and the partitions' sizes say where each begins."""
     ordered = df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
-    ordered = ordered.persist()
+    ordered = stored(ordered, "ranked")
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("c"), F.min("__row").alias("__least"))
     offsets = sizes.select("__part", "__least", (F.sum("c").over(W.orderBy("__part")) - F.col("c")).alias("__before"))
     ranked = ordered.join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__before") + F.col("__row") - F.col("__least"))

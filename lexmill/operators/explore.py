@@ -49,6 +49,16 @@ def contexts(docs: DataFrame, keep: Callable[[Column], Column] | None = None) ->
     return rows.groupBy("word", "left", "right").agg(F.count("*").alias("n"))
 
 
+def contexts_by(docs: DataFrame, context: Callable[[Column, Column], Column], keep: Callable[[Column], Column] | None = None, key: Callable[[Column], Column] | None = None, tokens: Callable = T.ascii_tokens) -> DataFrame:
+    """(word, context, n) with a context of the caller's own: context(tokens, i) of the token at place i, from 1. key maps
+    words before they are counted, keep says which words count; null contexts are left out."""
+    rows = docs.select(tokens(F.col("text")).alias("t")).select("t", F.posexplode("t").alias("i", "word"))
+    rows = rows.select(F.col("word"), context(F.col("t"), F.col("i") + 1).alias("context")).filter("context is not null")
+    rows = rows if keep is None else rows.filter(keep(F.col("word")))
+    rows = rows if key is None else rows.withColumn("word", key(F.col("word")))
+    return rows.groupBy("word", "context").agg(F.count("*").alias("n"))
+
+
 def similar_words(docs: DataFrame, word: str, k: int = 20, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """The words in the contexts of a word: (word, score), score the sum of products of counts.
 

@@ -81,6 +81,17 @@ def intersection(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("sample",))
     return _both(a, b, keys, "inner").select(*keys, F.least("__a", "__b").alias("n")).filter("n > 0")
 
 
+def put(fd: DataFrame, updates: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """fd with the counts of updates in place of its own; a count of 0 deletes. updates has each sample once."""
+    both = fd.select(*keys, F.col("n").alias("__a")).join(updates.select(*keys, F.col("n").alias("__b")), list(keys), "full_outer")
+    return both.select(*keys, F.coalesce("__b", "__a").alias("n")).filter("n > 0")
+
+
+def delete(fd: DataFrame, samples: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Without some samples; what is left counts as before."""
+    return fd.join(samples.select(*keys), list(keys), "left_anti")
+
+
 def is_subset(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """One row: whether no sample of a is more frequent than in b. Conditions must be in b as well."""
     out = _both(a, b, keys, "left").agg(F.coalesce(F.bool_and(F.col("__a") <= F.coalesce("__b", F.lit(0))), F.lit(True)).alias("is_subset"))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import MORPHY as RULES
 from ..functions.text import morphy_rule
+from ..sources.shared import stored
 
 #: Endings by part of speech: what is cut, the least length of the word, what takes its place. "2" undoubles the last letter.
-_ENDINGS = {
+ENDINGS = {
     "n": (("ies", 4, "y"), ("ves", 4, "f"), ("es", 3, ""), ("s", 2, "")),
     "v": (("ies", 4, "y"), ("ing", 5, ""), ("ing", 5, "e"), ("ing", 5, "2"), ("ed", 4, ""), ("ed", 4, "e"), ("ed", 4, "2"), ("s", 2, "")),
     "a": (("er", 3, ""), ("est", 4, "")),
@@ -56,7 +58,7 @@ class Lexicon:
         rows = words.select("word").distinct().withColumn("w", normal("word"))
         forms = [morphy_rule("w", pos), F.col("w")]
         for p in [pos] if pos else ["n", "v", "a"]:
-            for end, least, to in _ENDINGS[p]:
+            for end, least, to in ENDINGS[p]:
                 stem = F.substring("w", F.lit(1), F.length("w") - len(end))
                 form = F.when(stem.rlike(r"(.)\1$"), F.substring(stem, F.lit(1), F.length(stem) - 1)) if to == "2" else F.concat(stem, F.lit(to))
                 forms.append(F.when(F.col("w").endswith(end) & (F.length("w") >= least), form))
@@ -89,18 +91,19 @@ class Lexicon:
         key = F.concat("lemma", F.lit("%"), number.cast("string"), F.lit(":00:00::"))
         return self.index.withColumn("sense_key", key).groupBy("sense_key").agg(F.min_by("id", "ord").alias("id"))
 
-    def _climb(self, most: int, both: bool = False) -> DataFrame:
-        """(start, id, depth, path): simple paths up, or shortest walks over both directions; grown edge by edge."""
+    def _climb(self, most: int | None, both: bool = False) -> DataFrame:
+        """(start, id, depth, path): simple paths up, or shortest walks over both directions; grown edge by edge, to the
+        end unless most says how many edges. Each round is written, so that none is walked again."""
         e = self.edges("hypernyms", "hyponyms") if both else self.edges("hypernyms")
-        e = e.select("src", "dst").distinct().persist()
+        e = stored(e.select("src", "dst").distinct(), "edges")
         now = self.synsets.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
         layers = [now]
         known = now.select("start", "id")
-        for _ in range(most):
+        while most is None or len(layers) <= most:
             now = now.join(e, now["id"] == e["src"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
             if both:
                 now = now.dropDuplicates(["start", "id"]).join(known, ["start", "id"], "left_anti").select("start", "id", "depth", "path")
-            now = now.persist()
+            now = stored(now, "walks")
             if now.isEmpty():
                 break
             layers.append(now)
@@ -110,18 +113,18 @@ class Lexicon:
             out = out.union(x)
         return out
 
-    def hypernym_paths(self, most: int = 32) -> DataFrame:
+    def hypernym_paths(self, most: int | None = None) -> DataFrame:
         """(id, path): every simple path from a synset to a root, itself first."""
         roots = self.synsets.select("id").join(self.edges("hypernyms").select(F.col("src").alias("id")), "id", "left_anti")
         up = self._climb(most)
         return up.join(roots.withColumnRenamed("id", "__root"), up["id"] == F.col("__root")).select(F.col("start").alias("id"), "path")
 
-    def distances(self, most: int = 64) -> DataFrame:
+    def distances(self, most: int | None = None) -> DataFrame:
         """(a, b, distance, similarity): shortest paths over hypernyms and hyponyms; similarity is 1 / (distance + 1)."""
         d = self._climb(most, both=True)
         return d.select(F.col("start").alias("a"), F.col("id").alias("b"), F.col("depth").alias("distance"), (1 / (F.col("depth") + 1)).alias("similarity"))
 
-    def lowest_common_hypernyms(self, pairs: DataFrame, most: int = 32) -> DataFrame:
+    def lowest_common_hypernyms(self, pairs: DataFrame, most: int | None = None) -> DataFrame:
         """(a, b, id) of the common ancestors of least summed depth."""
         up = self._climb(most).groupBy("start", "id").agg(F.min("depth").alias("depth"))
         x = pairs.select("a", "b").join(up.select(F.col("start").alias("a"), "id", F.col("depth").alias("da")), "a")

@@ -62,11 +62,29 @@ def train(sentences: DataFrame, order: int = 3, model: str = "mle", tokens: str
     return NgramModel(order, model, gamma, discount, counts, contexts, words, stats)
 
 
-def score(m: NgramModel, probes: DataFrame, word: str = "word", context: str = "context") -> DataFrame:
-    """probes with prob. context is an array of words, of which the last order - 1 count."""
+def _known(m: NgramModel, df: DataFrame, column: str) -> DataFrame:
+    """df with END in place of words that training never saw."""
+    seen = m.counts.filter("order = 1").select(F.col("word").alias(column), F.lit(True).alias("__known"))
+    here = F.col(column)
+    return df.join(seen, column, "left").withColumn(column, F.when(here.isNull() | F.col("__known") | (here == START), here).otherwise(END)).drop("__known")
+
+
+def score(m: NgramModel, probes: DataFrame, word: str = "word", context: str = "context", unknown_as_end: bool = False) -> DataFrame:
+    """probes with prob. context is an array of words, of which the last order - 1 count.
+
+    A word that training never saw counts 0, in the word's place and in the context; or, as in batch evaluation, it is taken
+    for the end of a sentence in both.
+    """
     keep = F.least(F.size(context), F.lit(m.order - 1))
     ctx = F.transform(F.when(keep > 0, F.slice(context, F.size(context) - keep + 1, keep)).otherwise(F.array().cast("array<string>")), ascii_lower)
-    df = probes.withColumns({"__w": ascii_lower(word), "__c": ctx}).crossJoin(F.broadcast(m.stats))
+    df = probes.withColumns({"__w": ascii_lower(word), "__c": ctx})
+    if unknown_as_end:
+        places = [f"__u{i}" for i in range(m.order - 1)]
+        df = df.withColumns({c: F.try_element_at("__c", F.lit(-i - 1)) for i, c in enumerate(places)})
+        for c in ["__w", *places]:
+            df = _known(m, df, c)
+        df = df.withColumn("__c", F.filter(F.array(*reversed(places)).cast("array<string>"), lambda x: x.isNotNull()))
+    df = df.crossJoin(F.broadcast(m.stats))
     for n in range(m.order):
         # the context's last n words; null where it is shorter
         part = F.when(F.size("__c") >= n, F.array_join(F.slice("__c", F.size("__c") - n + 1, n), " ") if n else F.lit(""))
@@ -101,9 +119,9 @@ def log_score(prob: Column) -> Column:
 
 
 def perplexity(m: NgramModel, sentences: DataFrame, tokens: str = "tokens", key: str = "sent_id") -> DataFrame:
-    """(key, perplexity) of each sentence, its end included."""
+    """(key, perplexity) of each sentence, its end included; words that training never saw are taken for the end up to order 3."""
     t = padded(F.col(tokens), m.order)
     rows = sentences.select(key, t.alias("t")).select(key, "t", F.posexplode("t").alias("pos", "word")).filter(F.col("pos") >= m.order - 1)
     context = F.slice("t", F.col("pos") - (m.order - 2), F.lit(m.order - 1)) if m.order > 1 else F.array().cast("array<string>")
-    scored = score(m, rows.select(key, "word", context.alias("context")))
+    scored = score(m, rows.select(key, "word", context.alias("context")), unknown_as_end=m.order <= 3)
     return scored.groupBy(key).agg(F.pow(F.lit(2.0), -F.avg(F.log2(F.greatest("prob", F.lit(1e-12))))).alias("perplexity"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,3 +151,13 @@ def log_sum(values: Column) -> Column:
     top = F.array_max(values)
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), x - top))
     return F.when(F.size(values) == 0, F.lit(NEG_INF)).when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.log2(total))
+
+
+#: Distributions by name: each takes a frequency table, its options and the columns of the condition.
+FACTORIES = {"mle": mle, "lidstone": lidstone, "laplace": laplace, "ele": ele, "witten_bell": witten_bell}
+
+
+def conditional(fd: DataFrame, factory: str | Callable[..., DataFrame], by: Sequence[str] = ("condition",), **options) -> DataFrame:
+    """A distribution for each condition, by a named factory or one of the caller's own: factory(fd, by=by, **options)."""
+    make = FACTORIES[factory] if isinstance(factory, str) else factory
+    return make(fd, by=by, **options)

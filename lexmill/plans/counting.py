@@ -54,7 +54,11 @@ def ngram_freq_3(spark, d):
     return counts.ngram_freq(_docs(spark, d), 3)
 
 
-@query(None)
+@query(
+    f"{K}, f AS (SELECT l, r, count(*) AS n FROM ({S.pairs(2)}) GROUP BY ALL), h AS (SELECT l, ({S.fnv('l')}) AS h FROM (SELECT DISTINCT l FROM (SELECT l FROM f UNION SELECT r FROM f))) "
+    f"SELECT lpad(upper(to_hex((list_reduce([14695981039346656037::HUGEINT, 2::HUGEINT, a.h, b.h], lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))::UBIGINT)), 16, '0') AS hash, n "
+    "FROM f JOIN h a ON a.l = f.l JOIN h b ON b.l = f.r"
+)
 def ngram_freq_hash(spark, d):
     return counts.hashed_ngram_freq(_docs(spark, d), 2)
 
@@ -112,6 +116,13 @@ query(f"{_AB} SELECT {_BOTH}, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n
 query(f"{_AB} SELECT a.sample, least(a.n, b.n) AS n FROM a JOIN b ON a.sample = b.sample", "fd_intersection")(lambda s, d: freqdist.intersection(_fd(s, d, "en"), _fd(s, d, "fr")))
 
 
+_ODD = "b.n % 2 * b.n"
+query(f"{_AB} SELECT {_BOTH}, coalesce({_ODD}, a.n) AS n FROM a FULL JOIN b ON a.sample = b.sample WHERE coalesce({_ODD}, a.n) > 0", "fd_put")(
+    lambda s, d: freqdist.put(_fd(s, d, "en"), _fd(s, d, "fr").withColumn("n", F.col("n") % 2 * F.col("n")))
+)
+query(f"{_AB} SELECT sample, n FROM a WHERE sample NOT IN (SELECT sample FROM b)", "fd_delete")(lambda s, d: freqdist.delete(_fd(s, d, "en"), _fd(s, d, "fr")))
+
+
 @query(f"{_AB} SELECT bool_and(a.n <= coalesce(b.n, 0)) AS is_subset FROM a LEFT JOIN b ON a.sample = b.sample")
 def fd_subset_check(spark, d):
     return freqdist.is_subset(_fd(spark, d, "en"), _fd(spark, d, "fr"))
@@ -230,7 +241,11 @@ def normalized_counts(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(T.without_stopwords("t")).cast("long").alias("normalized"))
 
 
-@query(None)
+# words with two blanks between, so that phrases in a row share none
+@query(
+    f"{K}, s AS (SELECT ' ' || array_to_string(t, '  ') || ' ' AS s FROM k), p AS (SELECT replace(replace(replace(s, ' that  is  the ', ' that_is_the '), ' of  the ', ' of_the '), ' in  the ', ' in_the ') AS s FROM s) "
+    "SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(s), ' +')) AS token FROM p) WHERE token <> '' GROUP BY token"
+)
 def mwe_tokens(spark, d):
     toks = words.mwe_tokens(T.ascii_tokens("text"), [["of", "the"], ["in", "the"], ["that", "is", "the"]])
     return _docs(spark, d).select(F.explode(toks).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -254,8 +269,41 @@ def _lancaster_sql() -> str:
 
 query(_lancaster_sql(), "lancaster_stems")(lambda s, d: _vocab(s, d).select("word", T.lancaster_stem("word").alias("stem")))
 query(f"{_V} SELECT word, CASE WHEN length(word) > 4 THEN regexp_replace(word, '(ing|ed|s)$', '') ELSE word END AS stem FROM v", "regexp_stems")(lambda s, d: _vocab(s, d).select("word", T.regexp_stem("word", "(?:ing|ed|s)$", 4).alias("stem")))
-query(None, "porter_stems")(lambda s, d: _vocab(s, d).select("word", stem.porter_stem("word").alias("stem")))
-query(None, "snowball_stems")(lambda s, d: _vocab(s, d).select("word", stem.snowball_stem("word").alias("stem")))
+
+
+def _porter_sql() -> str:
+    """The steps one after another, each a CTE; forms() has Y for a y that is a consonant."""
+    forms = lambda x: f"regexp_replace(regexp_replace({x}, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')"
+    vc = "[aeiouy]+[^aeiouy]"
+    some = lambda x: f"regexp_matches({forms(x)}, '{vc}')"
+    many = lambda x: f"regexp_matches({forms(x)}, '{vc}.*{vc}')"
+    vowel = lambda x: f"regexp_matches({forms(x)}, '[aeiouy]')"
+    cvc = lambda x: f"regexp_matches({forms(x)}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+    cut = lambda n, x="w": f"left({x}, length({x}) - {n})"
+    same = "(length(x) > 1 AND right(x, 1) = left(right(x, 2), 1) AND regexp_matches({f}, '[^aeiouy]$'))".format(f=forms("x"))
+
+    def longest(rules, test, to=lambda end: "") -> str:
+        return "CASE " + " ".join(f"WHEN w LIKE '%{end}' THEN CASE WHEN {test(cut(len(end)))} THEN {cut(len(end))} || '{to(end)}' ELSE w END" for end in rules)
+
+    two, three = dict(stem._STEP2), dict(stem._STEP3)
+    ion = f"WHEN w LIKE '%sion' OR w LIKE '%tion' THEN CASE WHEN {many(cut(3))} THEN {cut(3)} ELSE w END"
+    steps = [
+        f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END AS w, NULL AS x",
+        f"w, CASE WHEN w LIKE '%eed' THEN NULL WHEN w LIKE '%ed' AND {vowel(cut(2))} THEN {cut(2)} WHEN w LIKE '%ed' THEN NULL WHEN w LIKE '%ing' AND {vowel(cut(3))} THEN {cut(3)} END AS x",
+        f"CASE WHEN x IS NULL THEN CASE WHEN w LIKE '%eed' AND {some(cut(3))} THEN {cut(1)} ELSE w END WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN {same} THEN CASE WHEN regexp_matches(x, '[lsz]$') THEN x ELSE {cut(1, 'x')} END WHEN {some('x')} AND NOT {many('x')} AND {cvc('x')} THEN x || 'e' ELSE x END AS w",
+        f"CASE WHEN w LIKE '%y' AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END AS w",
+        f"{longest(two, some, two.get)} ELSE w END AS w",
+        f"{longest(three, some, three.get)} ELSE w END AS w",
+        f"{longest(stem._STEP4, many)} {ion} ELSE w END AS w",
+        f"CASE WHEN w LIKE '%e' AND ({many(cut(1))} OR {some(cut(1))} AND NOT {cvc(cut(1))}) THEN {cut(1)} ELSE w END AS w",
+        f"CASE WHEN w LIKE '%ll' AND {many('w')} THEN {cut(1)} ELSE w END AS w",
+    ]
+    chain = ", ".join(f"p{i + 1} AS (SELECT word, {x} FROM p{i})" for i, x in enumerate(steps))
+    return f"{_V}, p0 AS (SELECT word, word AS w FROM v WHERE length(word) > 2), {chain} SELECT v.word, coalesce(w, v.word) AS stem FROM v LEFT JOIN p{len(steps)} p ON p.word = v.word"
+
+
+query(_porter_sql(), "porter_stems")(lambda s, d: _vocab(s, d).select("word", stem.porter_stem("word").alias("stem")))
+query(_porter_sql(), "snowball_stems")(lambda s, d: _vocab(s, d).select("word", stem.snowball_stem("word").alias("stem")))
 query(
     f"""{_V} SELECT word, CASE WHEN word LIKE '%ies' AND length(word) > 3 THEN left(word, length(word) - 3) || 'y' WHEN word LIKE '%ing' AND length(word) > 4 THEN left(word, length(word) - 3)
 WHEN word LIKE '%ed' AND length(word) > 3 THEN left(word, length(word) - 2) WHEN word LIKE '%s' AND length(word) > 1 THEN left(word, length(word) - 1) ELSE word END AS lemma FROM v""",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chunk, grammar, sentences, sentiment, tagger, trees
 from ..functions import text as T
-from ..operators import lexicon, lm
+from ..operators import counts, lexicon, lm
 from ..sources import synsets
+from ..sources.shared import fresh_path
 from ..sources.tables import spread, table
 from . import sql as S
 
@@ -40,6 +39,7 @@ def _turns(spark, d) -> DataFrame:
 
 
 query(None, "sentences_heuristic")(lambda s, d: _docs(s, d).select("doc_id", F.posexplode(sentences.heuristic(F.col("text"))).alias("pos", "sentence")))
+query(None, "sentence_counts")(lambda s, d: _docs(s, d).select("doc_id", F.size(sentences.rules(F.col("text"))).alias("n")))
 query(None, "sentences_rules")(lambda s, d: _docs(s, d).select("doc_id", F.posexplode(sentences.rules(F.col("text"))).alias("pos", "sentence")))
 
 
@@ -103,7 +103,8 @@ UNION ALL SELECT 2, c, w, count(*) FROM (SELECT t[i] AS c, t[i + 1] AS w FROM (S
 UNION ALL SELECT 3, c, w, count(*) FROM (SELECT t[i] || ' ' || t[i + 1] AS c, t[i + 2] AS w FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p)) GROUP BY c, w""",
     "lm_counts",
 )(lambda s, d: _model(s, d, "mle").counts)
-_PERPLEXITY = _LM[: _LM.index("a AS (SELECT")] + f"""a AS ({S.toks('conversations', 'conv_id * 1000 + turn AS sent_id', where="WHERE role = 'assistant'")}), b AS (SELECT sent_id, list_concat(['<s>', '<s>'], t, ['</s>']) AS t FROM a),
+_PERPLEXITY = _LM[: _LM.index("a AS (SELECT")] + f"""a AS ({S.toks('conversations', 'conv_id * 1000 + turn AS sent_id', where="WHERE role = 'assistant'")}), w AS (SELECT sent_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM a),
+m AS (SELECT sent_id, list(coalesce(c1.w, '</s>') ORDER BY i) AS t FROM w LEFT JOIN c1 ON c1.w = w.w GROUP BY sent_id), b AS (SELECT a.sent_id, list_concat(['<s>', '<s>'], coalesce(m.t, []), ['</s>']) AS t FROM a LEFT JOIN m ON m.sent_id = a.sent_id),
 x AS (SELECT sent_id, t[i] AS word, t[i - 1] AS c1_, t[i - 2] || ' ' || t[i - 1] AS c2_ FROM (SELECT sent_id, t, unnest(range(3, len(t) + 1)) AS i FROM b)),
 j AS (SELECT x.sent_id,""" + _LM[_LM.index(" coalesce(c1.n, 0) AS n1"):]
 query(f"{_PERPLEXITY} SELECT sent_id, round(pow(2, -avg(log2(greatest({_KN3}, 1e-12::DOUBLE)))), 3) AS perplexity FROM j GROUP BY sent_id", "lm_perplexity")(
@@ -202,10 +203,35 @@ query(
 query(f"{_SYN}, k AS (SELECT lemma || '%' || CASE pos WHEN 'n' THEN '1' WHEN 'v' THEN '2' WHEN 'a' THEN '3' ELSE '4' END || ':00:00::' AS sense_key, id, ord FROM lem) SELECT sense_key, arg_min(id, ord) AS id FROM k GROUP BY sense_key", "sense_keys")(lambda s, d: _lex(s).sense_keys())
 query(f"{_SYN} SELECT pos, left(id, 8)::BIGINT AS \"offset\", id FROM s WHERE regexp_full_match(id, '[0-9]{{8}}\\.[nvar]')", "synsets_by_offset")(lambda s, d: _lex(s).by_offset())
 query(f"{_SYN} SELECT DISTINCT lemma FROM lem WHERE pos = 'n'", "lemmas")(lambda s, d: _lex(s).lemmas("n"))
-_WORDS = "running parrots leaves horses quickly fastest beasts carried saws going plants tools xyz".split()
-query(None, "morphy")(lambda s, d: _lex(s).morphy(s.createDataFrame([(w,) for w in _WORDS], "word string")))
-query(None, "lemmatize")(lambda s, d: _lex(s).lemmatize(s.createDataFrame([(w,) for w in _WORDS], "word string"), "v"))
-query(None, "synset_lookup")(lambda s, d: _lex(s).lookup(s.createDataFrame([(w,) for w in _WORDS], "word string")))
+
+
+def _vocab(spark, d) -> DataFrame:
+    return counts.token_freq(_docs(spark, d)).select(F.col("token").alias("word"))
+
+
+def _base_sql(pos: str | None) -> str:
+    """CTEs v (words), known (lemmas) and base (word, lemma)."""
+    forms = []
+    for p, rules in ((None, lexicon.RULES[pos or "n"]), *((p, lexicon.ENDINGS[p]) for p in ([pos] if pos else ["n", "v", "a"]))):
+        here = []
+        for end, least, to in rules:
+            stem = f"left(word, length(word) - {len(end)})"
+            form = f"CASE WHEN length(word) > {len(end) + 1} AND right({stem}, 1) = left(right({stem}, 2), 1) THEN left(word, length(word) - {len(end) + 1}) ELSE {stem} END" if to == "2" else f"{stem} || '{to}'"
+            here.append((f"word LIKE '%{end}' AND length(word) >= {least}", form))
+        if p is None:
+            forms += [f"CASE {' '.join(f'WHEN {test} THEN {form}' for test, form in here)} ELSE word END", "word"]
+        else:
+            forms += [f"CASE WHEN {test} THEN {form} END" for test, form in here]
+    only = f"WHERE pos = '{pos}'" if pos else ""
+    return f"""{_SYN}, v AS (SELECT DISTINCT word FROM (SELECT unnest(t) AS word FROM ({S.toks()}))), known AS (SELECT DISTINCT lemma FROM lem {only}),
+base AS (SELECT word, arg_min(lemma, o) AS lemma FROM (SELECT word, unnest([{', '.join(forms)}]) AS lemma, generate_subscripts([{', '.join(str(i) for i in range(len(forms)))}], 1) AS o FROM v) WHERE lemma IN (SELECT lemma FROM known) GROUP BY word)"""
+
+
+query(f"{_base_sql(None)} SELECT word, lemma FROM base", "morphy")(lambda s, d: _lex(s).morphy(_vocab(s, d)))
+query(f"{_base_sql('v')} SELECT v.word, coalesce(lemma, v.word) AS lemma FROM v LEFT JOIN base ON base.word = v.word", "lemmatize")(lambda s, d: _lex(s).lemmatize(_vocab(s, d), "v"))
+query(f"{_base_sql(None)}, n AS (SELECT v.word, coalesce(lemma, v.word) AS lemma FROM v LEFT JOIN base ON base.word = v.word) SELECT DISTINCT word, id, ord FROM n JOIN lem ON lem.lemma = n.lemma", "synset_lookup")(
+    lambda s, d: _lex(s).lookup(_vocab(s, d))
+)
 
 # streams: each conversation is a stream of its turns; a turn ends its last word
 
@@ -219,8 +245,7 @@ _low = lambda c: f"translate({c}, '{S.UP}', '{S.LOW}')"
 def stream_freqdist(spark, d):
     from ..streaming.freqdist import FreqDistStream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexmill-stream-')}"
-    out = FreqDistStream(spark, f"{base}/stream-{uuid.uuid4().hex}")
+    out = FreqDistStream(spark, fresh_path(spark, "stream"))
     schema = table(spark, d, "conversations").schema
     source = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{d}/conversations.parquet*")
     parts = F.array(F.struct((F.col("turn") * 2).alias("seq"), F.col("text").alias("chunk")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.lit(None).cast("string").alias("chunk")))

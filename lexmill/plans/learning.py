@@ -61,7 +61,9 @@ def _nb(spark, d) -> DataFrame:
 query(f"{_BEST} SELECT count(*) AS total, count(*) FILTER (WHERE gold = pred) AS correct, round(avg((gold = pred)::INT), 9) AS accuracy FROM y", "nb_accuracy")(lambda s, d: metrics.accuracy(_nb(s, d)).withColumn("accuracy", F.round("accuracy", 9)))
 query(f"{_BEST}, l2 AS (SELECT gold AS x FROM y UNION SELECT pred FROM y) SELECT a.x AS gold, b.x AS pred, count(y.gold) AS n FROM l2 a CROSS JOIN l2 b LEFT JOIN y ON y.gold = a.x AND y.pred = b.x GROUP BY a.x, b.x", "confusion_matrix")(lambda s, d: metrics.confusion(_nb(s, d)))
 query(f"{_NB} SELECT label, token, n::BIGINT AS n FROM w", "nb_train")(lambda s, d: learners.NaiveBayes.train(_labelled(s, d)).words)
-query(None, "nb_probabilities")(lambda s, d: learners.probabilities(learners.NaiveBayes.train(_labelled(s, d)).scores(_scored(s, d))))
+query(f"{_NB}, e AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM s) SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS prob FROM e", "nb_probabilities")(
+    lambda s, d: learners.probabilities(learners.NaiveBayes.train(_labelled(s, d)).scores(_scored(s, d))).withColumn("prob", F.round("prob", 6))
+)
 
 #: The operators' default number of features.
 _FEATURES = learners.Vectorizer().max_features
@@ -118,10 +120,15 @@ _predicted(learners.train_perceptron, "perceptron_predict")
 _predicted(learners.DecisionTree.train, "decision_tree_predict")
 
 
-@query(None)
+_plain = lambda x: f"trim(regexp_replace(lower(coalesce(({x})::VARCHAR, 'null')), '[^a-z0-9'']+', ' ', 'g'))"
+_PAIRS = ", ".join(f"CASE WHEN {_plain(x)} <> '' THEN 'feature {k} value ' || {_plain(x)} END" for k, x in (("lang", "lang"), ("long", "n_chars > 2000"), ("source", "source")))
+_DICT = _NB.replace(S.toks(key="doc_id"), f"SELECT doc_id, regexp_extract_all(concat_ws(' ', {_PAIRS}), '[a-z0-9'']+') AS t FROM documents").replace("toxic::VARCHAR", "quality::VARCHAR")
+
+
+@query(f"{_DICT}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, label) AS place FROM s) SELECT doc_id, label, round(log_score, 6) AS log_score FROM (SELECT doc_id, label, score AS log_score FROM o WHERE place = 1)")
 def feature_dict_predict(spark, d):
     """Naive Bayes on dictionaries of features."""
     f = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("long"), (F.col("n_chars") > 2000).cast("string"))
     docs = table(spark, d, "documents").select("doc_id", learners.feature_text(f).alias("text"))
     rows = docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id")
-    return learners.NaiveBayes.train(rows).predict(docs)
+    return learners.NaiveBayes.train(rows).predict(docs).withColumn("log_score", F.round("log_score", 6))

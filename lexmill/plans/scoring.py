@@ -153,7 +153,12 @@ for _size, _name in ((3, "trigram_likelihood"), (4, "quadgram_likelihood")):
     query(f"{K}, {_patterns_sql(_size, _size)}, q AS MATERIALIZED ({_marginals_sql(_size)}) SELECT {', '.join(f'w{i + 1}' for i in range(_size))}, round({_lr} + {OFF}, 2) AS likelihood_ratio, round({_ja} + {OFF}, 4) AS jaccard FROM q", _name)(_likelihood(_size))
 
 for _size in (3, 4):
-    query(None, f"{'tri' if _size == 3 else 'quad'}gram_nbest")(lambda s, d, size=_size: C.nbest(C.finder(_docs(s, d), size).with_freq(3), "likelihood_ratio", 50))
+    _lr = _cells_sql(_size)[0]
+    _keys = ", ".join(f"w{i + 1}" for i in range(_size))
+    query(
+        f"{K}, {_patterns_sql(_size, _size)}, q AS MATERIALIZED ({_marginals_sql(_size)}), s AS (SELECT {_keys}, round({_lr}, 4) AS score FROM q WHERE n >= 3) SELECT {_keys}, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, {_keys} LIMIT 50",
+        f"{'tri' if _size == 3 else 'quad'}gram_nbest",
+    )(lambda s, d, size=_size: C.nbest(C.finder(_docs(s, d), size).with_freq(3), "likelihood_ratio", 50, 4))
 
 _RANK = "ORDER BY score DESC, w1, w2"
 query(f"{_BI}, s AS (SELECT w1, w2, round({_BI_SCORES['likelihood_ratio']}, 6) AS score FROM q WHERE n >= 3) SELECT w1, w2, score FROM s {_RANK} LIMIT 100", "bigram_nbest")(
@@ -212,7 +217,17 @@ query(
 query(f"{K}, f AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM k) GROUP BY w), q AS (SELECT sum(n)::DOUBLE AS nn, count(*)::DOUBLE AS t FROM f) SELECT round(t / ((1000000 - t) * (nn + t)), 15) AS prob FROM q", "prob_witten_bell_unseen")(
     lambda s, d: probability.witten_bell_unseen(counts.token_freq(_docs(s, d)), 1_000_000).withColumn("prob", F.round("prob", 15))
 )
-query(None, "prob_good_turing")(lambda s, d: probability.good_turing(counts.token_freq(_docs(s, d)).withColumnRenamed("token", "sample"), 1_000_000)[0])
+_GT = f"""{K}, f AS (SELECT sample, count(*) AS n FROM (SELECT unnest(t) AS sample FROM k) GROUP BY sample), c AS (SELECT n::DOUBLE AS r, count(*)::DOUBLE AS nr FROM f GROUP BY n),
+z AS (SELECT r, nr, lead(r) OVER o AS later, 2 * nr / (coalesce(lead(r) OVER o, 2 * r - lag(r, 1, 0) OVER o) - lag(r, 1, 0) OVER o) AS z FROM c WINDOW o AS (ORDER BY r)),
+l AS (SELECT coalesce(regr_slope(ln(z), ln(r)), 0) AS b, avg(ln(z)) - coalesce(regr_slope(ln(z), ln(r)), 0) * avg(ln(r)) AS a, sum(r * nr) AS total FROM z),
+y AS (SELECT z.*, a, b, total, exp(a + b * ln(z.r)) AS here, exp(a + b * ln(z.r + 1)) AS up, n1.nr AS up_nr FROM z CROSS JOIN l LEFT JOIN c n1 ON n1.r = z.r + 1),
+w AS (SELECT min(r) AS switch FROM y WHERE later IS NULL OR later <> r + 1 OR abs((r + 1) * up_nr / nr - (r + 1) * up / here) <= 1.96::DOUBLE * sqrt((r + 1) ** 2 * (up_nr / nr ** 2) * (1 + up_nr / nr))),
+x AS (SELECT r, nr, total, (r + 1) * (CASE WHEN r + 1 < switch AND up_nr IS NOT NULL THEN up_nr ELSE up END) / (CASE WHEN r < switch THEN nr ELSE here END) / total AS star FROM y CROSS JOIN w),
+p AS (SELECT r, star * (1 - coalesce((SELECT nr FROM c WHERE r = 1), 0) / total) / (SELECT sum(nr * star) FROM x) AS prob FROM x)
+SELECT sample, f.n, round(prob, 12) AS prob, round(log2(prob), 6) AS logprob FROM f JOIN p ON p.r = f.n"""
+query(_GT, "prob_good_turing")(
+    lambda s, d: probability.good_turing(counts.token_freq(_docs(s, d)).withColumnRenamed("token", "sample"), 1_000_000)[0].withColumns({"prob": F.round("prob", 12), "logprob": F.round("logprob", 6)})
+)
 query(f"{_L}, p AS (SELECT DISTINCT sample FROM s) SELECT sample, 1 / (SELECT count(*) FROM p)::DOUBLE AS prob FROM p", "prob_uniform")(lambda s, d: probability.uniform(_by_lang(s, d).select("sample")))
 
 # concordances and contexts
@@ -242,9 +257,17 @@ def edit_distance(spark, d):
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", metrics.distance("x", "y").cast("long").alias("distance"))
 
 
-@query(None)
+def _bleu_sql() -> str:
+    grams = lambda side, n: f"SELECT id, t[i:i + {n - 1}] AS g, count(*) AS c FROM (SELECT id, {side} AS t, unnest(range(1, len({side}) - {n - 2})) AS i FROM x) GROUP BY ALL"
+    parts = [f"SELECT {n} AS n, (SELECT sum(greatest(0, len(h) - {n - 1})) FROM x) AS total, (SELECT coalesce(sum(least(a.c, b.c)), 0) FROM ({grams('h', n)}) a JOIN ({grams('r', n)}) b ON a.id = b.id AND a.g = b.g) AS clipped" for n in range(1, 5)]
+    return f"""WITH c AS ({S.toks('conversations', 'conv_id, turn, role')}), x AS (SELECT row_number() OVER () AS id, a.t AS h, b.t AS r FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn WHERE a.role = 'assistant'),
+o AS ({' UNION ALL '.join(parts)}), l AS (SELECT sum(len(h))::DOUBLE AS h, sum(len(r))::DOUBLE AS r FROM x)
+SELECT round(CASE WHEN coalesce(h, 0) = 0 THEN 0 ELSE CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * exp((SELECT sum(0.25::DOUBLE * ln((clipped + 1) / (total + 1)::DOUBLE)) FROM o)) END, 9) AS bleu FROM l"""
+
+
+@query(_bleu_sql())
 def bleu_corpus(spark, d):
     """Each assistant turn against the user turn before it."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", T.ascii_tokens("text").alias("t"))
     ref = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.array("t").alias("refs"))
-    return metrics.corpus_bleu(c.filter("role = 'assistant'").join(ref, ["conv_id", "turn"]).select("refs", F.col("t").alias("hyp")))
+    return metrics.corpus_bleu(c.filter("role = 'assistant'").join(ref, ["conv_id", "turn"]).select("refs", F.col("t").alias("hyp"))).withColumn("bleu", F.round("bleu", 9))

@@ -30,6 +30,13 @@ def bundle(spark: SparkSession, index: str) -> DataFrame:
     return files.join(texts, F.col("file").endswith(F.concat(F.lit("/"), F.col("path")))).select("id", "text", "categories")
 
 
+def mini(spark: SparkSession) -> DataFrame:
+    """A packaged corpus of three short texts, to try things out: the columns of bundle()."""
+    found = json.loads((Path(__file__).resolve().parent.parent / "data" / "mini.json").read_text(encoding="utf-8"))
+    rows = [(f["id"], f["text"], sorted({c.lower() for c in f["categories"]})) for f in found["files"]]
+    return spark.createDataFrame(rows, "id string, text string, categories array<string>")
+
+
 def select(corpus: DataFrame, ids: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     """By id and by any of the categories, whatever the case, in the order of ids."""
     if ids:

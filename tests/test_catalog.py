@@ -14,7 +14,7 @@ sys.path.insert(0, str(HERE))
 from lexmill import catalog  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SMALL = "token_metrics token_ids top_pmi_bigrams fd_subtract freq_of_freq fd_rendered cond_fd_by_tag treebank_tokens lancaster_stems trigram_measures bigram_nbest prob_ele concordance similar_words lm_kneser_ney_scores lowest_common_hypernyms stream_freqdist nb_accuracy positive_nb_scores linear_scores".split()
+SMALL = "token_metrics token_ids top_pmi_bigrams fd_subtract freq_of_freq fd_rendered cond_fd_by_tag treebank_tokens lancaster_stems trigram_measures bigram_nbest prob_ele concordance similar_words lm_kneser_ney_scores lowest_common_hypernyms stream_freqdist nb_accuracy positive_nb_scores linear_scores porter_stems ngram_freq_hash mwe_tokens prob_good_turing bleu_corpus lemmatize synset_lookup nb_probabilities feature_dict_predict fd_put fd_delete lm_perplexity cfg_chart cfg_recognize pcfg_viterbi feature_parse tree_transforms trigram_nbest quadgram_likelihood chunk_iob".split()
 
 
 def plain(v):

@@ -9,10 +9,10 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import metrics, stem
+from lexmill.functions import metrics, stem, words
 from lexmill.functions import text as T
 from lexmill.operators import collocations, counts, explore, freqdist, learners, lexicon, lm, probability
-from lexmill.sources import corpus, synsets
+from lexmill.sources import corpus, models, synsets
 from lexmill.streaming.freqdist import FreqDistStream
 
 
@@ -114,6 +114,79 @@ def test_language_models(spark):
         lm.train(s, 0)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("kind", ["mle", "lidstone", "kneser_ney_interpolated"])
+def test_unknown_words_count_nothing_or_as_the_end(spark, order, kind):
+    s = spark.createDataFrame([(0, ["a", "b"]), (1, ["a", "c", "b"])], "sent_id long, tokens array<string>")
+    m = lm.train(s, order, kind)
+    probes = [("zz", ["a"]), ("b", ["zz", "a"]), ("b", ["a", "zz"]), ("zz", ["zz", "zz"]), ("a", ["<s>"]), ("b", [])]
+    table = spark.createDataFrame([(w, c, ["</s>" if x == "zz" else x for x in [w, *c]]) for w, c in probes], "word string, context array<string>, e array<string>")
+    got = lm.score(m, table, unknown_as_end=True).orderBy("word", "context").collect()
+    want = lm.score(m, table.select("word", "context", F.element_at("e", 1).alias("w2"), F.slice("e", 2, 5).alias("c2")), "w2", "c2").orderBy("word", "context").collect()
+    assert [r["prob"] for r in got] == pytest.approx([r["prob"] for r in want], abs=0) and len(got) == len(probes)
+    if kind == "mle":
+        assert lm.score(m, table.filter("word = 'zz'")).filter("prob > 0").isEmpty()
+
+
+def test_models_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(TRAIN)], "doc_id long, text string, label string")
+    s = docs.select(T.ascii_tokens("text").alias("tokens"))
+    probes = spark.createDataFrame([("good", ["great"])], "word string, context array<string>")
+    made = [
+        (learners.NaiveBayes.train(docs), lambda m: m.scores(docs)),
+        (learners.PositiveNaiveBayes.train(docs.filter("label = 'pos'"), docs), lambda m: m.odds(docs)),
+        (lm.train(s, 3, "lidstone"), lambda m: lm.score(m, probes)),
+    ]
+    for i, (model, use) in enumerate(made):
+        models.save(spark, model, f"file://{tmp_path}/{i}")
+        again = models.load(spark, type(model), f"file://{tmp_path}/{i}")
+        rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+        assert rows(use(again)) == rows(use(model))
+    with pytest.raises(ValueError):
+        models.load(spark, lm.NgramModel, f"file://{tmp_path}/0")
+
+
+def test_own_contexts_and_factories(spark):
+    d = texts(spark, "a b a", "", None)
+    after = explore.contexts_by(d, lambda t, i: F.try_element_at(t, i + 1), keep=lambda w: w == "a", key=F.upper)
+    assert [tuple(r) for r in after.collect()] == [("A", "b", 1)]
+    fd = spark.createDataFrame([("x", "a", 3), ("x", "b", 1), ("y", "a", 2)], "condition string, sample string, n long")
+    want = {("x", "a"): 0.75, ("x", "b"): 0.25, ("y", "a"): 1.0}
+    assert {(r["condition"], r["sample"]): r["prob"] for r in probability.conditional(fd, "mle").collect()} == want
+    own = probability.conditional(fd, lambda fd, by, half: probability.lidstone(fd, half, 2, by), half=0.5)
+    assert {(r["condition"], r["sample"]): r["prob"] for r in own.collect()} == {("x", "a"): 0.7, ("x", "b"): 0.3, ("y", "a"): pytest.approx(2.5 / 3)}
+
+
+def test_counts_are_put_and_deleted(spark):
+    fd = spark.createDataFrame([("a", 3), ("b", 1)], "sample string, n long")
+    new = spark.createDataFrame([("a", 0), ("c", 2)], "sample string, n long")
+    assert {tuple(r) for r in freqdist.put(fd, new).collect()} == {("b", 1), ("c", 2)}
+    assert {tuple(r) for r in freqdist.delete(fd, new).collect()} == {("b", 1)}
+
+
+def test_stems_of_normalised_tokens(spark):
+    d = texts(spark, "The running Horses", "Die naïven running Läufe")
+    got = [r[0] for r in d.orderBy("doc_id").select(words.normalized("text", stem=True)).collect()]
+    assert got == [["run", "hors"], ["die", "naïven", "run", "läufe"]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_metrics_of_odd_texts(spark, n):
+    rows = ["a b a b", "", None, "x", "a b"]
+    grams = [tuple(t.split()[i : i + n]) for t in rows if t for i in range(len(t.split()) - n + 1)]
+    toks = [w for t in rows if t for w in t.split()]
+    assert tuple(counts.metrics(texts(spark, *rows), n).first()) == (len(toks), len(set(toks)), len(grams), len(set(grams)))
+    assert tuple(counts.metrics(texts(spark, *rows).limit(0), n).first()) == (0, 0, 0, 0)
+
+
+def test_one_scan_counts_all_patterns(spark, data):
+    from lexmill.operators.collocations import finder, marginals
+
+    f = finder(spark.read.parquet(f"{data}/documents.parquet"), 4)
+    plan = marginals(f)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
 TRAIN = [("good great fine story", "pos"), ("great fun and good", "pos"), ("bad awful boring story", "neg"), ("awful bad mess", "neg")] * 3
 TEST = [("a good great day", "pos"), ("such an awful bad day", "neg")]
 
@@ -168,6 +241,11 @@ def test_stems(spark):
     assert [r[0] for r in df.select(T.lancaster_stem("w")).collect()] == ["run", "fly", None]
 
 
+def test_packaged_corpus(spark):
+    c = corpus.mini(spark)
+    assert [r["id"] for r in corpus.select(c, categories=["HOME"]).collect()] == ["garden", "kitchen"] and corpus.paras(c).count() == 6
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "a.txt").write_text("One two.\n\nThree's four. Five!")
     (tmp_path / "b.txt").write_text("Six")
