@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_within: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or where that is unset a temporary folder for local runs; refused on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_within.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables stored within are deleted at the end: for work whose result has been written elsewhere by then."""
+    path = fresh_path(spark, "scratch")
+    outer = _within.set(path)
+    try:
+        yield path
+    finally:
+        _within.reset(outer)
+        remove(spark, path)
 
 
 def stored(df: DataFrame, what: str, by: str | None = None) -> DataFrame:

@@ -128,6 +128,22 @@ def test_unknown_words_count_nothing_or_as_the_end(spark, order, kind):
         assert lm.score(m, table.filter("word = 'zz'")).filter("prob > 0").isEmpty()
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from lexmill.sources import shared
+
+    with shared.scratch(spark) as path:
+        with shared.scratch(spark) as inner:
+            assert inner.startswith(path) and shared.stored(spark.range(3), "x").count() == 3
+        by = shared.stored(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), "x", "k")
+        assert by.columns == ["v", "k"] and [r["v"] for r in by.filter("k = 2").collect()] == ["b"]
+        here = path.removeprefix("file://")
+        assert os.path.isdir(here) and not os.path.isdir(inner.removeprefix("file://"))
+        assert shared.stored(by.limit(0), "x", "k").count() == 0
+    assert not os.path.isdir(here)
+
+
 def test_models_on_disk(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(TRAIN)], "doc_id long, text string, label string")
     s = docs.select(T.ascii_tokens("text").alias("tokens"))
