@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, scratch, shared_dir, stored
 
 #: Bytes of a batch that goes to Python. The default is a number of rows, which for long texts is no bound at all.
 BATCH_BYTES = 4 << 20
@@ -43,29 +42,8 @@ def tidy(df: DataFrame, needed: dict[str, str]) -> tuple[DataFrame, Callable[[Da
     return out, lambda x: x.select(*inner).toDF(*names)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one for local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a lost executor costs no recomputation before this point."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(fields: Iterable[tuple[str, str]]) -> str:
     return ", ".join(f"{n} {t}" for n, t in fields)
+
+
+__all__ = ["BATCH_BYTES", "arrow_schema", "bound_batches", "fresh_path", "scratch", "shared_dir", "stored", "tidy"]

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ._frame import tidy
 
 
+#: White space of any script, and the byte order mark.
+BLANK = r"[\s\x0B\x{85}\p{Z}\x{FEFF}]"
+
+
 @dataclass(frozen=True)
 class Role:
     """What surrounds a role's turn, and whether its text and its end are learned."""
@@ -55,7 +59,9 @@ def chat_segments(turns: DataFrame, template: Template = Template()) -> DataFram
     An invalid conversation is one row with segment -1, the reason in error, and otherwise empty. Reasons, the first that
     holds: "missing turn or role" (nulls), "two texts for a turn", "blank turn" (null or white-space text), "ROLE after
     STATE", "ends after STATE". Rows repeated in full count once. Rows without conv_id belong to no conversation and are
-    left out. An empty table gives an empty result; texts are kept whole; extra columns are ignored.
+    left out. An empty table gives an empty result; texts are kept whole, of any length, also where they hold a marker of the
+    template: segments are apart, so that a tokeniser can take a turn's text as ordinary text. Extra columns are ignored,
+    whatever their names.
     """
     turns, _ = tidy(turns, {"conv_id": "long", "turn": "long", "role": "string", "text": "string"})
     moves = F.create_map(*(F.lit(x) for (s, r), to in template.moves.items() for x in (f"{s}\x00{r}", to)))
@@ -78,7 +84,7 @@ def chat_segments(turns: DataFrame, template: Template = Template()) -> DataFram
     error = (
         F.when(F.exists("turns", lambda t: t["turn"].isNull() | t["role"].isNull()), "missing turn or role")
         .when(F.size(F.array_distinct(numbers)) < F.size("turns"), "two texts for a turn")
-        .when(F.exists("turns", lambda t: F.trim(F.regexp_replace(F.coalesce(t["text"], F.lit("")), r"\s", "")) == ""), "blank turn")
+        .when(F.exists("turns", lambda t: F.trim(F.regexp_replace(F.coalesce(t["text"], F.lit("")), BLANK, "")) == ""), "blank turn")
         .when(F.col("ran.error") != "", F.col("ran.error"))
         .when(~F.col("ran.state").isin(*template.accepting), F.concat(F.lit("ends after "), F.col("ran.state")))
         .otherwise("")

@@ -105,7 +105,7 @@ b AS (SELECT *, state || '>' || role NOT IN ('start>system', 'start>user', 'syst
 c AS (SELECT conv_id, CASE
     WHEN count(*) FILTER (WHERE turn IS NULL OR role IS NULL) > 0 THEN 'missing turn or role'
     WHEN count(DISTINCT turn) < count(*) THEN 'two texts for a turn'
-    WHEN count(*) FILTER (WHERE regexp_replace(coalesce(text, ''), '\s', '', 'g') = '') > 0 THEN 'blank turn'
+    WHEN count(*) FILTER (WHERE regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\p{Z}\x{FEFF}]', '', 'g') = '') > 0 THEN 'blank turn'
     WHEN count(*) FILTER (WHERE bad) > 0 THEN arg_min(role || ' after ' || state, n) FILTER (WHERE bad)
     WHEN max(role) FILTER (WHERE nxt IS NULL) <> 'assistant' THEN 'ends after ' || max(role) FILTER (WHERE nxt IS NULL)
     ELSE '' END AS error FROM b GROUP BY conv_id),
