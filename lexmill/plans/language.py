@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chunk, grammar, sentences, sentiment, tagger, trees
 from ..functions import text as T
 from ..operators import counts, lexicon, lm
-from ..sources import synsets
+from ..sources import corpus, synsets
 from ..sources.shared import fresh_path
 from ..sources.tables import spread, table
 from . import sql as S
@@ -203,6 +203,7 @@ query(
 query(f"{_SYN}, k AS (SELECT lemma || '%' || CASE pos WHEN 'n' THEN '1' WHEN 'v' THEN '2' WHEN 'a' THEN '3' ELSE '4' END || ':00:00::' AS sense_key, id, ord FROM lem) SELECT sense_key, arg_min(id, ord) AS id FROM k GROUP BY sense_key", "sense_keys")(lambda s, d: _lex(s).sense_keys())
 query(f"{_SYN} SELECT pos, left(id, 8)::BIGINT AS \"offset\", id FROM s WHERE regexp_full_match(id, '[0-9]{{8}}\\.[nvar]')", "synsets_by_offset")(lambda s, d: _lex(s).by_offset())
 query(f"{_SYN} SELECT DISTINCT lemma FROM lem WHERE pos = 'n'", "lemmas")(lambda s, d: _lex(s).lemmas("n"))
+query(f"{_SYN} SELECT id, pos FROM s", "all_synsets")(lambda s, d: _lex(s).all_synsets().select("id", "pos"))
 
 
 def _vocab(spark, d) -> DataFrame:
@@ -233,6 +234,35 @@ query(f"{_base_sql(None)}, n AS (SELECT v.word, coalesce(lemma, v.word) AS lemma
     lambda s, d: _lex(s).lookup(_vocab(s, d))
 )
 
+# corpora: each document a text of its own, its source and language its categories
+
+
+def _corpus(spark, d) -> DataFrame:
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", F.array_sort(F.array_distinct(F.transform(F.array("source", "lang"), F.lower))).alias("categories"))
+
+
+query("SELECT doc_id::VARCHAR AS id FROM documents WHERE lower(source) IN ('src1', 'fr') OR lower(lang) IN ('src1', 'fr')", "corpus_select")(lambda s, d: corpus.select(_corpus(s, d), categories=["SRC1", "Fr"]).select("id"))
+query("SELECT DISTINCT category FROM (SELECT unnest([lower(source), lower(lang)]) AS category FROM documents) WHERE category IS NOT NULL", "corpus_categories")(lambda s, d: corpus.categories(_corpus(s, d)).filter("category is not null"))
+_PARAS = r"""WITH p AS (SELECT doc_id::VARCHAR AS id, regexp_split_to_array(text, '\r?\n\r?\n') AS p FROM documents), q AS (SELECT id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM p)
+SELECT id, unnest(p) AS paragraph, generate_subscripts(p, 1) - 1 AS pos FROM q"""
+query(_PARAS, "corpus_paras")(lambda s, d: corpus.paras(_corpus(s, d)))
+_TAGGED = f"""WITH l AS (SELECT doc_id::VARCHAR AS id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '[A-Za-z0-9'']+')), lambda x: len(x) > 0)) AS t,
+    generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '[A-Za-z0-9'']+')), lambda x: len(x) > 0), 1) - 1 AS sentence FROM documents),
+w AS (SELECT id, sentence, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM l), g AS (SELECT id, sentence, pos, token, {S.tag('token')} AS tag FROM w) SELECT id, sentence, pos, token, tag"""
+
+
+def _tagged(spark, d, item: str, token: str, sentence: str) -> DataFrame:
+    """The documents as tagged texts: a line's words with their tags, written as item says."""
+    words = lambda line: F.transform(T.raw_ascii_tokens(line), lambda t: F.format_string(item, t, T.rule_tag(t)))
+    lines = F.transform(F.split("text", "\n"), lambda line: F.array_join(words(line), token))
+    return _corpus(spark, d).select("id", F.array_join(lines, sentence).alias("text"))
+
+
+query(f"{_TAGGED} FROM g", "corpus_brown")(lambda s, d: corpus.brown_tagged(_tagged(s, d, "%s/%s", " ", "\n")))
+query(f"{_TAGGED} FROM g", "corpus_conll_tagged")(lambda s, d: corpus.conll_tagged(_tagged(s, d, "%s\t%s", "\n", "\n\n")))
+query(f"{_TAGGED}, 'B-' || tag AS chunk FROM g", "corpus_conll_chunked")(lambda s, d: corpus.conll_chunked(_tagged(s, d, "%1$s %2$s B-%2$s", "\n", "\n\n")))
+
+
 # streams: each conversation is a stream of its turns; a turn ends its last word
 
 _ST = "WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9'']+') AS t FROM conversations), w AS (SELECT conv_id, turn, i, word, lag(word) OVER (PARTITION BY conv_id ORDER BY turn, i) AS before FROM (SELECT conv_id, turn, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM c))"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators import learners
+from ..sources import models
+from ..sources.shared import fresh_path
 from ..sources.tables import spread, table
 from . import sql as S
 
@@ -48,6 +50,16 @@ g AS (SELECT te.doc_id, c.label, ln((docs + 1) / (d + l)) AS prior, tokens, z.v
 s AS (SELECT g.doc_id, g.label, any_value(prior) + coalesce(sum(p.k * ln((coalesce(w.n, 0) + 1) / (tokens + g.v))), 0) AS score FROM g LEFT JOIN p ON p.doc_id = g.doc_id LEFT JOIN w ON w.label = g.label AND w.token = p.token GROUP BY g.doc_id, g.label)"""
 
 query(f"{_NB} SELECT doc_id, label, round(score, 4) AS log_score FROM s", "nb_scores")(lambda s, d: learners.NaiveBayes.train(_labelled(s, d)).scores(_scored(s, d)).withColumn("log_score", F.round("log_score", 4)))
+
+
+@query(SQL["nb_scores"])
+def nb_saved_scores(spark, d):
+    """Scores of a model that was written to the shared folder and read again."""
+    path = fresh_path(spark, "naive-bayes")
+    models.save(spark, learners.NaiveBayes.train(_labelled(spark, d)), path)
+    return models.load(spark, learners.NaiveBayes, path).scores(_scored(spark, d)).withColumn("log_score", F.round("log_score", 4))
+
+
 _BEST = f"{_NB}, b AS (SELECT doc_id, arg_max(label, round(score, 9)) AS pred FROM s GROUP BY doc_id), y AS (SELECT te.label AS gold, b.pred FROM te JOIN b ON b.doc_id = te.doc_id WHERE te.label IS NOT NULL)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions import text as T
+from ..functions.arrow import arrow_function
 from ..operators import collocations as C
 from ..operators import counts, explore, freqdist, probability
 from ..sources.tables import spread, table
@@ -51,6 +52,11 @@ _BI_SCORES = {
 }
 
 
+def _excess(c: C.Cells):
+    """A measure of the caller's own: what is seen beyond what is expected, by the size of its words."""
+    return (c.n - c.product() / c.total) / F.sqrt(c.product())
+
+
 def _signif(spark_col, digits: int = 6):
     return F.round(spark_col, digits)
 
@@ -170,6 +176,9 @@ query(f"{_BI}, s AS (SELECT w1, w2, round({_BI_SCORES['pmi']}, 6) AS score FROM
 query(f"{_BI}, s AS (SELECT w1, w2, round({_BI_SCORES['dice']}, 6) AS score FROM q WHERE NOT (length(w1) < 3 OR length(w2) < 3) AND NOT (w1 = w2)) SELECT w1, w2, score FROM s", "bigram_filtered")(
     lambda s, d: C.score(C.finder(_docs(s, d), 2).without_words(lambda w: F.length(w) < 3).without_ngrams(lambda a, b: a == b), "dice", 6)
 )
+query(f"{_BI}, s AS (SELECT w1, w2, round((n - x * y / z) / sqrt(x * y), 9) AS score FROM q WHERE n >= 2) SELECT w1, w2, score FROM s", "bigram_own_measure")(
+    lambda s, d: C.score(C.finder(_docs(s, d), 2).with_freq(2), _excess, 9)
+)
 _CSTOP = ", ".join(f"'{w}'" for w in C.COLLOCATION_STOP)
 query(
     f"{_BI}, s AS (SELECT w1, w2, round({_BI_SCORES['likelihood_ratio']}, 9) AS score FROM q WHERE n >= 2 AND length(w1) > 2 AND length(w2) > 2 AND w1 NOT IN ({_CSTOP}) AND w2 NOT IN ({_CSTOP})) SELECT w1, w2, round(score, 6) AS score FROM s {_RANK} LIMIT 20",
@@ -230,6 +239,24 @@ query(_GT, "prob_good_turing")(
 )
 query(f"{_L}, p AS (SELECT DISTINCT sample FROM s) SELECT sample, 1 / (SELECT count(*) FROM p)::DOUBLE AS prob FROM p", "prob_uniform")(lambda s, d: probability.uniform(_by_lang(s, d).select("sample")))
 
+query(f"{_L} SELECT condition, sample, round((n + 0.25::DOUBLE) / (nn::DOUBLE + b * 0.25::DOUBLE), 9) AS prob FROM s", "prob_own_factory")(
+    lambda s, d: probability.conditional(_by_lang(s, d), lambda fd, by: probability.lidstone(fd, 0.25, None, by)).select("condition", "sample", F.round("prob", 9).alias("prob"))
+)
+_SHARE = f"{K}, f AS (SELECT sample, count(*) AS n FROM (SELECT unnest(t) AS sample FROM k) GROUP BY sample)"
+query(f"{_SHARE} SELECT sample, round(n / (SELECT sum(n) FROM f)::DOUBLE, 12) AS prob, round(log2(n / (SELECT sum(n) FROM f)::DOUBLE), 6) AS logprob FROM f", "prob_dictionary")(
+    lambda s, d: probability.from_dictionary(counts.token_freq(_docs(s, d)).select(F.col("token").alias("sample"), F.col("n").alias("p")), normalize=True).select("sample", F.round("prob", 12).alias("prob"), F.round("logprob", 6).alias("logprob"))
+)
+query(
+    f"{_L}, a AS (SELECT * FROM s WHERE condition = 'en'), b AS (SELECT * FROM s WHERE condition = 'fr') SELECT coalesce(b.sample, a.sample) AS sample, round(coalesce(b.n / b.nn::DOUBLE, a.n / a.nn::DOUBLE), 12) AS prob FROM a FULL JOIN b ON a.sample = b.sample",
+    "prob_mutable",
+)(lambda s, d: probability.mutable(_one(s, d, "en"), _one(s, d, "fr")).withColumn("prob", F.round("prob", 12)))
+query(f"{_SHARE} SELECT round(0.1::DOUBLE * 1000000 / (sum(n)::DOUBLE + 0.1::DOUBLE * 1000000), 12) AS discount FROM f", "prob_lidstone_discount")(
+    lambda s, d: probability.lidstone_discount(counts.token_freq(_docs(s, d)), 0.1, 1_000_000).withColumn("discount", F.round("discount", 12))
+)
+query(f"{K} SELECT doc_id, round(log2(list_sum(list_transform(t, lambda x: pow(2::DOUBLE, -length(x))))), 6) AS log_sum FROM k WHERE len(t) > 0", "log_sum")(
+    lambda s, d: _docs(s, d).select("doc_id", T.ascii_tokens("text").alias("t")).filter(F.size("t") > 0).select("doc_id", F.round(probability.log_sum(F.transform("t", lambda x: -F.length(x).cast("double"))), 6).alias("log_sum"))
+)
+
 # concordances and contexts
 
 _CTX = f"{K}, x AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM k), c AS (SELECT t[i] AS word, CASE WHEN i = 1 THEN '*START*' ELSE t[i - 1] END AS l, CASE WHEN i = len(t) THEN '*END*' ELSE t[i + 1] END AS r, count(*) AS n FROM x GROUP BY ALL)"
@@ -247,6 +274,13 @@ u AS (SELECT doc_id, pos, right(a, half) AS l, query, left(b, half) AS r, half F
 SELECT doc_id, pos, rtrim(repeat(' ', half - length(l)) || l || ' ' || query || ' ' || r) AS line FROM u"""
 query(_CONC, "concordance")(lambda s, d: explore.concordance(_docs(s, d), ["of", "the"], 80, tokens=lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))).select("doc_id", "pos", "line"))
 
+query(f"{_CONC} ORDER BY doc_id, pos LIMIT 25", "concordance_lines")(
+    lambda s, d: explore.concordance(_docs(s, d), ["of", "the"], 80, 25, lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))).select("doc_id", "pos", "line")
+)
+query(f"{K}, x AS (SELECT t, unnest(range(1, len(t))) AS i FROM k) SELECT upper(t[i]) AS word, t[i + 1] AS context, count(*) AS n FROM x WHERE length(t[i]) > 3 GROUP BY ALL", "contexts_own")(
+    lambda s, d: explore.contexts_by(_docs(s, d), lambda t, i: F.try_element_at(t, i + 1), keep=lambda w: F.length(w) > 3, key=F.upper)
+)
+
 # metrics
 
 @query(None)
@@ -265,6 +299,27 @@ o AS ({' UNION ALL '.join(parts)}), l AS (SELECT sum(len(h))::DOUBLE AS h, sum(l
 SELECT round(CASE WHEN coalesce(h, 0) = 0 THEN 0 ELSE CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * exp((SELECT sum(0.25::DOUBLE * ln((clipped + 1) / (total + 1)::DOUBLE)) FROM o)) END, 9) AS bleu FROM l"""
 
 
+def _sentence_bleu_sql() -> str:
+    """Scores of each pair, from clipped and total counts by order."""
+    base = _bleu_sql()
+    x = base[: base.index("\no AS (")].replace("row_number() OVER () AS id", "a.conv_id, a.turn, row_number() OVER () AS id")
+    grams = lambda side, n: f"SELECT id, t[i:i + {n - 1}] AS g, count(*) AS c FROM (SELECT id, {side} AS t, unnest(range(1, len({side}) - {n - 2})) AS i FROM x) GROUP BY ALL"
+    hits = [f"SELECT {n} AS n, a.id, sum(least(a.c, b.c)) AS c FROM ({grams('h', n)}) a JOIN ({grams('r', n)}) b ON a.id = b.id AND a.g = b.g GROUP BY a.id" for n in range(1, 5)]
+    logs = " + ".join(f"0.25::DOUBLE * ln((coalesce(c{n}, 0) + 1) / (greatest(0, len(h) - {n - 1}) + 1)::DOUBLE)" for n in range(1, 5))
+    wide = ", ".join(f"max(c) FILTER (WHERE n = {n}) AS c{n}" for n in range(1, 5))
+    return f"""{x} y AS ({' UNION ALL '.join(hits)}), w AS (SELECT id, {wide} FROM y GROUP BY id)
+SELECT conv_id, turn, round(CASE WHEN len(h) = 0 THEN 0 ELSE CASE WHEN len(h) > len(r) THEN 1 ELSE exp(1 - len(r) / len(h)::DOUBLE) END * exp({logs}) END, 9) AS bleu FROM x LEFT JOIN w ON w.id = x.id"""
+
+
+@query(_sentence_bleu_sql())
+def bleu_sentences(spark, d):
+    """Each assistant turn against the turn before it, by itself."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", T.ascii_tokens("text").alias("t"))
+    ref = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.array("t").alias("refs"))
+    pairs = c.filter("role = 'assistant'").join(ref, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(arrow_function(metrics.sentence_bleu, "double")("refs", "t"), 9).alias("bleu"))
+
+
 @query(_bleu_sql())
 def bleu_corpus(spark, d):
     """Each assistant turn against the user turn before it."""
