@@ -220,7 +220,8 @@ def punkt_events(text: str) -> list[tuple[str, str, str]]:
 
 
 def train_punkt(docs: DataFrame, text: str = "text", min_abbreviation: int = 2, min_pair: int = 2, min_starter: int = 2) -> PunktModel:
-    """Counts events of all documents; the tables that the model keeps are those of words before full stops."""
+    """Counts events of all documents; the tables that the model keeps are those of words before full stops, and of words
+    after them that are mostly in lower case, as no others decide anything."""
     event = arrow_function(lambda t: [{"kind": k, "word": w, "next": n} for k, w, n in punkt_events(t)], "array<struct<kind:string,word:string,next:string>>")
     rows = docs.select(F.explode(event(F.col(text))).alias("e")).select("e.*")
     counts = rows.groupBy("kind", "word", "next").agg(F.count("*").alias("n")).persist()
@@ -234,7 +235,7 @@ def train_punkt(docs: DataFrame, text: str = "text", min_abbreviation: int = 2,
             abbreviations.add(r["word"])
     pairs = counts.filter("kind = 'lower'").filter(F.col("n") >= min_pair).select("word", "next").collect()
     starters = counts.filter("kind = 'start'").filter(F.col("n") >= min_starter).select("word").collect()
-    context = counts.filter("kind in ('lower', 'upper')").groupBy("next").pivot("kind", ["lower", "upper"]).agg(F.sum("n")).na.fill(0).collect()
+    context = counts.filter("kind in ('lower', 'upper')").groupBy("next").pivot("kind", ["lower", "upper"]).agg(F.sum("n")).na.fill(0).filter(F.col("lower") > 1.5 * F.col("upper")).collect()
     counts.unpersist()
     return PunktModel(frozenset(abbreviations), frozenset(r["word"] for r in starters), frozenset((r["word"], r["next"]) for r in pairs), scores, {r["next"]: (r["lower"], r["upper"]) for r in context})
 

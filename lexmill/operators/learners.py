@@ -382,30 +382,17 @@ class DecisionTree:
 
     @classmethod
     def train(cls, rows: DataFrame, max_depth: int = 8, min_rows: int = 2, candidates: int = 256, max_features: int = 12000) -> DecisionTree:
-        """Level by level: one aggregate of (node, feature, label) serves all nodes of a level."""
+        """Level by level: one aggregate of (node, feature, label) serves all nodes of a level, and says how many rows of
+        each label its children have. A row's node is a column, a 0 or 1 for each split on its way."""
+        from pyspark.sql import Window as W
+
         v = Vectorizer(1, 2, True, max_features).fit(rows)
         data = rows.select("label", F.col("text"), v.encode("text")["ids"].alias("ids")).select("label", "ids").persist()
+        here = data.withColumn("node", F.lit(""))
         nodes: dict[str, dict] = {}
-        live = [""]
+        sizes = {"": {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}}
         splits: dict[str, int] = {}
-
-        def place() -> Column:
-            """Path of a row in the tree so far: 0 absent, 1 present."""
-            table = dict(splits)
-
-            def walk(ids: list[int]) -> str:
-                own, at = set(ids), ""
-                while at in table:
-                    at += "1" if table[at] in own else "0"
-                return at
-
-            return arrow_function(walk, "string")("ids")
-
         for depth in range(max_depth + 1):
-            here = data.withColumn("node", place()).filter(F.col("node").isin(live) if live else F.lit(False))
-            sizes: dict[str, dict[str, int]] = {n: {} for n in live}
-            for r in here.groupBy("node", "label").count().collect():
-                sizes[r["node"]][r["label"]] = r["count"]
             open_ = []
             for n, counts in sizes.items():
                 nodes[n] = {"label": min(counts, key=lambda x: (-counts[x], x)) if counts else "", "counts": counts}
@@ -415,10 +402,8 @@ class DecisionTree:
                 break
             seen = here.filter(F.col("node").isin(open_)).select("node", "label", F.explode("ids").alias("f"))
             seen = seen.groupBy("node", "f", "label").agg(F.count("*").alias("n")).groupBy("node", "f").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"), F.sum("n").alias("n"))
-            from pyspark.sql import Window as W
-
             ranked = seen.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "f"))).filter(F.col("r") <= max(4, candidates))
-            best: dict[str, tuple[float, int]] = {}
+            best: dict[str, tuple[float, int, dict[str, int], dict[str, int]]] = {}
             for r in sorted(ranked.collect(), key=lambda r: (r["node"], r["r"])):
                 counts = sizes[r["node"]]
                 total = sum(counts.values())
@@ -427,14 +412,14 @@ class DecisionTree:
                 if r["n"] == total:
                     continue
                 gain = _entropy(counts) - r["n"] / total * _entropy(there) - (total - r["n"]) / total * _entropy(gone)
-                if gain > best.get(r["node"], (1e-9, 0))[0]:
-                    best[r["node"]] = (gain, r["f"])
-            live = []
-            for n, (_, f) in best.items():
-                splits[n] = f
-                live += [n + "0", n + "1"]
-            if not live:
+                if gain > best.get(r["node"], (1e-9,))[0]:
+                    best[r["node"]] = (gain, r["f"], there, {k: c for k, c in gone.items() if c})
+            if not best:
                 break
+            splits |= {n: f for n, (_, f, _, _) in best.items()}
+            sizes = {n + side: c for n, (_, _, there, gone) in best.items() for side, c in (("0", gone), ("1", there))}
+            f = F.try_element_at(F.create_map(*(F.lit(x) for n in best for x in (n, splits[n]))), F.col("node"))
+            here = here.withColumn("node", F.when(f.isNotNull(), F.concat("node", F.when(F.array_contains("ids", f), "1").otherwise("0"))))
         data.unpersist()
 
         def build(n: str) -> dict:
