@@ -148,9 +148,14 @@ def log_likelihood(actual: DataFrame, test: DataFrame, key: str = "sample") -> D
 
 def log_sum(values: Column) -> Column:
     """log2 of the sum of 2^x over an array."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), x - top))
-    return F.when(F.size(values) == 0, F.lit(NEG_INF)).when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.log2(total))
+    # the array and its greatest are bound once, not computed anew for each of its values
+    bound = F.array(F.struct(values.alias("v"), F.array_max(values).alias("m")))
+
+    def one(x: Column) -> Column:
+        total = F.aggregate(x["v"], F.lit(0.0), lambda a, y: a + F.pow(F.lit(2.0), y - x["m"]))
+        return F.when(F.size(x["v"]) == 0, F.lit(NEG_INF)).when(x["m"] == NEG_INF, F.lit(NEG_INF)).otherwise(x["m"] + F.log2(total))
+
+    return F.element_at(F.transform(bound, one), 1)
 
 
 #: Distributions by name: each takes a frequency table, its options and the columns of the condition.

@@ -148,19 +148,24 @@ g AS (SELECT sentence, array_to_string(list_filter(regexp_extract_all(sentence,
 r AS (SELECT sentence, w, regexp_full_match(w, '{_NP}(?: (?:{_V})(?: {_NP})?)?') AS accepted FROM g)"""
 
 
-def _phrase(words: str) -> str:
-    """The noun phrase of some words, as a bracket string."""
-    return f"'(NP ' || regexp_replace(regexp_replace({words}, '\\b({_D})\\b', '(D \\1)', 'g'), '\\b({_N})\\b', '(N \\1)', 'g') || ')'"
+def _phrase(words: str, helper: str = "") -> str:
+    """The noun phrase of some words, as a bracket string; helper is the symbol for the last two parts of a rule of three,
+    where the parser shows it."""
+    out = f"'(NP ' || regexp_replace(regexp_replace({words}, '\\b({_D})\\b', '(D \\1)', 'g'), '\\b({_N})\\b', '(N \\1)', 'g') || ')'"
+    return f"regexp_replace({out}, '(\\(D \\w+\\)) (\\(N \\w+\\) \\(N \\w+\\))', '\\1 ({helper} \\2)')" if helper else out
+
+
+def _trees(helper: str = "") -> str:
+    return f"""{_SENTENCES}, c AS (SELECT sentence, w, regexp_extract(w, '^({_NP})', 1) AS np, regexp_extract(w, '\\b({_V})\\b', 1) AS v, regexp_extract(w, '\\b(?:{_V}) (.*)$', 1) AS o FROM r WHERE accepted),
+t AS (SELECT sentence, w, np, v, o, '(S ' || {_phrase('np', helper)} || CASE WHEN v <> '' THEN ' (VP (V ' || v || ')' || CASE WHEN o <> '' THEN ' ' || {_phrase('o', helper)} ELSE '' END || ')' ELSE '' END || ')' AS tree FROM c)"""
 
 
-_TREES = f"""{_SENTENCES}, c AS (SELECT sentence, w, regexp_extract(w, '^({_NP})', 1) AS np, regexp_extract(w, '\\b({_V})\\b', 1) AS v, regexp_extract(w, '\\b(?:{_V}) (.*)$', 1) AS o FROM r WHERE accepted),
-t AS (SELECT sentence, w, np, v, o, '(S ' || {_phrase('np')} || CASE WHEN v <> '' THEN ' (VP (V ' || v || ')' || CASE WHEN o <> '' THEN ' ' || {_phrase('o')} ELSE '' END || ')' ELSE '' END || ')' AS tree FROM c)"""
 for _method in ("chart", "earley", "recursive_descent", "left_corner"):
-    query(f"{_TREES} SELECT sentence, tree FROM t", f"cfg_{_method}")(lambda s, d, m=_method: _runs(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
+    query(f"{_trees('__BIN_0' if _method in ('chart', 'earley') else '')} SELECT sentence, tree FROM t", f"cfg_{_method}")(lambda s, d, m=_method: _runs(s, d).select("sentence", F.explode(grammar.parse_text(grammar.cfg(GRAMMAR), m)("sentence")).alias("tree")))
 query(f"{_SENTENCES} SELECT sentence, accepted FROM r", "cfg_recognize")(lambda s, d: _runs(s, d).select("sentence", grammar.recognize_text(grammar.cfg(GRAMMAR))("sentence").alias("accepted")))
 _PROB = f"""p AS (SELECT sentence, tree, ln(0.5::DOUBLE) + (CASE WHEN o <> '' THEN 2 ELSE 1 END) * ln(0.25::DOUBLE) + len(regexp_extract_all(w, '\\b(?:{_N})\\b')) * ln(1 / 9::DOUBLE)
     + len(regexp_extract_all(w, '\\b(?:{_D})\\b')) * ln(0.25::DOUBLE) + CASE WHEN v = '' THEN 0 WHEN o = '' THEN ln(0.3::DOUBLE / 3) ELSE ln(0.7::DOUBLE / 3) END AS log_prob FROM t)"""
-query(f"{_TREES}, {_PROB} SELECT sentence, tree, round(log_prob, 6) AS log_prob, round(exp(log_prob), 12) AS prob FROM p", "pcfg_viterbi")(
+query(f"{_trees('__PBIN_0')}, {_PROB} SELECT sentence, tree, round(log_prob, 6) AS log_prob, round(exp(log_prob), 12) AS prob FROM p", "pcfg_viterbi")(
     lambda s, d: _runs(s, d).select("sentence", grammar.parse_text_weighted(grammar.pcfg(WEIGHTED))("sentence").alias("p")).filter("p is not null").select("sentence", "p.tree", F.round("p.log_prob", 6).alias("log_prob"), F.round("p.prob", 12).alias("prob"))
 )
 _FEATURED = f"""{_SENTENCES}, f AS (SELECT sentence, regexp_full_match(w, '(?:it|(?:the|this) (?:{_N}))(?: (?:is|was))?') AS sg, regexp_full_match(w, '(?:of|the (?:{_N}) (?:{_N}))(?: are)?') AS pl,
@@ -170,7 +175,8 @@ SELECT sentence, '(S (NP[num=' || num || '] ' || np || ')' || CASE WHEN v <> ''
 query(_FEATURED, "feature_parse")(lambda s, d: _runs(s, d).select("sentence", F.explode(grammar.parse_text_features(grammar.feature_cfg(FEATURES))("sentence")).alias("tree")))
 query(None, "dependency_arcs")(lambda s, d: _turns(s, d).select("conv_id", "turn", chunk.dependency_text("text").alias("p")).select("conv_id", "turn", F.explode("p.arcs").alias("a")).select("conv_id", "turn", "a.*"))
 _COLLAPSED = "regexp_replace(regexp_replace(tree, '\\(NP \\(N (\\w+)\\)\\)', '(NP+N \\1)', 'g'), '\\(VP \\(V (\\w+)\\)\\)', '(VP+V \\1)', 'g')"
-query(f"{_TREES} SELECT sentence, tree, (CASE WHEN o <> '' THEN 4 ELSE 3 END)::INT AS depth, w AS leaves, CASE WHEN v = '' THEN regexp_replace({_COLLAPSED}, '^\\(S \\(NP(.*)\\)\\)$', '(S+NP\\1)') ELSE {_COLLAPSED} END AS collapsed FROM t", "tree_transforms")(lambda s, d: QUERIES["cfg_chart"](s, d).select("sentence", "tree", trees.tree_depth("tree").alias("depth"), F.array_join(trees.tree_leaves("tree"), " ").alias("leaves"), trees.tree_collapsed("tree").alias("collapsed")))
+_THREE = f"regexp_full_match({{}}, '(?:{_D}) (?:{_N}) (?:{_N})')::INT"
+query(f"{_trees('__BIN_0')} SELECT sentence, tree, greatest(3 + {_THREE.format('np')}, CASE WHEN o <> '' THEN 4 + {_THREE.format('o')} ELSE 0 END)::INT AS depth, w AS leaves, CASE WHEN v = '' THEN regexp_replace({_COLLAPSED}, '^\\(S \\(NP(.*)\\)\\)$', '(S+NP\\1)') ELSE {_COLLAPSED} END AS collapsed FROM t", "tree_transforms")(lambda s, d: QUERIES["cfg_chart"](s, d).select("sentence", "tree", trees.tree_depth("tree").alias("depth"), F.array_join(trees.tree_leaves("tree"), " ").alias("leaves"), trees.tree_collapsed("tree").alias("collapsed")))
 
 # lexical graph: the packaged example
 
