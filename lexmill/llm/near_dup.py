@@ -206,13 +206,16 @@ def groups(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int, thre
     sigs = stored(signatures(docs.filter("doc_id is not null"), shingle, bands, rows, bits), "signatures")
     kind = dict(sigs.dtypes)["doc_id"]
     same = stored(sigs.groupBy("sig", "bands").agg(F.min("doc_id").alias("rep")).select("*", F.xxhash64("rep", "sig").alias("node")), "distinct")
-    copies = sigs.join(same, ["sig", "bands"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # equal signatures meet by two independent hashes, 16 bytes instead of some 300
+    keys = [F.xxhash64("sig", "bands").alias("k1"), F.xxhash64(F.lit(1), "sig", "bands").alias("k2")]
+    copies = sigs.select("doc_id", *keys).join(same.select("rep", *keys).hint("merge"), ["k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     banded = same.select("node", F.explode("bands").alias("band"))
     # buckets of the same members are one
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("n > 1")
     buckets = stored(buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")), "buckets")
     pieces = F.ceil(F.col("n") / piece).cast("int")
-    members = banded.join(buckets.select("band", "n"), "band").join(same.select("node", "rep", "sig"), "node")
+    # these sides grow with the table: shuffled at every size
+    members = banded.join(buckets.select("band", "n").hint("merge"), "band").join(same.select("node", "rep", "sig").hint("merge"), "node")
     members = stored(members.select("band", "n", "rep", "sig", F.pmod(F.xxhash64("node", "band"), pieces).cast("int").alias("piece")), "members")
 
     def edges_of(a: list, b: list, ids: pa.Array) -> pa.RecordBatch:
