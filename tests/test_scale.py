@@ -27,7 +27,7 @@ def many_words(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["prob_lidstone"])
+@pytest.mark.parametrize("name", ["prob_lidstone", "prob_good_turing"])
 def test_more_samples_than_bins(spark, many_words, tmp_path, name):
     rows, more, less = same(spark, name, many_words, tmp_path / "out")
     assert (rows, more, less) == (1_100_001, 0, 0)
