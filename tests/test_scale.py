@@ -31,3 +31,29 @@ def many_words(spark, tmp_path_factory):
 def test_more_samples_than_bins(spark, many_words, tmp_path, name):
     rows, more, less = same(spark, name, many_words, tmp_path / "out")
     assert (rows, more, less) == (1_100_001, 0, 0)
+
+
+@pytest.mark.parametrize(("size", "joins"), [(2, 1), (3, 2), (4, 3)])
+def test_marginals_take_one_join_a_size(spark, size, joins):
+    """Joins move the table of all n-grams: what it takes on disk is their number."""
+    from lexmill.operators.collocations import finder, marginals
+
+    plan = marginals(finder(spark.createDataFrame([(1, "a b a b c d")], "doc_id long, text string"), size))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (") + plan.count("Join LeftOuter") == joins
+
+
+def test_counts_move_a_row_for_each_word(spark):
+    """Not one for each pattern: the shuffle that counts n-grams has as many rows as the documents have words."""
+    from lexmill.operators import collocations
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h") for i in range(5)], "doc_id long, text string")
+    store, seen = collocations.stored, []
+    collocations.stored = lambda df, *a, **k: seen.append(df) or store(df, *a, **k)
+    try:
+        collocations.finder(docs, 4)
+        collocations.finder(docs, 3, 4)
+    finally:
+        collocations.stored = store
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("HashAggregate") and "partial_count" in plan[: plan.index("Exchange hashpartitioning")]
