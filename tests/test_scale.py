@@ -57,3 +57,67 @@ def test_counts_move_a_row_for_each_word(spark):
     for df in seen:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("HashAggregate") and "partial_count" in plan[: plan.index("Exchange hashpartitioning")]
+
+
+def _ordered(folder, seed, n, d, k):
+    """Examples of a random kind, some without features, as lists and as what the learners take."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexmill.operators import learners
+
+    rng = np.random.default_rng(seed)
+    rows = [(sorted(rng.choice(d, rng.integers(0, 6), replace=False).tolist()), int(rng.integers(k))) for _ in range(n)]
+    rows = [(ids, [float(rng.integers(1, 4)) for _ in ids], y) for ids, y in rows] + [([], [], 0)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([np.array(r[0], np.uint16).tobytes() for r in part]), pa.array([np.array(r[1], np.float32).tobytes() for r in part]), pa.array([r[2] for r in part], pa.int32())], names=["ids", "values", "label"])
+        for part in (rows[:7], rows[7:])
+    ]
+    return rows, learners.Ordered.read(iter(batches), np.uint16, str(folder))
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_steps_equal_plain_ones(tmp_path, k):
+    """Softmax and perceptron steps over mapped examples, against one numpy call after another."""
+    import numpy as np
+
+    from lexmill.operators import learners
+
+    rows, data = _ordered(tmp_path, k, 600, 12, k)
+    w, b = np.zeros((k, 12)), np.zeros(k)
+    for _ in range(4):
+        for ids, values, y in rows:
+            x = np.array(values)
+            z = b + (w[:, ids] @ x if ids else 0.0)
+            p = np.exp(z - z.max())
+            e = -p / p.sum()
+            e[y] += 1
+            b += 0.15 * e
+            w[:, ids] = w[:, ids] + 0.15 * (e[:, None] * x - 1e-4 * w[:, ids])
+    got = learners._softmax_steps(data, k, 12, 4, 0.15, 1e-4)
+    assert np.array_equal(got[0], w) and np.array_equal(got[1], b)
+    w, b = np.zeros((k, 12)), np.zeros(k)
+    sw, sb = np.zeros((k, 12)), np.zeros(k)
+    for _ in range(5):
+        for ids, _values, y in rows:
+            guess = int(np.argmax(b + w[:, ids].sum(1)))
+            if guess != y:
+                b[y] += 1
+                b[guess] -= 1
+                w[y, ids] += 1
+                w[guess, ids] -= 1
+            sw, sb = sw + w, sb + b
+    got = learners._perceptron_steps(data, k, 12, 5, 1.0)
+    assert np.allclose(got[0], sw / (5 * len(rows))) and np.allclose(got[1], sb / (5 * len(rows)))
+
+
+def test_examples_are_bytes(spark):
+    """Texts that are null or have no words are examples too."""
+    import numpy as np
+
+    from lexmill.operators import learners
+
+    rows = spark.createDataFrame([(1, "a b a", "x"), (2, None, "y"), (3, "", "x"), (4, "c b", "y"), (5, "a", None)], "doc_id long, text string, label string").repartition(1)
+    v = learners.Vectorizer(vocabulary=["a", "b", "c"])
+    got = learners._examples(rows, v, ["x", "y"], "doc_id").orderBy("doc_id").collect()
+    assert [(r["doc_id"], np.frombuffer(r["ids"], np.uint16).tolist(), np.frombuffer(r["values"], np.float32).tolist(), r["label"]) for r in got] == [(1, [0, 1], [2.0, 1.0], 0), (2, [], [], 1), (3, [], [], 0), (4, [1, 2], [1.0, 1.0], 1)]
