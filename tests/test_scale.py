@@ -121,3 +121,24 @@ def test_examples_are_bytes(spark):
     v = learners.Vectorizer(vocabulary=["a", "b", "c"])
     got = learners._examples(rows, v, ["x", "y"], "doc_id").orderBy("doc_id").collect()
     assert [(r["doc_id"], np.frombuffer(r["ids"], np.uint16).tolist(), np.frombuffer(r["values"], np.float32).tolist(), r["label"]) for r in got] == [(1, [0, 1], [2.0, 1.0], 0), (2, [], [], 1), (3, [], [], 0), (4, [1, 2], [1.0, 1.0], 1)]
+
+
+def test_batches_to_python_are_bounded(spark, tmp_path):
+    """By bytes, for every query: 10,000 long texts at once are gigabytes of a worker's memory."""
+    from lexmill.functions.arrow import arrow_function
+    from lexmill.sources.shared import BATCH_BYTES
+    from lexmill.sources.tables import table
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 1000) AS text").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+        docs = table(spark, f"file://{tmp_path}", "documents")
+        assert int(spark.conf.get(name)) == BATCH_BYTES
+        # the cache of a batch's inputs begins anew with each: the same text is seen once a batch
+        seen = []
+        counted = arrow_function(lambda t: (seen.append(1), len(seen))[1], "int")
+        assert docs.select(counted("text").alias("n")).distinct().count() > 5
+    finally:
+        spark.conf.set(name, before)
