@@ -142,3 +142,15 @@ def test_batches_to_python_are_bounded(spark, tmp_path):
         assert docs.select(counted("text").alias("n")).distinct().count() > 5
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("name", ["ngram_freq_3", "ngram_freq_hash", "everygram_counts", "skipgram_counts"])
+def test_grams_are_strings_made_without_lambdas(spark, tmp_path, name):
+    """Texts that are null, empty or shorter than a gram; no lambda a token, no grouping by arrays."""
+    texts = ["a b c a b", "", None, "x", "it's a b", "a b"]
+    at = tmp_path / "in"
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"file://{at}/documents.parquet")
+    plan = catalog.queries()[name](spark, str(at))._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "transform(" not in plan
+    rows, more, less = same(spark, name, str(at), tmp_path / "out")
+    assert rows and (more, less) == (0, 0)
