@@ -154,3 +154,10 @@ def test_grams_are_strings_made_without_lambdas(spark, tmp_path, name):
     assert "lambdafunction" not in plan and "transform(" not in plan
     rows, more, less = same(spark, name, str(at), tmp_path / "out")
     assert rows and (more, less) == (0, 0)
+
+
+def test_window_statistics_take_one_join(spark):
+    from lexmill.operators import counts
+
+    plan = counts.window_stats(spark.createDataFrame([(1, "a b a b c d")], "doc_id long, text string"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (") == 1
