@@ -161,3 +161,52 @@ def test_window_statistics_take_one_join(spark):
 
     plan = counts.window_stats(spark.createDataFrame([(1, "a b a b c d")], "doc_id long, text string"), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner, (") == 1
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 1])
+def test_tree_levels_take_the_same_plan(spark, monkeypatch, cells):
+    """A level's job is as large as that before it, splits don't pile up in a column's expression; and the tree is that of
+    counts made one by one, also where nodes are counted in turns."""
+    from lexmill.operators import learners
+
+    monkeypatch.setattr(learners, "CELLS", cells)
+    rows = [(i, " ".join(w for j, w in enumerate("a b c d e f".split()) if i >> j & 1) or None, "xyz"[(i * i + i // 7) % 3]) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    plans = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or collect(df))
+    tree = learners.DecisionTree.train(docs)
+    levels = [len(plan) for cols, plan in plans if "by" in cols]
+    assert len(levels) >= 3 and max(levels) < min(levels) + 50
+    bags = [({*text.split(), *map(learners.JOINER.join, zip(text.split(), text.split()[1:], strict=False))} if text else set(), y) for _, text, y in rows]
+
+    def check(node, some):
+        counts = {y: sum(y == k for _, k in some) for y in {k for _, k in some}}
+        if "feature" not in node:
+            assert node["counts"] == counts and node["label"] == min(counts, key=lambda y: (-counts[y], y))
+            return
+        f = tree.vectorizer.vocabulary[node["feature"]]
+        check(node["absent"], [x for x in some if f not in x[0]])
+        check(node["present"], [x for x in some if f in x[0]])
+
+    check(tree.tree, bags)
+    got = {r["doc_id"]: r["label"] for r in tree.predict(docs.drop("label")).collect()}
+
+    def walk(bag):
+        at = tree.tree
+        while "feature" in at:
+            at = at["present" if tree.vectorizer.vocabulary[at["feature"]] in bag else "absent"]
+        return at["label"]
+
+    assert got == {i: walk(bag) if text is not None else None for (i, text, _), (bag, _) in zip(rows, bags, strict=True)}
+
+
+def test_encoder_equals_plain_lookup(spark):
+    """n-grams of one to three words; beginnings that are no features themselves, unknown words, texts null and empty."""
+    from lexmill.operators import learners
+
+    J = learners.JOINER
+    v = learners.Vectorizer(1, 3, False, vocabulary=[f"b{J}c", "a", f"a{J}b{J}c", f"c{J}c", "d"])
+    texts = ["A b c a B c", None, "", "c c c", "x b", "c d, a' b", "b"]
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", v.encode("text").alias("x")).collect()}
+    assert {i: x and (x["ids"], x["values"]) for i, x in got.items()} == {0: ([0, 1, 2], [2.0, 2.0, 2.0]), 1: None, 2: ([], []), 3: ([3], [2.0]), 4: ([], []), 5: ([4], [1.0]), 6: ([], [])}
