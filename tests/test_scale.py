@@ -210,3 +210,26 @@ def test_encoder_equals_plain_lookup(spark):
     texts = ["A b c a B c", None, "", "c c c", "x b", "c d, a' b", "b"]
     got = {r["i"]: r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", v.encode("text").alias("x")).collect()}
     assert {i: x and (x["ids"], x["values"]) for i, x in got.items()} == {0: ([0, 1, 2], [2.0, 2.0, 2.0]), 1: None, 2: ([], []), 3: ([3], [2.0]), 4: ([], []), 5: ([4], [1.0]), 6: ([], [])}
+
+
+@pytest.mark.parametrize("rules", ["NP: {<DT>?<NN.*>+}\nVP: {<VB.*><RB>?}", "A: {<NN>*<NNP>?<NN>}\nB: {<XX>*<CD>+<DT|CC>*}\nC: {<.*>}", "A: {<XX>}\nB: {<RB>?}", ""])
+def test_chunks_of_whole_batches(spark, rules):
+    """Labels of all texts at once equal those of one text after another; no lambda and no Python call a token."""
+    import re
+
+    from lexmill.functions import chunk
+    from lexmill.functions import text as T
+
+    words = "the a 12 running walked quickly and is Paris house It's x ' B".split()
+    texts = [" ".join(words[(i * i + j * (i + 3)) % len(words)] for j in range(i % 9)) for i in range(80)] + [None, "", "é the\nhouse", "…"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = chunk.chunked(docs, rules)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    tagged = docs.selectExpr("doc_id", "regexp_extract_all(text, \"[A-Za-z0-9']+\", 0) AS t").selectExpr("doc_id", "posexplode(t) AS (pos, token)").withColumn("tag", T.rule_tag("token"))
+    want, by = [], {}
+    for r in tagged.orderBy("doc_id", "pos").collect():
+        by.setdefault(r["doc_id"], []).append((r["token"], r["tag"]))
+    for i, rows in by.items():
+        assert [t for t, _ in rows] == re.findall("[A-Za-z0-9']+", texts[i])
+        want += [(i, p, t, g, x) for p, ((t, g), x) in enumerate(zip(rows, chunk.iob([g for _, g in rows], chunk.rules(rules)), strict=True))]
+    assert sorted(map(tuple, out.collect())) == want
