@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chunk, grammar, sentences, sentiment, tagger, trees
+from ..functions import batches, chunk, grammar, sentences, sentiment, tagger, trees
 from ..functions import text as T
 from ..operators import counts, lexicon, lm
 from ..sources import corpus, synsets
@@ -259,14 +259,12 @@ w AS (SELECT id, sentence, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS
 
 def _tagged(spark, d, item: str, token: str, sentence: str) -> DataFrame:
     """The documents as tagged texts: a line's words with their tags, written as item says."""
-    words = lambda line: F.transform(T.raw_ascii_tokens(line), lambda t: F.format_string(item, t, T.rule_tag(t)))
-    lines = F.transform(F.split("text", "\n"), lambda line: F.array_join(words(line), token))
-    return _corpus(spark, d).select("id", F.array_join(lines, sentence).alias("text"))
+    return _corpus(spark, d).select("id", batches.tagged_text("text", item, token, sentence).alias("text"))
 
 
-query(f"{_TAGGED} FROM g", "corpus_brown")(lambda s, d: corpus.brown_tagged(_tagged(s, d, "%s/%s", " ", "\n")))
-query(f"{_TAGGED} FROM g", "corpus_conll_tagged")(lambda s, d: corpus.conll_tagged(_tagged(s, d, "%s\t%s", "\n", "\n\n")))
-query(f"{_TAGGED}, 'B-' || tag AS chunk FROM g", "corpus_conll_chunked")(lambda s, d: corpus.conll_chunked(_tagged(s, d, "%1$s %2$s B-%2$s", "\n", "\n\n")))
+query(f"{_TAGGED} FROM g", "corpus_brown")(lambda s, d: corpus.brown_tagged(_tagged(s, d, "{0}/{1}", " ", "\n")))
+query(f"{_TAGGED} FROM g", "corpus_conll_tagged")(lambda s, d: corpus.conll_tagged(_tagged(s, d, "{0}\t{1}", "\n", "\n\n")))
+query(f"{_TAGGED}, 'B-' || tag AS chunk FROM g", "corpus_conll_chunked")(lambda s, d: corpus.conll_chunked(_tagged(s, d, "{0} {1} B-{1}", "\n", "\n\n")))
 
 
 # streams: each conversation is a stream of its turns; a turn ends its last word

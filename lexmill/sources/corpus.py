@@ -8,11 +8,13 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions import sentences
+from ..functions import batches, sentences
 from ..functions import text as T
 
 
@@ -93,31 +95,47 @@ def download(found: dict, folder: str, fetch: Callable[[str], bytes]) -> str:
     return str(index)
 
 
-def _lines(texts: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, line, sentence): blank lines part sentences, which count from 0."""
-    rows = texts.select(key, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    w = W.partitionBy(key).orderBy("line_no")
-    blank = F.trim("line") == ""
-    rows = rows.withColumn("b", blank).withColumn("starts", (~F.col("b") & F.coalesce(F.lag("b").over(w), F.lit(True))).cast("int"))
-    return rows.withColumn("sentence", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).filter(~F.col("b"))
+def _sentences(first: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Sentences of lines, which blank lines part and which count from 0 in each text; texts begin at the places of first."""
+    before = np.concatenate([[False], full[:-1]])
+    before[first[:-1][np.diff(first) > 0]] = False
+    return batches.running(full & ~before, first) + (full & ~before) - 1
+
+
+def _rows(first: np.ndarray, sentence: np.ndarray, keep: np.ndarray, cols: list[pa.Array]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Texts, sentences, places and columns of the kept lines; places count the kept lines of a sentence."""
+    of = np.repeat(np.arange(len(first) - 1), np.diff(first))[keep]
+    sentence = sentence[keep]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (sentence[1:] != sentence[:-1])])) if len(of) else np.zeros(0, np.int64)
+    return of, [pa.array(sentence, pa.int64()), pa.array(batches.numbered(np.append(new, len(of))), pa.int32()), *cols]
 
 
 def conll_tagged(texts: DataFrame, key: str = "id") -> DataFrame:
     """(key, sentence, pos, token, tag) of lines "token TAB tag"; others are skipped."""
-    parts = F.split("line", r"\t+")
-    rows = _lines(texts, key).withColumn("p", parts).filter((F.size("p") >= 2) & (F.trim(F.col("p")[0]) != "") & (F.trim(F.col("p")[1]) != ""))
-    return _numbered(rows, key, F.trim(F.col("p")[0]).alias("token"), F.trim(F.col("p")[1]).alias("tag"))
+
+    def run(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        lines, first, full = batches.lines(column)
+        parts, at = batches.split(lines, r"\t+", "\t", rb"\t\t")
+        two = full & (np.diff(at) >= 2)
+        token, tag = (pc.utf8_trim(parts.take(pa.array(at[:-1][two] + i)), " ") for i in (0, 1))
+        there = pc.and_(pc.not_equal(token, ""), pc.not_equal(tag, ""))
+        keep = two.copy()
+        keep[two] = there.to_numpy(zero_copy_only=False)
+        return _rows(first, _sentences(first, full), keep, [token.filter(there), tag.filter(there)])
+
+    return batches.mapped(texts, key, "text", "sentence long, pos int, token string, tag string", run)
 
 
 def conll_chunked(texts: DataFrame, key: str = "id") -> DataFrame:
     """(key, sentence, pos, token, tag, chunk) of lines of three fields."""
-    rows = _lines(texts, key).withColumn("p", F.split(F.trim("line"), r"\s+")).filter(F.size("p") >= 3)
-    return _numbered(rows, key, F.col("p")[0].alias("token"), F.col("p")[1].alias("tag"), F.col("p")[2].alias("chunk"))
 
+    def run(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        lines, first, full = batches.lines(column)
+        parts, at = batches.fields(lines)
+        keep = full & (np.diff(at) >= 3)
+        return _rows(first, _sentences(first, full), keep, [parts.take(pa.array(at[:-1][keep] + i)) for i in (0, 1, 2)])
 
-def _numbered(rows: DataFrame, key: str, *cols) -> DataFrame:
-    w = W.partitionBy(key, "sentence").orderBy("line_no")
-    return rows.select(key, "sentence", (F.row_number().over(w) - 1).alias("pos"), *cols)
+    return batches.mapped(texts, key, "text", "sentence long, pos int, token string, tag string, chunk string", run)
 
 
 def brown_tagged(texts: DataFrame, key: str = "id") -> DataFrame:

@@ -233,3 +233,52 @@ def test_chunks_of_whole_batches(spark, rules):
         assert [t for t, _ in rows] == re.findall("[A-Za-z0-9']+", texts[i])
         want += [(i, p, t, g, x) for p, ((t, g), x) in enumerate(zip(rows, chunk.iob([g for _, g in rows], chunk.rules(rules)), strict=True))]
     assert sorted(map(tuple, out.collect())) == want
+
+
+_TAGGED = ["a b c\nd e f\n\n  \ng h i j\nk l", None, "", "\n\n", "x\ty\tz\r\n\r\n a  b\tc \n\t\n1 2 3\n", "\ta b\n   b c\nonly", "q\t\tr\n \t \nx \t y\n\tt\tu\n", "the/DT a/b/c /x y/ z\n \n//q w/   v/NN é/NN", "p/q\r\n\r\nr/s t/u\n"]
+
+
+def _texts(spark):
+    return spark.createDataFrame([(str(i), t) for i, t in enumerate(_TAGGED)], "id string, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("kind", ["conll_chunked", "conll_tagged"])
+def test_lines_of_tagged_texts_are_not_moved(spark, kind):
+    """Sentences and places are counted where the text lies, as plain Python counts them; no shuffle, no sort."""
+    import re
+
+    from lexmill.sources import corpus
+
+    out = getattr(corpus, kind)(_texts(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    want = []
+    for i, text in enumerate(_TAGGED):
+        sentence, pos, before = -1, 0, True
+        for line in re.split(r"\r?\n", text) if text is not None else []:
+            if not line.strip(" "):
+                before = True
+                continue
+            if before:
+                sentence, pos, before = sentence + 1, 0, False
+            if kind == "conll_chunked":
+                p = re.split(r"[ \t\n\v\f\r]+", line.strip(" "))[:3]
+                good = len(p) == 3
+            else:
+                p = [x.strip(" ") for x in re.split(r"\t+", line)[:2]]
+                good = len(p) == 2 and all(p)
+            if good:
+                want.append((str(i), sentence, pos, *p))
+                pos += 1
+    assert [tuple(r) for r in out.collect()] == want
+
+
+@pytest.mark.parametrize("name", ["corpus_brown", "corpus_conll_tagged", "corpus_conll_chunked"])
+def test_documents_as_tagged_texts(spark, tmp_path, name):
+    """Texts that are null, empty, without words, with empty lines, and several lines in a batch of many texts."""
+    texts = ["The house is 12\n\nit's walking quickly", None, "", "\n", "é…\n!\nA b", "x", "one\ntwo\n", "\nNNP Paris"]
+    at = tmp_path / "in"
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"file://{at}/documents.parquet")
+    assert "lambda" not in catalog.queries()[name](spark, str(at))._jdf.queryExecution().optimizedPlan().toString()
+    rows, more, less = same(spark, name, str(at), tmp_path / "out")
+    assert rows and (more, less) == (0, 0)
