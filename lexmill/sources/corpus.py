@@ -138,10 +138,28 @@ def conll_chunked(texts: DataFrame, key: str = "id") -> DataFrame:
     return batches.mapped(texts, key, "text", "sentence long, pos int, token string, tag string, chunk string", run)
 
 
+#: What the pattern of an item's token has no place for.
+_ENDS = "[\\n\\r\\x{85}\\x{2028}\\x{2029}]"
+
+
 def brown_tagged(texts: DataFrame, key: str = "id") -> DataFrame:
     """(key, sentence, pos, token, tag): a line is a sentence of items token/tag, parted at the last slash."""
-    lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = texts.select(key, F.posexplode(lines).alias("sentence", "line"))
-    items = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x.rlike(r"^.+/[^/]+$"))
-    rows = rows.select(key, "sentence", F.posexplode(items).alias("pos", "item"))
-    return rows.select(key, "sentence", "pos", F.regexp_extract("item", r"^(.+)/([^/]+)$", 1).alias("token"), F.regexp_extract("item", r"^(.+)/([^/]+)$", 2).alias("tag"))
+
+    def run(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        lines, first, full = batches.lines(column)
+        items, at = batches.fields(lines.filter(pa.array(full)))
+        line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))[full]
+        sentence = batches.running(full, first)[full]
+        parts = pc.split_pattern(items, "/", max_splits=1, reverse=True)
+        two = pc.equal(pc.list_value_length(parts), 2)
+        flat = parts.filter(two).flatten()
+        token, tag = (flat.take(pa.array(np.arange(i, len(flat), 2))) for i in (0, 1))
+        good = pc.and_(pc.not_equal(token, ""), pc.not_equal(tag, ""))
+        if not pc.all(pc.string_is_ascii(token)).as_py():
+            good = pc.and_(good, pc.invert(pc.match_substring_regex(token, _ENDS)))
+        line = line[two.to_numpy(zero_copy_only=False)][good.to_numpy(zero_copy_only=False)]
+        pos = batches.numbered(np.searchsorted(line, np.arange(len(at))))
+        return text[line], [pa.array(sentence[line], pa.int32()), pa.array(pos, pa.int32()), token.filter(good), tag.filter(good)]
+
+    return batches.mapped(texts, key, "text", "sentence int, pos int, token string, tag string", run)

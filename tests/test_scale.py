@@ -282,3 +282,19 @@ def test_documents_as_tagged_texts(spark, tmp_path, name):
     assert "lambda" not in catalog.queries()[name](spark, str(at))._jdf.queryExecution().optimizedPlan().toString()
     rows, more, less = same(spark, name, str(at), tmp_path / "out")
     assert rows and (more, less) == (0, 0)
+
+
+def test_brown_items_without_lambdas(spark):
+    import re
+
+    from lexmill.sources import corpus
+
+    out = corpus.brown_tagged(_texts(spark))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, text in enumerate(_TAGGED):
+        full = [x.strip(" ") for x in re.split(r"\r?\n", text or "") if x.strip(" ")]
+        for s, line in enumerate(full):
+            items = [m for x in re.split(r"[ \t\n\v\f\r]+", line) if (m := re.fullmatch(r"([^\n\r\u0085\u2028\u2029]+)/([^/]+)", x))]
+            want += [(str(i), s, p, m[1], m[2]) for p, m in enumerate(items)]
+    assert [tuple(r) for r in out.collect()] == want
