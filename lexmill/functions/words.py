@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -33,14 +33,19 @@ def words(text: str) -> list[str]:
     return out
 
 
+_TWEETS = {True: regex.compile(rf"{_PHONE}|{_TWEET}"), False: regex.compile(_TWEET)}
+_FACE = re.compile(_EMOTICON)
+_THRICE = re.compile(r"([A-Za-z])\1{2,}")
+
+
 def tweet_words(text: str, preserve_case: bool = True, strip_handles: bool = False, reduce_len: bool = False, phones: bool = True) -> list[str]:
     out = []
-    for t in regex.findall(rf"{_PHONE}|{_TWEET}" if phones else _TWEET, text):
+    for t in _TWEETS[phones].findall(text):
         if strip_handles and t.startswith("@"):
             continue
-        if reduce_len and re.fullmatch("[A-Za-z]+", t):
-            t = re.sub(r"([A-Za-z])\1{2,}", r"\1\1\1", t)
-        out.append(t if preserve_case or re.fullmatch(_EMOTICON, t) else t.lower())
+        if reduce_len and t.isascii() and t.isalpha():
+            t = _THRICE.sub(r"\1\1\1", t)
+        out.append(t if preserve_case or (t[0] in ":;=8" and _FACE.fullmatch(t)) else t.lower())
     return out
 
 
@@ -48,6 +53,20 @@ def tweet_tokens(text: Column | str, **options) -> Column:
     return arrow_function(lambda t: tweet_words(t, **options), "array<string>")(text)
 
 
+#: White space of the tweets' pattern. A token has some within only between a digit, bracket or dash and a digit or dash,
+#: in a telephone number: all other white space parts pieces that are told apart by themselves. Beside it stands a letter
+#: or an ASCII character that is no such one; where there is neither, the piece goes on, which costs time alone.
+_BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_CUT = rf"{_BLANK}(?:(?<=[!-(*-,./:-~\p{{L}}]{_BLANK}){_BLANK}*+|{_BLANK}*+(?=[!-,./:-~\p{{L}}]))"
+
+
+def tweet_counts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """(token, n): tweet_tokens of all texts, counted. Pieces are counted first, so that each different one goes to Python
+    once and not wherever it stands."""
+    pieces = docs.select(F.explode(F.split(text, _CUT)).alias("piece")).filter("piece <> ''").groupBy("piece").agg(F.count("*").alias("n"))
+    return pieces.select(F.explode(tweet_tokens("piece", **options)).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def merge_phrases(tokens: Sequence[str], phrases: Sequence[Sequence[str]], joiner: str = "_") -> list[str]:
     """Phrases as one token, the longest first, from left to right; phrases of one word are ignored."""
     known = {tuple(w.strip() for w in p if w.strip()) for p in phrases}

@@ -298,3 +298,20 @@ def test_brown_items_without_lambdas(spark):
             items = [m for x in re.split(r"[ \t\n\v\f\r]+", line) if (m := re.fullmatch(r"([^\n\r\u0085\u2028\u2029]+)/([^/]+)", x))]
             want += [(str(i), s, p, m[1], m[2]) for p, m in enumerate(items)]
     assert [tuple(r) for r in out.collect()] == want
+
+
+def test_tweets_go_to_python_once(spark, monkeypatch):
+    """Tokens equal those of whole texts, also where telephone numbers have white space within; equal pieces are one call."""
+    from collections import Counter
+
+    from lexmill.functions import words
+
+    parts = ["call", "(555)", "123", "-", "4567", "12-", "-34", "12", "it's", "#tag", "@you", ":-)", "soooooo", "https://x.y/z?1", "(12)", "5)", "é", "٣", "👍🏽", "8)", "x-1", "", "漢字", "NO"]
+    blanks = [" ", "  ", "\n", "\u00a0", "\u2028 ", "\t", "\x1c", "\u3000", "\x85"]
+    texts = ["".join(parts[(i * 7 + j * j * (i % 11 + 1) + j) % len(parts)] + blanks[(i + j * (i % 5)) % len(blanks)] for j in range(12)) for i in range(300)] + [None, "", " ", "1 - 2", "(123)  4 -5"]
+    want = Counter(w for t in texts if t is not None for w in words.tweet_words(t, preserve_case=False, reduce_len=True))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["token"]: r["n"] for r in words.tweet_counts(docs, preserve_case=False, reduce_len=True).collect()}
+    assert got == want
+    plan = words.tweet_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate [piece")
