@@ -315,3 +315,28 @@ def test_tweets_go_to_python_once(spark, monkeypatch):
     assert got == want
     plan = words.tweet_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Aggregate [piece")
+
+
+def test_neighbours_are_counted_before_they_move(spark, tmp_path, monkeypatch):
+    """Pairs with short and stop words are no rows of their own; texts null, empty, of one word, pairs at batches' ends."""
+    from lexmill.operators import collocations
+
+    texts = ["new york is in the state of new york", "", None, "york", "New York's new york", "it's odd", "red tape red tape the red tape and tape"] * 5
+    at = tmp_path / "in"
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"file://{at}/documents.parquet")
+    store, seen = collocations.stored, []
+    monkeypatch.setattr(collocations, "stored", lambda df, *a, **k: seen.append(df) or store(df, *a, **k))
+    rows, more, less = same(spark, "text_collocations", str(at), tmp_path / "out")
+    assert rows and (more, less) == (0, 0)
+    pairs = [(r["w1"], r["w2"]) for r in seen[0].collect()]
+    assert len(pairs) == len(set(pairs)) and all(w2 is None or min(len(w1), len(w2)) > 2 and not {w1, w2} & set(collocations.COLLOCATION_STOP) for w1, w2 in pairs)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(w1") == 1 and "partial_sum" in plan[plan.index("Exchange hashpartitioning(w1") :]
+
+
+def test_scores_are_rounded_once(spark):
+    from lexmill.operators import collocations
+
+    f = collocations.finder(spark.createDataFrame([(1, "a b a b c d")], "doc_id long, text string"), 2)
+    plan = collocations.score(f, "likelihood_ratio", 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == 1
