@@ -7,8 +7,9 @@ shard. A shard's segments form an FM-index: suffix array by prefix doubling, Bur
 through backward search, which keeps the interval of the suffixes that begin with the match and drops what no second
 document holds: the steps it takes from a place to the left are that place's matching statistic, the longest match that ends
 there. A statistic below MIN_WORDS bounds those of the next places, each at most one more than the last, so that places
-which can't reach it are passed over; at the others the statistic is computed in full, and windows at or above it are
-reported. All segments of a shard step together in numpy.
+which can't reach it are passed over; at the others the statistic is computed up to MIN_WORDS, and windows that reach it are
+reported. All segments of a shard step together in numpy. Words that a single document of an anchor's segments has can't be in a
+shared window: they and runs that they leave too short don't enter the index.
 
 All anchors and all segments take part; the result is exact up to collisions of 64-bit hashes (the index itself holds words
 as numbers of 64-bit hashes). Segments that are equal as a whole in two documents are repeated all over and enter the index
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._frame import stored, tidy
-from ._words import Words, pieces, signed, spans_hash
+from ._words import Words, mix, pieces, signed, spans_hash
 
 MIN_WORDS, ANCHOR, SHARD_WORDS, HOT = 50, 16, 1_500_000, 20_000
 
@@ -183,19 +184,26 @@ class FmIndex:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling over the places that are still tied. Zeros are separators, each smaller than the next."""
+    """By prefix doubling over the places that are still tied, after as many words at once as fit a key. Zeros are separators,
+    each smaller than the next; the last word is one."""
     n = len(text)
     rank = text.astype(np.int64)
     rank[text == 0] = np.arange((text == 0).sum())
     rank[text > 0] += (text == 0).sum()
-    order = np.argsort(rank, kind="stable")
+    width = int(rank.max()).bit_length()
+    h = min(n, 63 // max(1, width))
+    key = rank.copy()
+    for j in range(1, h):
+        key <<= width
+        key[: n - j] |= rank[j:]
+    order = np.argsort(key)
+    rank = key
     r = rank[order]
     first = np.ones(n, bool)
     first[1:] = r[1:] != r[:-1]
     group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = group
-    h = 1
     tied = np.ones(n, bool)
     tied[:-1] = ~first[1:]
     tied[-1] = False
@@ -204,7 +212,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while len(slots):
         who = order[slots]
         key = rank[who] * np.int64(n + 1) + rank[np.minimum(who + h, n - 1)]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         who, key = who[by], key[by]
         order[slots] = who
         fresh = np.ones(len(slots), bool)
@@ -219,11 +227,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 def indexed(segments: list[np.ndarray], labels: np.ndarray) -> tuple[FmIndex, np.ndarray, np.ndarray]:
     """The index of segments, its text and the place of each segment in it."""
-    size = np.array([len(s) for s in segments])
+    return _indexed(np.concatenate(segments), np.array([len(s) for s in segments]), labels)
+
+
+def _indexed(flat: np.ndarray, size: np.ndarray, labels: np.ndarray) -> tuple[FmIndex, np.ndarray, np.ndarray]:
+    """The same of segments that lie one behind the other in flat."""
     base = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size + 1, out=base[1:])
     text = np.zeros(base[-1], np.int64)
-    names, inverse = np.unique(np.concatenate(segments), return_inverse=True)
+    names, inverse = np.unique(flat, return_inverse=True)
     inside = np.ones(len(text), bool)
     inside[base[1:] - 1] = False
     text[inside] = inverse.reshape(-1) + 1
@@ -249,30 +261,87 @@ def statistics(index: FmIndex, text: np.ndarray, start: np.ndarray, place: np.nd
     return out
 
 
-def repeated(segments: list[np.ndarray], labels: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def shareable(flat: np.ndarray, size: np.ndarray, groups: np.ndarray, labels: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the part of each segment that can hold a window of least words which a queried segment shares with
+    another label of the group (0 where there is none): the run of words that a queried segment and two labels of the group
+    have. Words are looked up by a hash in a table, so that two may be taken for one, which keeps more words and loses none.
+    Segments are shorter than two windows: no more than one run is long enough."""
+    owner = np.repeat(np.arange(len(size)), size)
+    bits = max(10, int(len(flat) * 4).bit_length())
+    at = np.arange(len(flat))
+    # the second time without words that stood in runs too short
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        mine = owner[at]
+        slot = (((flat[at] ^ mix(groups + np.uint64(1))[mine]) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+        who = np.zeros(1 << bits, np.int32)
+        who[slot] = labels[mine]
+        kept = np.zeros(1 << bits, np.uint8)
+        kept[slot[who[slot] != labels[mine]]] = 1
+        asked = slot[query[mine]]
+        kept[asked] |= 2 * kept[asked]
+        at = at[kept[slot] == 3]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+        first = np.flatnonzero(new)
+        run = np.diff(np.append(first, len(at)))
+        at = at[np.repeat(run >= least, run)]
+    start, length = np.zeros(len(size), np.int64), np.bincount(owner[at], minlength=len(size))
+    has = length > 0
+    start[has] = at[(np.cumsum(length) - length)[has]] - (np.cumsum(size) - size)[has]
+    return start, length
+
+
+def repeated(flat: np.ndarray, size: np.ndarray, groups: np.ndarray, labels: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each queried segment the first and the last start of a window of least words that occurs under another label
-    (-1 where there is none). All windows of a segment have a word in common, so that what lies between is covered."""
-    index, text, base = indexed(segments, labels)
-    size = np.diff(base) - 1
-    low, high = np.full(len(segments), -1), np.full(len(segments), -1)
-    q = np.flatnonzero(query & (size >= least))
+    (-1 where there is none). All windows of a segment have a word in common, so that what lies between is covered. Segments lie
+    one behind the other in flat; a window that two segments share must be found if they are of one group."""
+    low, high = np.full(len(size), -1), np.full(len(size), -1)
+    cut, length = shareable(flat, size, groups, labels, query, least)
+    kept = np.flatnonzero(length)
+    if not query[kept].any():
+        return low, high
+    begin, n = (np.cumsum(size) - size + cut)[kept], length[kept]
+    index, text, base = _indexed(flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, labels[kept])
+    alike = spans_hash(text.astype(np.uint64), np.arange(len(text) - least + 1), np.arange(least, len(text) + 1))
+
+    def ending(place: np.ndarray) -> np.ndarray:
+        """Statistics, up to least, of places with so many words before them; equal windows are looked up once."""
+        _, one, which = np.unique(alike[place - least + 1], return_index=True, return_inverse=True)
+        return statistics(index, text, place[one] - least + 1, place[one], least)[which.reshape(-1)]
+
+    first, last = np.full(len(n), -1), np.full(len(n), -1)
+    q = np.flatnonzero(query[kept])
     end = np.full(len(q), least - 1)
     # the first place whose statistic reaches least; one of m words keeps the next least - m - 1 places below it
     while len(q):
-        m = statistics(index, text, base[q], base[q] + end, least)
+        m = ending(base[q] + end)
         hit = m >= least
-        low[q[hit]] = end[hit] - least + 1
+        first[q[hit]] = end[hit]
         end = end + least - m
-        go = ~hit & (end < size[q])
+        go = ~hit & (end < n[q])
         q, end = q[go], end[go]
-    # the last one: from the far end back
-    q = np.flatnonzero(low >= 0)
-    end = size[q] - 1
+    # the last one: the far end, then the middle of what is left after the last place known to reach least; places below it
+    # are passed over until one reaches least, or all up to the upper end are known not to
+    q = np.flatnonzero(first >= 0)
+    last[q] = first[q]
+    q = q[n[q] > first[q] + 1]
+    top = n[q] - 1
+    end, below = top, top
     while len(q):
-        m = statistics(index, text, base[q], base[q] + end, least)
+        m = ending(base[q] + end)
         hit = m >= least
-        high[q[hit]] = end[hit] - least + 1
-        q, end = q[~hit], end[~hit] - 1
+        last[q[hit]] = end[hit]
+        end = end + least - m
+        none = ~hit & (end > top)
+        top = np.where(none, below - 1, top)
+        fresh = hit | none
+        end = np.where(fresh, (last[q] + top + 1) // 2, end)
+        below = np.where(fresh, end, below)
+        go = last[q] < top
+        q, top, end, below = q[go], top[go], end[go], below[go]
+    found = first >= 0
+    low[kept[found]] = cut[kept[found]] + first[found] - least + 1
+    high[kept[found]] = cut[kept[found]] + last[found] - least + 1
     return low, high
 
 
@@ -280,11 +349,11 @@ def _search(least: int, shard_words: int):
     def shard(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         blobs = t["words"].to_pylist()
-        segs = [np.frombuffer(b, np.uint64) for b in blobs]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
         many = t["many"].to_numpy()
         _, label = np.unique(t["doc_id"].to_numpy(), return_inverse=True)
         label = np.where(many, -1 - np.arange(len(label)), label)
-        low, high = repeated(segs, label, ~many, least)
+        low, high = repeated(np.frombuffer(b"".join(blobs), np.uint64), size, t["anchor"].to_numpy().view(np.uint64), label, ~many, least)
         found = np.flatnonzero(low >= 0)
         start = t["start"].to_numpy()[found].astype(np.int64)
         reps = t["reps"].to_numpy()[found]
@@ -358,11 +427,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, s
     # aggregates only, which are begun where the rows lie: an anchor or a segment may be in a large share of all documents
     per = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("doc_id", "start")).alias("lead"))
     per = stored(per, "segments")
-    whole = per.groupBy("anchor").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("*").alias("n")).filter("least <> most")
-    per = per.join(whole.select("anchor", (F.col("n") > hot).alias("hot")), "anchor").select("anchor", "seg", (F.col("a") != F.col("b")).alias("many"), "lead", "hot")
+    whole = per.groupBy("anchor").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("*").alias("n"), F.max(F.expr("a = b")).alias("asked")).filter("least <> most")
+    # an anchor whose segments are all in two documents as a whole has nothing to look up
+    per = per.join(whole.select("anchor", (F.col("asked") & (F.col("n") > hot)).alias("hot"), "asked"), "anchor").select("anchor", "seg", (F.col("a") != F.col("b")).alias("many"), "lead", "hot", "asked")
     found = stored(found.join(per, ["anchor", "seg"]), "shared")
     whole = found.filter("many").select("doc_id", F.col("start").cast("long").alias("first"), (F.col("start").cast("long") + F.col("len") + F.col("reps") - 1).alias("last"))
-    wanted = found.filter("not many or (lead.doc_id = doc_id and lead.start = start)")
+    wanted = found.filter("not many or (asked and lead.doc_id = doc_id and lead.start = start)")
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(F.when(F.col("hot"), None).otherwise(F.col("anchor")).alias("anchor"), "seg", "start", "len", "reps", "many")).alias("wanted"))
     segments = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_segments, "anchor long, start int, reps int, many boolean, doc_id long, words binary")
     if per.filter("hot").isEmpty():

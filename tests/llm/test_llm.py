@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -571,6 +572,88 @@ def test_matching_statistics_equal_plain_python():
                 assert got[e] == want
 
 
+def grouped_segments(rng: np.random.Generator, groups: int, passage: int, sigma: int) -> tuple[np.ndarray, ...]:
+    """Segments of groups that have a passage in common, some of them not whole or with other words in it."""
+    segs, group, labels, query = [], [], [], []
+    for g in range(groups):
+        shared = rng.integers(1, sigma, passage)
+        for _ in range(int(rng.integers(1, 9))):
+            a, b = int(rng.integers(0, passage // 3)), int(rng.integers(0, passage // 3))
+            s = np.concatenate([rng.integers(1, sigma, int(rng.integers(0, 6))), shared[a : passage - b], rng.integers(1, sigma, int(rng.integers(0, 6)))])
+            if rng.random() < 0.3:
+                s[rng.integers(len(s))] = 0
+            segs.append(s.astype(np.uint64))
+            group.append(g)
+            labels.append(int(rng.integers(0, 12)))
+            query.append(rng.random() < 0.7)
+    return np.concatenate(segs), np.array([len(s) for s in segs]), np.array(group, np.uint64), np.array(labels), np.array(query)
+
+
+def test_first_and_last_shared_windows_equal_brute_force():
+    rng = np.random.default_rng(31)
+    least = 12
+    for sigma in (3, 4, 200):
+        flat, size, groups, labels, query = grouped_segments(rng, 25, 18, sigma)
+        low, high = substring_fm.repeated(flat, size, groups, labels, query, least)
+        cut, length = substring_fm.shareable(flat, size, groups, labels, query, least)
+        words = [s.tolist() for s in np.split(flat, np.cumsum(size)[:-1])]
+        where: dict[tuple, list[int]] = {}
+        for i, s in enumerate(words):
+            for a in range(len(s) - least + 1):
+                where.setdefault(tuple(s[a : a + least]), []).append(i)
+        for i, s in enumerate(words):
+            others = [[j for j in where[tuple(s[a : a + least])] if labels[j] != labels[i]] for a in range(len(s) - least + 1)]
+            inside = [a for a, js in enumerate(others) if any(groups[j] == groups[i] for j in js)] if query[i] else []
+            anywhere = [a for a, js in enumerate(others) if js] if query[i] else []
+            # no shared window of the group is lost, and none is made up
+            if inside:
+                assert cut[i] <= inside[0] and inside[-1] + least <= cut[i] + length[i]
+                assert 0 <= low[i] <= inside[0] and high[i] >= inside[-1]
+            assert low[i] == -1 or (low[i] in anywhere and high[i] in anywhere)
+
+
+def test_texts_of_few_words_are_sorted_and_searched():
+    for text in ([0], [1, 0], [1, 0, 1, 0], [2, 1, 1, 0, 1, 0]):
+        ranked = [i - 100 if x == 0 else x for i, x in enumerate(text)]
+        assert substring_fm.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: ranked[i:])
+    one, two = np.ones(2, np.int64), np.zeros(2, np.uint64)
+    low, high = substring_fm.repeated(np.array([7, 7], np.uint64), one, two, np.array([0, 1]), np.array([True, True]), 1)
+    assert low.tolist() == high.tolist() == [0, 0]
+
+
+def test_search_takes_few_steps_and_indexes_what_can_be_shared(monkeypatch):
+    rng = np.random.default_rng(32)
+    common = rng.integers(1, 1 << 60, 24)
+    segs, group, labels = [], [], []
+    for g in range(200):
+        shared = rng.integers(1, 1 << 60, 60)
+        for j in range(6):
+            segs.append(np.concatenate([rng.integers(1, 1 << 60, j), shared[j : 60 - j // 2], np.roll(common, 5 * j) if g % 2 else rng.integers(1, 1 << 60, 24)]).astype(np.uint64))
+            group.append(g)
+            labels.append(j)
+    rows = [pa.array(np.array(group, np.int64)), pa.array(np.zeros(len(segs), np.int32)), pa.array(np.ones(len(segs), np.int32)), pa.array([False] * len(segs)), pa.array(np.array(labels, np.int64)), pa.array([s.tobytes() for s in segs], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(rows, names=["anchor", "start", "reps", "many", "doc_id", "words"])
+    rounds, places, statistics, make = [], [], substring_fm.statistics, substring_fm.FmIndex.__init__
+
+    def counted(index, text, start, place, most=None):
+        rounds.append(len(place))
+        return statistics(index, text, start, place, most)
+
+    def made(self, text, *rest):
+        places.append(len(text))
+        make(self, text, *rest)
+
+    monkeypatch.setattr(substring_fm, "statistics", counted)
+    monkeypatch.setattr(substring_fm.FmIndex, "__init__", made)
+    found = [x for b in substring_fm._search(50, 1_500_000)(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    # a text's words of the passage stand where they stand in the passage; the first meets the others from their second word on
+    assert set(found) == {(j, max(j, 1), 60 - j // 2) for j in range(6)}
+    assert len(found) == len(segs)
+    # a place at a time from the far end took 24 rounds, and words that a single text of a group has were indexed
+    assert len(rounds) <= 10 and sum(rounds) <= 8 * len(segs)
+    assert sum(places) <= len(segs) * 74
+
+
 def test_bit_vectors_leave_out_uniform_words():
     rng = np.random.default_rng(23)
     bits = np.concatenate([np.zeros(5000, np.uint8), np.ones(5000, np.uint8), rng.integers(0, 2, 700, dtype=np.uint8), np.zeros(4000, np.uint8)])
